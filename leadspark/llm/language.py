@@ -19,7 +19,7 @@ TRAIN_CHARS = 4_000_000
 ORDER = 4
 DISCOUNT = 0.75
 #: A text is rejected when its cross-entropy is above the training documents' by so many deviations, widened for short texts.
-REJECT_DEVIATIONS = 8.0
+REJECT_DEVIATIONS = 10.0
 _U = np.uint64
 _SPACE, _OTHER = 0x20, 0x01
 
@@ -198,7 +198,7 @@ class Identifier:
         weight = np.minimum(n, 50)[:, None]
         score = 1.0 / np.exp(-(h - h[rows, best][:, None]) * weight).sum(axis=1) if len(best) else np.zeros(0)
         mean, spread = (np.array([u[k] for u in self.usual])[best] for k in (0, 1))
-        limit = mean + REJECT_DEVIATIONS * np.maximum(spread, 0.05) * (1 + np.sqrt(200 / np.maximum(n, 1)))
+        limit = mean + REJECT_DEVIATIONS * np.maximum(spread, 0.05) * (1 + 2 * np.sqrt(100 / np.maximum(n, 1)))
         lang = [self.langs[b] if ok else "und" for b, ok in zip(best.tolist(), letters.tolist(), strict=True)]
         return lang, np.where(letters, score, 0.0), ~letters | (h[rows, best] > limit)
 
