@@ -104,6 +104,8 @@ def find(index: Items, column: pa.Array, threshold: float) -> Iterator[tuple[int
             continue
         near = np.minimum(np.searchsorted(index.known, s[where]), len(index.known) - 1)
         where = where[index.known[near] == s[where]]
+        if not len(where):
+            continue
         rows, first_hit = np.unique(np.searchsorted(s_at, where, "right") - 1, return_index=True)
         for r, own_hits in zip(rows.tolist(), np.split(where, first_hit[1:]), strict=True):
             tokens, own = h[at[r] : at[r + 1]], s[s_at[r] : s_at[r + 1]]
