@@ -31,7 +31,7 @@ TEMPLATES = [
     ("apache-2.0", "apache license <<beginOptional>> version <<endOptional>> 2 0"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
     ("bsd", "<<var;name=verb;original=released;match=1>> under the <<beginOptional>> new <<endOptional>> bsd <<var;name=clauses;original=3 clause;match=2>> license"),
-    ("cc-by-4.0", "licensed under <<beginOptional>> a <<endOptional>> <<beginOptional>> the <<endOptional>> cc by <<beginOptional>> 4 0 <<endOptional>>"),
+    ("cc-by-4.0", "licensed under <<beginOptional>> a <<endOptional>> <<beginOptional>> the <<endOptional>> cc by 4 0"),
     ("cc-by-nc-4.0", "licensed under <<beginOptional>> a <<endOptional>> <<beginOptional>> the <<endOptional>> cc by nc <<beginOptional>> 4 0 <<endOptional>>"),
     ("cc-by-nc-4.0", "creative commons attribution noncommercial <<var;name=version;original=4 0;match=2>> <<beginOptional>> international <<endOptional>> license"),
     ("cc-by-sa-4.0", "licensed under <<beginOptional>> a <<endOptional>> <<beginOptional>> the <<endOptional>> cc by sa <<beginOptional>> 4 0 <<endOptional>>"),
@@ -169,7 +169,10 @@ class Scanner:
                 end = automaton.longest(listed, i)
                 if end > i:
                     runs.append((i, end, label))
-        return sorted(places), sorted(set(runs))
+        first: dict[tuple[int, str], int] = {}  # of runs to the same end, the longest
+        for i, end, label in sorted(runs):
+            first.setdefault((end, label), i)
+        return sorted(places), sorted((i, end, label) for (end, label), i in first.items())
 
 
 def scan(docs: DataFrame, phrases: dict[str, str] | None = None, templates: list[tuple[str, str]] | None = None) -> DataFrame:
