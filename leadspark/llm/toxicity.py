@@ -23,7 +23,7 @@ from .textnum import _BYTE, ALNUM, _powers, mix, small_batches, steps, word_hash
 
 #: Labelled documents of each class to train on at most, those of the smallest hash of doc_id, and their bytes.
 TRAIN_DOCS = 3000
-TRAIN_BYTES = 12_000_000
+TRAIN_BYTES = 4_000_000
 BUCKETS = 1 << 18
 DIM = 8
 GRAMS = (3, 4, 5)
@@ -40,24 +40,24 @@ def buckets(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.
     with np.errstate(over="ignore"):
         total = np.zeros(len(data) + 1, dtype=_U)
         np.cumsum(_BYTE[data] * p[: len(data)], dtype=_U, out=total[1:])
-        owner, out = [np.arange(n)], [mix((total[ends] - total[starts]) * q[starts])]
+        owner, out = [np.arange(n, dtype=np.int32)], [(mix((total[ends] - total[starts]) * q[starts]) % _U(BUCKETS)).astype(np.int32)]
         size = ends - starts
         for k in GRAMS:
             each = np.maximum(size - k + 1, 0)
-            word = np.repeat(np.arange(n), each)
+            word = np.repeat(np.arange(n, dtype=np.int32), each)
             at = np.arange(len(word)) - np.repeat(np.cumsum(each) - each, each) + starts[word]
             h = (total[at + k] - total[at]) * q[at]
             h += (at == starts[word]).astype(_U) * _U(0x51ED270B) + (at + k == ends[word]).astype(_U) * _U(0xA3B1957D) + _U(k)
             owner.append(word)
-            out.append(mix(h))
-    return np.concatenate(owner), (np.concatenate(out) % _U(BUCKETS)).astype(np.int64)
+            out.append((mix(h) % _U(BUCKETS)).astype(np.int32))
+    return np.concatenate(owner), np.concatenate(out)
 
 
 class Model:
-    """The folded model: a number for each bucket, and a bias."""
+    """The folded model: a number for each bucket, a bias, and the usual score of a clean text's word, which pads short texts."""
 
-    def __init__(self, table: np.ndarray, bias: float):
-        self.table, self.bias = table.astype(np.float32), float(bias)
+    def __init__(self, table: np.ndarray, bias: float, usual: float = 0.0):
+        self.table, self.bias, self.usual = table.astype(np.float32), float(bias), float(usual)
 
     def word_scores(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         if not len(starts):
@@ -86,22 +86,22 @@ class Model:
         return sums / kinds
 
     def score(self, column: pa.Array) -> np.ndarray:
-        """The probability of label 1 of each row's most toxic window; of the bias alone for rows without words."""
+        """The probability of label 1 of each row's most toxic window; rows without words count as all usual words."""
         out = []
         for _, _, data, offs in steps(column):
             starts, ends, at = words(data, offs, ALNUM)
-            out.append(window_max(self.word_scores(data, starts, ends), at)[0])
+            out.append(window_max(self.word_scores(data, starts, ends), at, self.usual)[0])
         logit = np.concatenate(out) if out else np.zeros(0)
         return 1.0 / (1.0 + np.exp(-np.clip(logit + self.bias, -30, 30)))
 
 
-def window_max(value: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(largest mean of WINDOW neighbouring words, where it starts) of each row; a shorter row is one window, padded with zeros."""
+def window_max(value: np.ndarray, at: np.ndarray, pad: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """(largest mean of WINDOW neighbouring words, where it starts) of each row; a shorter row is one window, filled up with `pad`."""
     n = np.diff(at)
     total = np.concatenate([[0.0], np.cumsum(value)])
     first, best = np.zeros(len(n)), at[:-1].copy()
     short = n <= WINDOW
-    first[short] = (total[at[1:]] - total[at[:-1]])[short] / WINDOW
+    first[short] = ((total[at[1:]] - total[at[:-1]]) + (WINDOW - n) * pad)[short] / WINDOW
     rows = np.flatnonzero(~short)
     if len(rows):
         means = (total[WINDOW:] - total[:-WINDOW]) / WINDOW
@@ -118,8 +118,11 @@ def window_max(value: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return first, best
 
 
-def train(texts: list[str], labels: list[int], seed: int = 7) -> Model:
-    """Fit on whole texts; with one class only, the model gives that class's share to everything."""
+def train(texts: list[str], labels: list[int], toxic_share: float | None = None, seed: int = 7) -> Model:
+    """Fit on whole texts; with one class only, the model gives that class's share to everything.
+
+    toxic_share is the share of label 1 in all labels where the texts are a sample with another one.
+    """
     y = np.array(labels)
     share = (y.sum() + 0.5) / (len(y) + 1.0)
     if not len(y) or y.min() == y.max():
@@ -139,12 +142,14 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Model:
         mine = np.flatnonzero((first >= base) & (first < base + len(h)))
         own = first[mine] - base
         owner, bucket = buckets(data, starts[own], ends[own])
-        owner_all.append(mine[owner])
+        owner_all.append(mine.astype(np.int32)[owner])
         bucket_all.append(bucket)
         base += len(h)
     owner, bucket = np.concatenate(owner_all), np.concatenate(bucket_all)
     order = np.argsort(owner, kind="stable")
     owner, bucket = owner[order], bucket[order]
+    ids = ids.astype(np.int32)
+    del every, order, owner_all, bucket_all
     bag_at = np.searchsorted(owner, np.arange(len(vocabulary) + 1))
     doc_at = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(d[5]) for d in docs]))])
     v = rng.normal(0, 0.05, (BUCKETS, DIM)).astype(np.float32)
@@ -160,7 +165,11 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Model:
         total = np.concatenate([[0.0], np.cumsum(s)])
         return (total[bag_at[1:]] - total[bag_at[:-1]]) / np.maximum(np.diff(bag_at), 1)
 
+    # every fifth document of each class is kept from the fit and calibrates the probabilities
     toxic, clean = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
+    apart = np.concatenate([toxic[::5], clean[::5]]) if min(len(toxic), len(clean)) >= 20 else np.arange(len(y))
+    if len(apart) < len(y):
+        toxic, clean = np.setdiff1d(toxic, apart), np.setdiff1d(clean, apart)
 
     def some_windows(rows: np.ndarray, each: int) -> np.ndarray:
         n = np.diff(doc_at)[rows]
@@ -213,16 +222,21 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Model:
                 v[used] -= (RATE * gv / np.sqrt(seen_v[used])[:, None]).astype(np.float32)
     # calibrate scale and bias of the folded logit on documents, by Newton steps on two parameters
     table = fold()
-    doc, _ = window_max(vocabulary_scores()[ids], doc_at)
+    value = vocabulary_scores()[ids]
+    usual = float(value[np.repeat(y == 0, np.diff(doc_at))].mean()) if (y == 0)[np.repeat(np.arange(len(y)), np.diff(doc_at))].any() else 0.0
+    doc = window_max(value, doc_at, usual)[0][apart]
+    y = y[apart]
+    share = y.mean() if toxic_share is None else toxic_share
+    weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
     a, c = 1.0, bias
     for _ in range(50):
         p = 1.0 / (1.0 + np.exp(-np.clip(a * doc + c, -30, 30)))
-        g = np.array([((p - y) * doc).sum() + 1e-3 * a, (p - y).sum()])
-        s = p * (1 - p) + 1e-9
-        hess = np.array([[(s * doc * doc).sum() + 1e-3, (s * doc).sum()], [(s * doc).sum(), s.sum()]])
+        g = np.array([(weight * (p - y) * doc).sum() + 0.05 * a, (weight * (p - y)).sum()])
+        s = weight * p * (1 - p) + 1e-9
+        hess = np.array([[(s * doc * doc).sum() + 0.05, (s * doc).sum()], [(s * doc).sum(), s.sum()]])
         step = np.linalg.solve(hess + 1e-6 * np.eye(2), g)
         a, c = a - np.clip(step[0], -1, 1), c - np.clip(step[1], -1, 1)
-    return Model(table * a, c)
+    return Model(table * a, c, usual * a)
 
 
 def fit(labelled: DataFrame) -> Model:
@@ -245,7 +259,7 @@ def fit(labelled: DataFrame) -> Model:
             size[r["toxic"]] += len(r["text"])
             texts.append(r["text"])
             labels.append(int(r["toxic"]))
-    return train(texts, labels)
+    return train(texts, labels, counts.get(1, 0) / max(1, sum(counts.values())))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
