@@ -3,20 +3,17 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import groupby
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import constants as C
-from .text import collapse, full, nonzero, or_null, strip
+from .text import alternatives, collapse, full, nonzero, or_null, strip
 
 VALID, INVALID, UNKNOWN, NOT_AVAILABLE = "VALID", "INVALID", "UNKNOWN", "NOT_AVAILABLE"
 
 
-def any_of(tests: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, tests)
-
-
 def email_domain(email: Column) -> Column:
     return F.split(F.lower(strip(email)), "@")[1]
 
@@ -67,7 +64,7 @@ def points(*terms: tuple[Column, int]) -> Column:
 def existence(name: Column, phone: Column, address: Column, city: Column, latitude: Column, longitude: Column, website: Column, rating: Column, adapters: Column) -> Column:
     """struct(status, score, fields_present) of how much speaks for a real business."""
     low = strip(F.lower(name))
-    noise = full(name) & any_of([low.rlike(p) for p in C.NOISE_NAMES])
+    noise = full(name) & low.rlike("|".join(C.NOISE_NAMES))
     position = nonzero(latitude) & nonzero(longitude)
     named = F.coalesce(F.length(strip(name)) > 1, F.lit(False))
     fields = points((named, 1), (full(phone), 1), (full(address), 1), (full(city), 1), (position, 1), (full(website), 1))
@@ -82,9 +79,14 @@ def overall_status(email: Column, phone: Column, website: Column, exists: Column
     return F.when(exists == INVALID, INVALID).when(some, VALID).otherwise(UNKNOWN)
 
 
+def by_label(pairs: list[tuple[str, str]]) -> list[tuple[list[str], str]]:
+    """Neighbours of one label together, in order: the first hit has the same label, with fewer tests."""
+    return [([p for p, _ in group], label) for label, group in groupby(pairs, key=lambda x: x[1])]
+
+
 def industry_of_name(name: Column) -> Column:
     low = F.lower(name)
-    return F.coalesce(*[F.when(low.rlike(f"(?iu){p}"), industry) for p, industry in C.NAME_INDUSTRIES])
+    return F.coalesce(*[F.when(low.rlike("(?iu)" + "|".join(f"(?:{p})" for p in ps)), industry) for ps, industry in by_label(C.NAME_INDUSTRIES)])
 
 
 def first_match(text: Column, pattern: str, group: int) -> Column:
@@ -105,7 +107,7 @@ def page_facts(html: Column) -> Column:
     link = lambda p: F.regexp_replace(first_match(html, f"(?i){p}", 0), r"[/]+$", "")
     socials = F.map_filter(F.create_map(*[x for k, p in C.SOCIAL_LINKS.items() for x in (F.lit(k), link(p))]), lambda k, v: v.isNotNull())
     year = lambda p: F.when(first_match(body, f"(?i){p}", 1).cast("int").between(1900, 2026), first_match(body, f"(?i){p}", 1))
-    noise = lambda e: any_of([F.contains(F.lower(e), F.lit(n)) for n in C.PAGE_EMAIL_NOISE])
+    noise = lambda e: F.lower(e).rlike(alternatives(C.PAGE_EMAIL_NOISE))
     emails = F.filter(F.regexp_extract_all(html, F.lit(C.PAGE_EMAIL), F.lit(0)), lambda e: ~noise(e))
     words = F.concat_ws(" ", F.lower(F.coalesce(page_title, F.lit(""))), F.lower(F.coalesce(meta("keywords"), F.lit(""))))
     return F.struct(
@@ -115,7 +117,7 @@ def page_facts(html: Column) -> Column:
         F.coalesce(*[year(p) for p in C.FOUNDED_YEARS]).alias("founded_year"),
         F.coalesce(*[strip(first_match(body, f"(?i){p}", 0)) for p in C.COMPANY_SIZES]).alias("company_size"),
         F.get(emails, F.lit(0)).alias("email"),
-        F.coalesce(*[F.when(F.contains(words, F.lit(k)), v) for k, v in C.PAGE_INDUSTRIES]).alias("industry"),
+        F.coalesce(*[F.when(words.rlike(alternatives(ks)), v) for ks, v in by_label(C.PAGE_INDUSTRIES)]).alias("industry"),
     )
 
 
@@ -125,7 +127,7 @@ def _decimal(x: str | float) -> Column:
 
 def industry_score(industry: Column) -> Column:
     low = strip(F.lower(industry))
-    known = any_of([low.startswith(k) for k in C.RECOGNISED_INDUSTRIES])  # the sub-categories all start with a recognised industry
+    known = low.rlike(f"^(?:{alternatives(C.RECOGNISED_INDUSTRIES)})")  # the sub-categories all start with a recognised industry
     return F.when(~full(industry), _decimal("0.5")).when(known, _decimal("1")).otherwise(_decimal("0.7"))
 
 

@@ -6,11 +6,13 @@ UDF gets a value only for rows with a character beyond ASCII and null for all ot
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .. import constants as C
 
@@ -19,6 +21,11 @@ def lit_map(values: dict[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for kv in values.items() for x in kv])
 
 
+def alternatives(texts: list[str]) -> str:
+    """A pattern for any of the texts; one such test compiles to far less code than a test for each."""
+    return "|".join(dict.fromkeys(re.escape(t) for t in texts))
+
+
 def full(x: Column) -> Column:
     """Whether a string is neither null nor empty."""
     return F.coalesce(x != "", F.lit(False))
@@ -42,7 +49,7 @@ def or_null(x: Column) -> Column:
     return F.nullif(x, F.lit(""))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())  # a type object, as parsing a name needs a session
 def _nfkc(x: pd.Series) -> pd.Series:
     return x.str.normalize("NFKC")
 
@@ -57,10 +64,17 @@ def title(x: Column) -> Column:
     return F.array_join(F.transform(parts, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.lower(F.substr(p, F.lit(2))))), "")
 
 
+def trailing_cities() -> str:
+    """One pattern for a tail of cities that removing each listed city in turn, once, would take off.
+
+    Going back from the end of a name, such a tail names cities in list order.
+    """
+    return "(?i)" + "".join(rf"(?:,\s*{c}\s*)?" for c in reversed(C.TRAILING_CITIES)) + "$"
+
+
 def standard_name(name: Column) -> Column:
     first = strip(F.regexp_replace(collapse(nfkc(strip(name))), r"(?s)\s*[|\-].*$", ""))
-    cut = reduce(lambda x, city: strip(F.regexp_replace(x, rf"(?i),\s*{city}$", "")), C.TRAILING_CITIES, first)
-    return or_null(title(F.when(F.contains(first, F.lit(",")), cut).otherwise(first)))
+    return or_null(title(strip(F.regexp_replace(first, trailing_cities(), ""))))
 
 
 def match_name(name: Column) -> Column:
@@ -181,7 +195,7 @@ def snippet_name(title_: Column) -> Column:
     """The business name in a search result's title, or null for lists, articles and the like."""
     name = strip(title_)
     low = F.lower(name)
-    bad = reduce(lambda a, b: a | b, [low.startswith(p) for p in C.SKIP_PREFIXES] + [F.contains(low, F.lit(w)) for w in dict.fromkeys(C.SKIP_PHRASES + C.SKIP_WORDS)])
+    bad = low.rlike(f"^(?:{alternatives(C.SKIP_PREFIXES)})|{alternatives(C.SKIP_PHRASES + C.SKIP_WORDS)}")
     out = strip(F.regexp_replace(name, r"(?i)\s*[-–|]\s*(?:India|list|directory|contact|guide|article).*$", ""))
     return F.when(~bad & F.length(name).between(3, 100) & (F.length(out) > 2), out)
 

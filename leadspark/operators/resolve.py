@@ -41,12 +41,18 @@ def best(field: str) -> Column:
     return F.max_by(value, F.when(value.isNotNull(), F.struct(F.col("fill"), -F.col("idx"))))
 
 
+def with_keys(records: DataFrame) -> DataFrame:
+    """records with what they are compared by, made once."""
+    return records.withColumns({"name_key": match_name(F.col("name")), "city_key": group_key(F.col("city")), "phone_key": standard_phone(F.col("phone"))})
+
+
 def key_edges(records: DataFrame) -> DataFrame:
     """(a, b) between records that share a phone, a name and city, or a source record id."""
-    name = match_name(F.col("name"))
+    if "name_key" not in records.columns:
+        records = with_keys(records)
     keys = F.array(
-        F.concat(F.lit("p:"), standard_phone(F.col("phone"))),
-        F.when(F.length(name) >= 3, F.concat(F.lit("n:"), name, F.lit("|"), group_key(F.col("city")))),
+        F.concat(F.lit("p:"), "phone_key"),
+        F.when(F.length("name_key") >= 3, F.concat(F.lit("n:"), "name_key", F.lit("|"), "city_key")),
         F.when(full(F.col("source_record_id")), F.concat(F.lit("s:"), F.col("source_record_id"))),
     )
     return star_edges(records.select("idx", F.explode(F.array_compact(keys)).alias("key")))
@@ -66,14 +72,14 @@ def assign_clusters(records: DataFrame) -> DataFrame:
     edges together make the final clusters.
     """
     ensure_checkpoint_dir(records.sparkSession)
-    records = records.checkpoint()
+    records = with_keys(records).checkpoint()
     exact = key_edges(records).checkpoint()
     first = labelled(records.withColumn("fill", _fill(["name", "phone", "address", "website", "city"])), exact)
     of = first.groupBy("root").agg(best("name").alias("name"), best("city").alias("city"))
     block = F.when(group_key(F.col("city")) == "", "_unknown_").otherwise(group_key(F.col("city")))
     fuzzy = similar_names(of.select(F.col("root").alias("item"), block.alias("block"), match_name(F.col("name")).alias("name")), FUZZY)
-    spatial = near_and_similar(records.select(F.col("idx").alias("item"), match_name(F.col("name")).alias("name"), "latitude", "longitude"), SPATIAL)
-    return labelled(records, exact.unionByName(fuzzy).unionByName(spatial))
+    spatial = near_and_similar(records.select(F.col("idx").alias("item"), F.col("name_key").alias("name"), "latitude", "longitude"), SPATIAL)
+    return labelled(records, exact.unionByName(fuzzy).unionByName(spatial)).drop("name_key", "city_key", "phone_key")
 
 
 def clusters(assigned: DataFrame) -> DataFrame:

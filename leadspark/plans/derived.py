@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import configure
 from ..sources.payload import payload
 
 ORGANIZATION, RUN = "org-1", "00000000-0000-4000-8000-000000000001"
@@ -69,6 +70,7 @@ def raw_sql() -> str:
 
 def raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows as raw records."""
+    configure(spark)
     parts = None
     for source, table, key, s in PARTS:
         keys = spark.read.parquet(f"{sf_dir}/{table}.parquet").select(F.col(key).cast("long").alias("k"), F.lit(s).alias("s"))

@@ -132,7 +132,7 @@ def closure(name: str, edges: str) -> str:
 
 
 _FILL = " + ".join(f"CASE WHEN coalesce(trim({f}) <> '', false) THEN 1 ELSE 0 END" for f in ("name", "phone", "address", "website", "city"))
-BEST = lambda f: f"arg_max(nullif(trim({f}), ''), CASE WHEN nullif(trim({f}), '') IS NOT NULL THEN ({_FILL}) * 1000000000 - idx END)"
+BEST = lambda f: f"arg_max(nullif(trim({f}), ''), CASE WHEN nullif(trim({f}), '') IS NOT NULL THEN ({_FILL}) * 1000000000::BIGINT - idx END)"
 
 CLUSTERS = f"""{CLEANED}, {KEY_EDGES}, {closure('first_', 'exact')}, firsts AS MATERIALIZED (
   SELECT root, {BEST('name')} AS name, {BEST('city')} AS city FROM (SELECT c.*, coalesce(f.label, c.idx) AS root FROM cleaned c LEFT JOIN first_ f ON f.node = c.idx) GROUP BY root
@@ -151,7 +151,7 @@ CLUSTERS = f"""{CLEANED}, {KEY_EDGES}, {closure('first_', 'exact')}, firsts AS M
   SELECT c.*, coalesce(f.label, c.idx) AS root FROM cleaned c LEFT JOIN final_ f ON f.node = c.idx
 ), clusters AS MATERIALIZED (
   SELECT root, {', '.join(f'{BEST(f)} AS best_{f}' for f in ('name', 'phone', 'address', 'website', 'city', 'state'))},
-    arg_max({{'a': latitude, 'o': longitude}}, CASE WHEN {num('latitude')} AND {num('longitude')} THEN ({points(*[(full(f), 1) for f in ('name', 'phone', 'address', 'website')])}) * 1000000000 - idx END) AS place,
+    arg_max({{'a': latitude, 'o': longitude}}, CASE WHEN {num('latitude')} AND {num('longitude')} THEN ({points(*[(full(f), 1) for f in ('name', 'phone', 'address', 'website')])}) * 1000000000::BIGINT - idx END) AS place,
     arg_min({{'r': rating, 'n': CASE WHEN reviews_count <> 0 THEN reviews_count END}}, CASE WHEN rating IS NOT NULL THEN idx END) AS rated,
     max(completeness) AS completeness, array_to_string(list_sort(list(DISTINCT source_adapter)), ',') AS source_adapters, string_agg(record_id, ',' ORDER BY idx) AS record_ids, count(*) AS size
   FROM assigned GROUP BY root

@@ -122,7 +122,7 @@ def enrich(companies: DataFrame, facts: DataFrame | None = None, pages: DataFram
         for c, kind in (("n_records", "long"), ("own_email", "string"), ("phones", "array<string>"), ("google_maps_url", "string"), ("own_links", "map<string,string>")):
             rows = rows.withColumn(c, F.lit(None).cast(kind))
     site = F.when(F.coalesce(*[F.col(f"page.{c}") for c in ("title", "description", "founded_year", "company_size", "email", "industry")], F.when(F.col("page.social_links").isNotNull(), "x")).isNotNull(), F.concat(F.lit("website:"), "website"))
-    by_name = A.industry_of_name(F.col("name"))
+    rows, by_name = rows.withColumn("by_name", A.industry_of_name(F.col("name"))), F.col("by_name")
     none = F.create_map().cast("map<string,string>")
     page_links, own_links = F.coalesce("page.social_links", none), F.coalesce("own_links", none)
     both = F.map_concat(F.map_filter(own_links, lambda k, v: ~F.map_contains_key(page_links, k)), page_links)
