@@ -43,7 +43,7 @@ def test_address_parts(spark):
 
 
 def test_phones_in_text(spark):
-    assert apply(spark, T.phones_in, ["call 98765 43210 or 12", "x"]) == [["9876543210"], []]
+    assert apply(spark, T.phones_in, ["call 080 4965 3185 or 12", "x"]) == [["08049653185"], []]
 
 
 def test_listing_fields(spark):
