@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from .textnum import mix, small_batches, steps
 
 #: Documents of a language that its model is fitted on at most, the ones with the smallest hash of doc_id.
-TRAIN_DOCS = 1500
+TRAIN_DOCS = 1000
 #: Characters of these documents that are counted at most for a language.
-TRAIN_CHARS = 4_000_000
+TRAIN_CHARS = 1_000_000
 ORDER = 4
 DISCOUNT = 0.75
 #: A text is rejected when its cross-entropy is above the training documents' by so many deviations, widened for short texts.
