@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from .textnum import ensure_checkpoint_dir
 
 
+#: Edges, each way, up to which the rounds run in one task, as the exchanges of many small tasks would cost more than the work.
+ONE_TASK = 400_000
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) for every node of edges(a, b); label is the smallest node of its component.
 
@@ -15,19 +19,23 @@ def components(edges: DataFrame) -> DataFrame:
     then follows labels once (pointer jumping), so a path of n nodes takes about
     log n rounds and a star two.  The labels are checkpointed in each round; the
     partial aggregation keeps a hub's edges in the tasks that read them.
+    A table of a checked small size takes its rounds in one task; larger ones are exchanged.
     Edges with a null end are ignored; an empty table gives an empty result.
     """
     spark = edges.sparkSession
     ensure_checkpoint_dir(spark)
     e = edges.select("a", "b").where("a is not null and b is not null and a <> b")
     both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("label")).checkpoint()
+    small = both.count() <= ONE_TASK
+    one = (lambda df: df.coalesce(1)) if small else (lambda df: df)
+    both = one(both)
+    labels = one(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("label")).checkpoint())
     while True:
         near = both.join(labels, both.b == labels.node).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         low = labels.join(near, "node", "left").select("node", F.least("label", "near").alias("low"), F.col("label").alias("old"))
         to = labels.select(F.col("node").alias("low"), F.col("label").alias("next"))
         new = low.join(to, "low", "left").select("node", F.least("low", "next").alias("label"), "old").checkpoint()
         moved = new.where("label <> old").limit(1).count()
-        labels = new.select("node", "label")
+        labels = one(new.select("node", "label"))
         if not moved:
             return labels
