@@ -30,18 +30,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
-from .textnum import NON_SPACE, ensure_checkpoint_dir, mix, shingles, small_batches, steps, word_hashes, words
+from .textnum import NON_SPACE, ensure_checkpoint_dir, mix, release, shingles, small_batches, steps, word_hashes, words
 
 #: Buckets of the sketch of token counts: 4 MB in any task, at any size of the input.
 SKETCH_BITS = 20
-#: A token is frequent from this count on, and from this multiple of the mean bucket.
-FREQUENT_LEAST, FREQUENT_TIMES = 64, 4
+#: A token is frequent when its bucket is this far, in documents and in deviations, above the mean bucket.
+FREQUENT_LEAST, FREQUENT_DEVIATIONS = 32, 8
 #: Documents of fewer tokens index single tokens only; a sub-class for each so many tokens of a size class.
 PAIRS_FROM, TOKENS_PER_SUBCLASS = 64, 8
 #: Hot entries are counted in so many parts.
 SALTS = 8
 #: Rounds that tie an entry's documents to one of them before all remaining pairs are made.
-STAR_ROUNDS = 2
+STAR_ROUNDS = 3
+#: Labels are broadcast up to so many; more are joined by an exchange.
+BROADCAST_LABELS = 500_000
 #: Bits of the filter of documents to verify: at most 8 MB, whatever the input.
 FILTER_BITS = 26
 
@@ -77,60 +79,92 @@ def node_of(key: bytes) -> int:
     return int.from_bytes(key[:8], "little", signed=True)
 
 
+def bitmap(tokens: np.ndarray) -> bytes:
+    """Which low hash bits the tokens have, in a power of two of at least twice as many bits as tokens."""
+    size = 1 << max(6, (2 * len(tokens) - 1).bit_length() if len(tokens) else 6)
+    bits = np.zeros(size, dtype=np.uint8)
+    bits[(tokens & _U(size - 1)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def most_overlap(n: int, bits: np.ndarray, other: np.ndarray) -> int:
+    """What a set of n tokens can share at most with a set of the bitmap `other`: each bit that is missing there is a token less."""
+    size = min(len(bits), len(other))
+    own, other = (np.bitwise_or.reduce(x.reshape(-1, size), axis=0) for x in (bits, other))
+    return n - int(np.bitwise_count(own & ~other).sum())
+
+
+def links(n: int, m: int, both: int) -> bool:
+    return 100 * both >= 75 * (n + m - both)
+
+
 def least_overlap(n: int) -> int:
     """Tokens that a set of n must share with any set that it links with."""
     return (3 * n + 3) // 4
 
 
-def entries(tokens: np.ndarray, counts: np.ndarray, frequent: float) -> tuple[np.ndarray, np.ndarray]:
-    """(index entries, whether each may be hot) of one set, under one global order of tokens."""
+def entries(tokens: np.ndarray, counts: np.ndarray, frequent: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(index entries, whether each may be hot, their places) of one set, under one global order of tokens.
+
+    An entry's place counts the prefix up to its last token, less one for each sub-class
+    met; two sets of n and m tokens that link with an overlap of at least k share an entry whose places
+    are at most n - k + 1 and m - k + 1.
+    """
     n = len(tokens)
     if n == 0:
-        return np.zeros(0, _U), np.zeros(0, bool)
+        return np.zeros(0, _U), np.zeros(0, bool), np.zeros(0, np.int64)
     need = n - least_overlap(n) + 1
     seen = counts[tokens >> _U(64 - SKETCH_BITS)]
     key = (np.minimum(seen, 65535).astype(_U) << _U(48)) | (tokens >> _U(16))
     order = np.argsort(key, kind="stable")
     tokens, often = tokens[order], seen[order] >= frequent
     if not often[:need].any():
-        return tokens[:need], often[:need]
+        return tokens[:need], often[:need], np.arange(1, need + 1)
     at = int(np.searchsorted(_EDGES, n, "right")) - 1
-    single, found = np.zeros(n, dtype=bool), []
+    place = np.full(n, n + 1, dtype=np.int64)  # of tokens that are indexed singly
+    found, hot_places = [np.zeros(0, _U)], [np.zeros(0, np.int64)]
     for size_class in (at, at + 1):  # partners lie here; both sides must follow the rule of one class
         if _EDGES[size_class] < PAIRS_FROM:
-            single[:need] = True
+            place[:need] = np.minimum(place[:need], np.arange(1, need + 1))
             continue
         groups = int(_EDGES[size_class]) // TOKENS_PER_SUBCLASS
         where = np.flatnonzero(often)
         sub = (mix(tokens[where]) % _U(groups)).astype(np.int64)
         credit = np.ones(n, dtype=np.int64)
         credit[where[np.unique(sub, return_index=True)[1]]] = 0
-        length = int(np.searchsorted(np.cumsum(credit), need)) + 1
-        single[:length] |= ~often[:length]
+        total = np.cumsum(credit)
+        length = int(np.searchsorted(total, need)) + 1
+        rare = np.flatnonzero(~often[:length])
+        place[rare] = np.minimum(place[rare], total[rare])
         inside = where < length
         by = np.argsort(sub[inside], kind="stable")
-        t, g = tokens[where[inside][by]], sub[inside][by]
+        w, g = where[inside][by], sub[inside][by]
+        t = tokens[w]
         for d in range(1, len(t)):
             same = g[d:] == g[:-d]
             if not same.any():
                 break
             with np.errstate(over="ignore"):
                 found.append(mix(t[:-d][same] * _U(0x9E3779B97F4A7C15) + t[d:][same] * _U(0xC2B2AE3D27D4EB4F) + _U(size_class + 1)))
-    pairs = np.concatenate(found) if found else np.zeros(0, _U)
-    return np.concatenate([tokens[single], pairs]), np.concatenate([often[single], np.ones(len(pairs), bool)])
+            hot_places.append(total[w[d:][same]])
+    single = place <= n
+    pairs = np.concatenate(found)
+    return np.concatenate([tokens[single], pairs]), np.concatenate([often[single], np.ones(len(pairs), bool)]), np.concatenate([place[single], *hot_places])
 
 
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sketch = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
+    names = ["doc_id", "n", "cls", "node", "bits", "sketch"]
     for b in batches:
-        n, key, node = [], [], []
+        n, key, node, bits = [], [], [], []
         for _, t in token_sets(b.column("text")):
             n.append(len(t))
             key.append(digest(t))
             node.append(node_of(key[-1]))
+            bits.append(bitmap(t))
             np.add.at(sketch, (t >> _U(64 - SKETCH_BITS)).astype(np.int64), 1)
-        yield pa.record_batch([b.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(node, pa.int64()), pa.nulls(len(n), pa.binary())], ["doc_id", "n", "cls", "node", "sketch"])
-    yield pa.record_batch([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()), pa.array([zlib.compress(sketch.tobytes(), 1)], pa.binary())], ["doc_id", "n", "cls", "node", "sketch"])
+        yield pa.record_batch([b.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(node, pa.int64()), pa.array(bits, pa.binary()), pa.nulls(len(n), pa.binary())], names)
+    yield pa.record_batch([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([zlib.compress(sketch.tobytes(), 1)], pa.binary())], names)
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,7 +180,7 @@ def _entries_of(shared):
         counts, frequent = shared.value
         done: set[bytes] = set()  # copies met in this task; bounded below
         for b in batches:
-            out: list[list] = [[], [], [], []]
+            out: list[list] = [[] for _ in range(5)]
             for _, t in token_sets(b.column("text")):
                 key = digest(t)
                 if not len(t) or key in done:
@@ -154,13 +188,14 @@ def _entries_of(shared):
                 if len(done) > 200_000:
                     done.clear()
                 done.add(key)
-                entry, hot = entries(t, counts, frequent)
+                entry, hot, place = entries(t, counts, frequent)
                 out[0].append(entry.view(np.int64))
                 out[1].append(np.full(len(entry), node_of(key)))
                 out[2].append(np.full(len(entry), len(t), dtype=np.int64))
                 out[3].append(hot)
+                out[4].append(place)
             if out[0]:
-                yield pa.record_batch([pa.array(np.concatenate(x)) for x in out], ["entry", "node", "n", "hot"])
+                yield pa.record_batch([pa.array(np.concatenate(x)) for x in out], ["entry", "node", "n", "hot", "place"])
 
     return run
 
@@ -173,6 +208,7 @@ def _sets_of(shared):
             ids = b.column("doc_id").cast(pa.int64())
             h = mix(ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) >> top
             hit = ((bits[(h >> _U(3)).astype(np.int64)] >> (h & _U(7)).astype(np.uint8)) & 1).astype(bool)
+            hit |= ids.is_null().to_numpy(zero_copy_only=False)  # the filter names rows by id only
             part = pa.table({"text": b.column("text")}).filter(pa.array(hit)).column("text")
             nodes, cls, sets = [], [], []
             for _, t in token_sets(part):
@@ -185,13 +221,22 @@ def _sets_of(shared):
     return run
 
 
+def _may_link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        ok = []
+        for n, m, x, y in zip(b.column("m").to_pylist(), b.column("o").to_pylist(), b.column("x"), b.column("y"), strict=True):
+            s, t = np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)
+            ok.append(links(n, m, min(most_overlap(n, s, t), most_overlap(m, t, s))))
+        yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         ok = []
         for x, y in zip(b.column("x"), b.column("y"), strict=True):
             s, t = np.frombuffer(x.as_buffer(), _U), np.frombuffer(y.as_buffer(), _U)
             both = len(np.intersect1d(s, t, assume_unique=True))
-            ok.append(100 * both >= 75 * (len(s) + len(t) - both))
+            ok.append(links(len(s), len(t), both))
         yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
@@ -230,62 +275,71 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     small_batches(spark)
     ensure_checkpoint_dir(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    profile = docs.mapInArrow(_profile, "doc_id long, n long, cls binary, node long, sketch binary").checkpoint()
+    profile = docs.mapInArrow(_profile, "doc_id long, n long, cls binary, node long, bits binary, sketch binary").checkpoint()
     parts = profile.where("sketch is not null").select("sketch")
     counts = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
     level = parts.repartition(max(1, math.isqrt(profile.rdd.getNumPartitions()))).mapInArrow(_merge, "sketch binary")
     for x in level.repartition(1).mapInArrow(_merge, "sketch binary").collect():  # one row of fixed size
         counts = np.frombuffer(zlib.decompress(x["sketch"]), dtype=np.int64)
-    frequent = max(FREQUENT_LEAST, FREQUENT_TIMES * counts.mean())
-    rows = profile.where("cls is not null").select("doc_id", "n", "cls", "node")
-    classes = rows.where("n > 0").groupBy("cls", "node").agg(F.min("doc_id").alias("least"))
+    frequent = FREQUENT_LEAST + counts.mean() + FREQUENT_DEVIATIONS * math.sqrt(counts.mean())
+    rows = profile.where("cls is not null").select("doc_id", "n", "cls", "node", "bits")
+    classes = rows.where("n > 0").groupBy("cls", "node").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("bits").alias("bits")).checkpoint()
     node = F.col("node")
 
     shared = spark.sparkContext.broadcast((np.minimum(counts, 65535).astype(np.int64), frequent))
-    found = docs.mapInArrow(_entries_of(shared), "entry long, node long, n long, hot boolean")
+    found = docs.mapInArrow(_entries_of(shared), "entry long, node long, n long, hot boolean, place long")
     salt = F.when(F.col("hot"), F.pmod(node, F.lit(SALTS))).otherwise(F.lit(0))
     met = found.withColumn("salt", salt)
     together = F.count("*").over(Window.partitionBy("entry", "salt"))
-    lists = met.withColumn("k", together).where("hot or k > 1").select("entry", "node", "n").distinct().checkpoint()
+    lists = met.withColumn("k", together).where("hot or k > 1").select("entry", "node", "n", "place").distinct().checkpoint()
 
-    # the documents of all lists of two or more, for verification
     mine = lists.groupBy("entry").agg(F.min("node").alias("c"), F.max("node").alias("d")).where("c <> d").select("entry")
-    lists = lists.join(mine, "entry", "left_semi").checkpoint()
-    wanted = lists.select("node").distinct().join(classes, "node").select(F.col("least").alias("doc_id"))
-    bits = spark.sparkContext.broadcast(_id_filter(wanted))
-    sets = docs.mapInArrow(_sets_of(bits), "node long, cls binary, tokens binary")
-    sets = sets.join(lists.select("node").distinct(), "node", "left_semi").dropDuplicates(["cls"]).checkpoint()
-
+    lists = lists.join(mine, "entry", "left_semi").checkpoint()  # it stays dealt by entry
+    del met, found, mine
+    release()
     verified = edges = None
     labels = None
     for round_ in range(STAR_ROUNDS + 1):
         if labels is None:
             now = lists.withColumn("label", node)
         else:
-            now = lists.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-            open_ = now.groupBy("entry").agg(F.min("label").alias("c"), F.max("label").alias("d")).where("c <> d").select("entry")
-            now = now.join(open_, "entry", "left_semi").checkpoint()
+            known = F.broadcast(labels) if labels.count() <= BROADCAST_LABELS else labels
+            now = lists.join(known, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        # of each entry, the member with least before it is most likely what the others were copied from
+        lead = now.groupBy("entry").agg(F.min(F.struct("place", F.xxhash64("node", F.lit(round_)).alias("p"), "node", "n", "label")).alias("f"), F.min("label").alias("c"), F.max("label").alias("d")).where("c <> d")
+        now = now.join(lead.select("entry", F.col("f.label").alias("lead")), "entry")
+        if labels is not None:
+            now = now.checkpoint()
             if now.limit(1).count() == 0:
                 break
-        member = now.select("entry", F.col("node").alias("a"), F.col("n").alias("m"), F.col("label").alias("la"))
+        side = lambda v: [F.col("node").alias(v), F.col("n").alias(f"n{v}"), F.col("place").alias(f"p{v}"), F.col("label").alias(f"l{v}")]
+        outside = now.where("label <> lead").select("entry", *side("a"))
         if round_ < STAR_ROUNDS:
-            first = F.min(F.struct(F.xxhash64("node", F.lit(round_)).alias("p"), "node", "n", "label")).alias("f")
-            other = now.groupBy("entry").agg(first).select("entry", F.col("f.node").alias("b"), F.col("f.n").alias("o"), F.col("f.label").alias("lb"))
-            pairs = member.join(other, "entry").where("a <> b")
-        else:
-            other = now.select("entry", F.col("node").alias("b"), F.col("n").alias("o"), F.col("label").alias("lb"))
-            pairs = member.join(other, "entry").where("a < b")
-        pairs = pairs.where("la <> lb and 4 * least(m, o) >= 3 * greatest(m, o)")
+            other = lead.select("entry", "f.*").select("entry", *side("b"))
+        else:  # members of the leading component, though they may be many, are on one side only
+            other = now.select("entry", *side("b"))
+        overlap = F.ceil((F.col("na") + F.col("nb")) * 3 / F.lit(7.0) - F.lit(1e-9))
+        fits = (F.col("la") != F.col("lb")) & (4 * F.least("na", "nb") >= 3 * F.greatest("na", "nb")) & (F.col("pa") <= F.col("na") - overlap + 1) & (F.col("pb") <= F.col("nb") - overlap + 1)
+        pairs = outside.join(other, "entry").where(fits)
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if verified is not None:
             pairs = pairs.join(verified, ["a", "b"], "left_anti")
         pairs = pairs.checkpoint()
         verified = pairs if verified is None else verified.unionByName(pairs)
+        # bitmaps rule most pairs out that share some passage only; the rest is verified on the sets, of which only theirs are made
+        x = classes.select(F.col("node").alias("a"), F.col("n").alias("m"), F.col("bits").alias("x"))
+        y = classes.select(F.col("node").alias("b"), F.col("n").alias("o"), F.col("bits").alias("y"))
+        likely = pairs.join(y, "b").join(x, "a").select("a", "b", "m", "o", "x", "y").mapInArrow(_may_link, "a long, b long").checkpoint()
+        ends = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        wanted = ends.join(classes, "node").select(F.col("least").alias("doc_id"))
+        bits = spark.sparkContext.broadcast(_id_filter(wanted))
+        sets = docs.mapInArrow(_sets_of(bits), "node long, cls binary, tokens binary").checkpoint()
         x = sets.select(F.col("node").alias("a"), F.col("tokens").alias("x"))
         y = sets.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
-        good = pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long").checkpoint()
+        good = likely.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long").distinct().checkpoint()
         edges = good if edges is None else edges.unionByName(good)
         labels = components(edges)
+        release()
 
     tied = classes.join(labels, "node", "left").select("cls", "least", F.coalesce("label", "node").alias("label"))
     lowest = tied.groupBy("label").agg(F.min("least").alias("component_id"))

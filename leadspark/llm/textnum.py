@@ -153,3 +153,18 @@ def ensure_checkpoint_dir(spark) -> None:
         import tempfile
 
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+
+
+def release() -> None:
+    """Let Spark delete the shuffle files and checkpoints that nothing refers to any more.
+
+    Its cleaner acts on what the driver's garbage collection finds, which may not come for
+    hours on a quiet driver, while the files fill the executors' disks.
+    """
+    import gc
+
+    from pyspark import SparkContext
+
+    gc.collect()
+    if SparkContext._active_spark_context is not None:
+        SparkContext._active_spark_context._jvm.System.gc()
