@@ -14,7 +14,11 @@ when their Jaccard similarity is at least 3/4.  The plan:
 3. An entry's documents are tied to one of them, which is verified on the sets;
    then entries that still touch several components are tied again, at last by all
    pairs across components.  A pair inside one component needs no test, so groups
-   of copies cost a multiple of their size, not its square, and no link is lost.
+   of copies cost a multiple of their size, not its square, and no component is lost.
+4. Where links are counted, all pairs of classes of a component are tested, as every
+   link lies inside one.  Its classes are dealt into blocks of bounded bytes, and each
+   pair of blocks that may link gives its overlaps by a matrix product.  The tests grow
+   with the square of a component's classes, the rows by that over a block's classes.
 """
 
 from __future__ import annotations
@@ -44,6 +48,10 @@ SALTS = 8
 STAR_ROUNDS = 3
 #: Labels are broadcast up to so many; more are joined by an exchange.
 BROADCAST_LABELS = 500_000
+#: Classes and tokens that a block of a component holds, about, where links are counted.
+BLOCK_CLASSES, BLOCK_TOKENS = 256, 500_000
+#: Tokens of one matrix product.
+COLUMNS = 4096
 #: Bits of the filter of documents to verify: at most 8 MB, whatever the input.
 FILTER_BITS = 26
 
@@ -240,6 +248,95 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many tokens each set of `left` shares with each of `right`; the tokens of a set are distinct."""
+    sides = []
+    for sets in (left, right):
+        sides.append((np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(t) for t in sets])))
+    known = np.intersect1d(sides[0][0], sides[1][0])
+    columns = []
+    for tokens, owner in sides:
+        at = np.searchsorted(known, tokens)
+        there = at < len(known)
+        there[there] = known[at[there]] == tokens[there]
+        at, owner = at[there], owner[there]
+        by = np.argsort(at, kind="stable")
+        columns.append((at[by], owner[by]))
+    both = np.zeros((len(left), len(right)), dtype=np.int64)
+    for lo in range(0, len(known), COLUMNS):
+        parts = []
+        for sets, (at, owner) in zip((left, right), columns, strict=True):
+            i, j = np.searchsorted(at, (lo, lo + COLUMNS))
+            part = np.zeros((len(sets), COLUMNS), dtype=np.float32)  # sums up to COLUMNS are exact
+            part[owner[i:j], at[i:j] - lo] = 1
+            parts.append(part)
+        both += (parts[0] @ parts[1].T).astype(np.int64)
+    return both
+
+
+def _links_of_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(cls, rows it links with in this pair of blocks) from rows sorted by label and pair; side is 0 where both blocks are one."""
+
+    def counted(group: list[tuple]) -> Iterator[tuple[bytes, int]]:
+        left, right = [x for x in group if x[0] < 2], [x for x in group if x[0] != 1]
+        if not left or not right or len(group) < 2:
+            return
+        n, m = (np.array([len(x[3]) for x in side]) for side in (left, right))
+        ok = links(n[:, None], m[None, :], overlaps([x[3] for x in left], [x[3] for x in right]))
+        if group[0][0] == 0:
+            np.fill_diagonal(ok, False)
+        else:
+            yield from zip((x[2] for x in right), (np.array([x[1] for x in left]) @ ok).tolist(), strict=True)
+        yield from zip((x[2] for x in left), (ok @ np.array([x[1] for x in right])).tolist(), strict=True)
+
+    key, group = None, []
+    names = ["label", "s", "b", "t", "c"]
+    for b in batches:
+        out: list[tuple[bytes, int]] = []
+        keys = zip(*(b.column(x).to_pylist() for x in names), strict=True)
+        for now, side, k, cls, tokens in zip(keys, b.column("side").to_pylist(), b.column("k").to_pylist(), b.column("cls").to_pylist(), b.column("tokens"), strict=True):
+            if now != key:
+                out += counted(group)
+                key, group = now, []
+            group.append((side, k, cls, np.frombuffer(tokens.as_buffer(), _U)))
+        yield pa.record_batch([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.int64())], ["cls", "n_links"])
+    out = list(counted(group))
+    yield pa.record_batch([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.int64())], ["cls", "n_links"])
+
+
+def _linked_rows(docs: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
+    """(cls, rows of other classes that it links with) for classes(cls, node, least, n, k), of which labels(node, label) names the components."""
+
+    def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            s = np.searchsorted(_EDGES, b.column("n").to_numpy(), "right")
+            yield pa.record_batch([*b.columns, pa.array(s.astype(np.int32))], [*b.schema.names, "s"])
+
+    mine = classes.select("cls", "node", "least", "n", "k").join(labels, "node").select("cls", "least", "n", "k", "label")
+    mine = mine.mapInArrow(sized, "cls binary, least long, n long, k long, label long, s int").checkpoint()
+    held = mine.groupBy("label", "s").agg(F.count("*").alias("rows"), F.sum("n").alias("tokens"))
+    whole = held.groupBy("label").agg(F.collect_list(F.struct("s", "rows", "tokens")).alias("x"), F.sum("rows").alias("rows"), F.sum("tokens").alias("tokens"))
+    # a component of one block needs no size classes: null stands for that
+    deal = F.when((F.col("rows") > BLOCK_CLASSES) | (F.col("tokens") > BLOCK_TOKENS), F.map_from_entries(F.transform("x", lambda x: F.struct(x["s"], F.ceil(F.greatest(x["rows"] / BLOCK_CLASSES, x["tokens"] / BLOCK_TOKENS)).cast("int")))))
+    mine = mine.join(whole.where("rows > 1").select("label", deal.alias("blocks")), "label").checkpoint()
+    bits = docs.sparkSession.sparkContext.broadcast(_id_filter(mine.select(F.col("least").alias("doc_id"))))
+    sets = docs.mapInArrow(_sets_of(bits), "node long, cls binary, tokens binary").select("cls", "tokens")
+    s, own = F.col("s"), F.col("own")
+    pair = lambda s, b, t, c, side: F.struct(s.cast("int").alias("s"), b.cast("int").alias("b"), t.cast("int").alias("t"), c.cast("int").alias("c"), F.lit(side).cast("int").alias("side") if isinstance(side, int) else side.cast("int").alias("side"))
+    others = lambda t: F.when(F.element_at("blocks", t).isNull(), F.array().cast("array<int>")).otherwise(F.sequence(F.lit(0), F.element_at("blocks", t) - 1))
+    same = F.transform(others(s), lambda c: pair(s, F.least(own, c), s, F.greatest(own, c), F.when(own == c, 0).when(own < c, 1).otherwise(2)))
+    above = F.transform(others(s + 1), lambda c: pair(s, own, s + 1, c, 1))
+    below = F.transform(others(s - 1), lambda c: pair(s - 1, c, s, own, 2))
+    zero = F.lit(0)
+    pairs = F.when(F.col("blocks").isNull(), F.array(pair(zero, zero, zero, zero, 0))).otherwise(F.concat(same, above, below))
+    mine = mine.withColumn("own", F.pmod(F.xxhash64("cls"), F.element_at("blocks", s)))
+    dealt = sets.join(mine.select("cls", "label", "k", pairs.alias("pairs")), "cls").dropDuplicates(["cls"])
+    dealt = dealt.select("label", F.explode("pairs").alias("p"), "k", "cls", "tokens").select("label", "p.*", "k", "cls", "tokens")
+    by = ["label", "s", "b", "t", "c"]
+    found = dealt.repartition(*by).sortWithinPartitions(*by).mapInArrow(_links_of_blocks, "cls binary, n_links long")
+    return found.groupBy("cls").agg(F.sum("n_links").alias("n_links"))
+
+
 def _id_filter(ids: DataFrame) -> np.ndarray:
     """A bit array of fixed size that holds the hash of every doc_id; made by OR in the executors."""
     rows = ids.count()
@@ -262,13 +359,15 @@ def _id_filter(ids: DataFrame) -> np.ndarray:
     return np.zeros(size // 8, dtype=np.uint8)
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of docs(doc_id, text).
+def near_duplicates(docs: DataFrame, count_links: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row of docs(doc_id, text), with count_links also n_links.
 
     component_id is the smallest doc_id that links lead to, the row's own included;
     rows without words link with nothing and keep their own id.  Null texts count as empty.
     Rows that repeat a doc_id are rows of their own; a row with a null doc_id takes
     part in links, and its component_id is null only if no member has an id.
+    n_links is the number of other rows that the row links with, exact copies included;
+    its sum is twice the number of links.
     Other columns are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
@@ -283,7 +382,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         counts = np.frombuffer(zlib.decompress(x["sketch"]), dtype=np.int64)
     frequent = FREQUENT_LEAST + counts.mean() + FREQUENT_DEVIATIONS * math.sqrt(counts.mean())
     rows = profile.where("cls is not null").select("doc_id", "n", "cls", "node", "bits")
-    classes = rows.where("n > 0").groupBy("cls", "node").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("bits").alias("bits")).checkpoint()
+    copies = [F.count("*").alias("k")] if count_links else []
+    classes = rows.where("n > 0").groupBy("cls", "node").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("bits").alias("bits"), *copies).checkpoint()
     node = F.col("node")
 
     shared = spark.sparkContext.broadcast((np.minimum(counts, 65535).astype(np.int64), frequent))
@@ -344,4 +444,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     tied = classes.join(labels, "node", "left").select("cls", "least", F.coalesce("label", "node").alias("label"))
     lowest = tied.groupBy("label").agg(F.min("least").alias("component_id"))
     of = tied.join(lowest, "label").select("cls", "component_id")
-    return rows.join(of, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
+    if not count_links:
+        return rows.join(of, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), component)
+    linked = classes.select("cls", "k").join(_linked_rows(docs, classes, labels), "cls", "left")
+    of = of.join(linked.select("cls", (F.coalesce("n_links", F.lit(0)) + F.col("k") - 1).alias("n_links")), "cls")
+    return rows.join(of, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), component, F.coalesce("n_links", F.lit(0)).alias("n_links"))

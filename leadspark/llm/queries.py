@@ -20,6 +20,11 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op1_ngram_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op1_ngram_join with the number of links of each document."""
+    return ngram_join.near_duplicates(_table(spark, sf_dir, "documents"), count_links=True)
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     labelled = docs.join(_table(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id").where(_remainder(4) != 2)
@@ -93,12 +98,12 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    ops = (op1_ngram_join, op2_toxicity, op3_language, op4_warc, op5_licenses, op6_media, op7_secrets, op8_url_lists, op9_packing, op10_decontaminate)
+    ops = (op1_ngram_join, op1_ngram_links, op2_toxicity, op3_language, op4_warc, op5_licenses, op6_media, op7_secrets, op8_url_lists, op9_packing, op10_decontaminate)
     return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_join": NGRAM_SQL, "op4_warc": WARC_SQL, "op7_secrets": SECRETS_SQL, "op8_url_lists": URL_SQL}
+    return {"op1_ngram_join": NGRAM_SQL, "op1_ngram_links": LINKS_SQL, "op4_warc": WARC_SQL, "op7_secrets": SECRETS_SQL, "op8_url_lists": URL_SQL}
 
 
 NGRAM_SQL = r"""
@@ -121,6 +126,12 @@ SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, CAST(least(s.doc_id, co
 FROM s LEFT JOIN low ON low.a = s.doc_id
 """
 
+#: The same with the links of each document.
+LINKS_SQL = f"""
+WITH j AS MATERIALIZED ({NGRAM_SQL}), {NGRAM_SQL.split("RECURSIVE")[1].split(", both_ways")[0]}, l AS (SELECT d, count(*) AS n FROM (SELECT a AS d FROM e UNION ALL SELECT b FROM e) GROUP BY d)
+SELECT j.*, CAST(coalesce(l.n, 0) AS BIGINT) AS n_links FROM j LEFT JOIN l ON l.d = j.doc_id
+"""
+
 WARC_SQL = r"""
 WITH r AS (
   SELECT page_id, coalesce(url, '') AS u, coalesce(html, '') AS h,
