@@ -17,17 +17,38 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return language.without_rejected(docs, language.fit(docs.where(~held_out)))
 
 
+def numbered(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """docs with a number for each row, `__row`, that is the same whenever it is read: the row's place in its file.
+
+    What is not a plain read of Parquet files is written to the shared folder first.
+    """
+    if docs._jdf.queryExecution().analyzed().nodeName() != "LogicalRelation" or "parquet" not in docs._jdf.queryExecution().analyzed().toString():
+        ensure_checkpoint_dir(spark)
+        path = f"{spark.sparkContext.getCheckpointDir()}/rows-{uuid.uuid4().hex}"
+        docs.write.parquet(path)
+        docs = spark.read.parquet(path)
+    named = docs.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__at"))
+    files = named.select("__file").distinct().withColumn("__n", F.row_number().over(Window.orderBy("__file")))  # one row a file
+    return named.join(F.broadcast(files.checkpoint()), "__file").withColumn("__row", F.col("__n") * F.lit(1 << 40) + F.col("__at")).drop("__file", "__n", "__at")
+
+
 def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document of smallest doc_id; of rows of one doc_id the smallest text.
+    """Of each group of near-duplicates one row: that of smallest doc_id, and of rows of one doc_id the smallest text.
 
-    Rows with a null doc_id cannot be told apart by a group's id and stay.
+    Groups hold rows, not ids: rows that repeat an id, or have none, are grouped by their texts alone.
+    A null doc_id counts as the smallest, as in Spark's order.  Rows without words stay.
     """
-    groups = ngram_join.near_duplicates(docs)
-    dropped = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.where("doc_id is not null").join(dropped, "doc_id", "left_anti")
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    kept = kept.withColumn("__k", first).where("__k = 1").drop("__k")
-    return kept.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    rows = numbered(spark, docs)
+    groups = ngram_join.near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text"))
+    groups = groups.select(F.col("doc_id").alias("__row"), "component_id").checkpoint()
+    several = groups.groupBy("component_id").count().where("count > 1").select("component_id")
+    members = groups.join(several, "component_id").join(rows.select("__row", "doc_id"), "__row").checkpoint()
+    # texts are compared only where rows of a group share an id
+    ties = members.groupBy("component_id", F.coalesce("doc_id", F.lit(0)).alias("i"), F.isnull("doc_id").alias("j")).agg(F.count("*").alias("n"), F.collect_list("__row").alias("r")).where("n > 1")
+    texts = rows.select("__row", "text").join(ties.select(F.explode("r").alias("__row")), "__row")
+    first = members.join(texts, "__row", "left").groupBy("component_id").agg(F.min(F.struct("doc_id", "text", "__row"))["__row"].alias("__row"))
+    dropped = members.join(first, "__row", "left_anti").select("__row")
+    return rows.join(dropped, "__row", "left_anti").select(*docs.columns)
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
