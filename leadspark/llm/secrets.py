@@ -21,6 +21,8 @@ HEX = r"[0-9a-f]{32,}"
 COPIED_OWNERS = 3
 #: A live-looking value has so many characters, and so many different ones.
 LIVE_LENGTH, LIVE_KINDS = 16, 8
+#: Where short values count too, an assigned one has so many characters, digits and letters among them, and half of them different.
+SHORT_LENGTH = 8
 PLACEHOLDER = r"(?i)example|changeme|placeholder|your|xxxx"
 
 _SPAN = "array<struct<start:bigint,rank:int,end:bigint,kind:string,value:string>>"
@@ -61,17 +63,22 @@ def owner_of(repository: Column) -> Column:
     return F.substring_index(repository, "/", 1)
 
 
-def live_spans(candidates: DataFrame) -> DataFrame:
+def live_spans(candidates: DataFrame, short: bool = False) -> DataFrame:
     """(rid, live, n_copied) for candidates(rid, repository, span): owner-specific live-looking values, and how many spans are copied examples.
 
     Hashes are made distinct by repository before they are counted, so that a value that
     a third of all rows hold reaches the counting tasks once a repository and task.
+    With `short`, assigned values from SHORT_LENGTH characters that mix letters and digits count as live-looking too.
     """
     c = candidates.withColumn("hash", F.sha2("span.value", 256)).withColumn("owner", owner_of(F.col("repository")))
     seen = c.select("hash", "owner", "repository").distinct()
     count = seen.groupBy("hash").agg(F.countDistinct("owner").alias("n_owners"), F.count("*").alias("n_repositories"))
     value = F.col("span.value")
-    looks = (F.length(value) >= LIVE_LENGTH) & (F.size(F.array_distinct(F.split(value, ""))) >= LIVE_KINDS) & ~value.rlike(PLACEHOLDER)
+    different = F.size(F.array_distinct(F.split(value, "")))
+    looks = (F.length(value) >= LIVE_LENGTH) & (different >= LIVE_KINDS)
+    if short:
+        looks |= (F.col("span.kind") == "assign") & F.length(value).between(SHORT_LENGTH, LIVE_LENGTH - 1) & value.rlike("[0-9]") & value.rlike("[A-Za-z]") & (2 * different >= F.length(value))
+    looks &= ~value.rlike(PLACEHOLDER)
     copied = F.col("n_owners") >= COPIED_OWNERS
     one = F.struct((F.col("span.end") - F.length(value)).cast("bigint").alias("start"), F.lit(3).alias("rank"), F.col("span.end").alias("end"), F.lit("live").alias("kind"), F.lit("").alias("value"))
     marked = c.join(count, "hash").select("rid", F.when(looks & ~copied, one).alias("live"), copied.alias("copied"))
@@ -103,7 +110,7 @@ def scan(docs: DataFrame, repository: str = "source") -> DataFrame:
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]", repository: str = "source") -> DataFrame:
-    """docs with all columns; each live value in the text is replaced by `mark`.
+    """docs with all columns; each live value in the text, short ones included, is replaced by `mark`.
 
     Rows without a candidate pass through unshuffled; only the others are joined with their
     live spans, by doc_id, repository and a hash of the text, which equal rows share.
@@ -113,7 +120,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", repository: str = "source")
     some = (F.contains(text, F.lit("=")) | F.contains(text, F.lit(":"))) & text.rlike(ASSIGN) | F.contains(text, F.lit("AKIA")) & text.rlike(ACCESS) | text.rlike(HEX)
     key = F.struct(F.col("doc_id"), F.col(repository), F.xxhash64("text"), F.length("text"))
     held = docs.where(some).withColumn("__rid", key)
-    live = live_spans(held.select(F.col("__rid").alias("rid"), F.coalesce(F.col(repository), F.lit("")).alias("repository"), F.explode(spans).alias("span"))).select(F.col("rid").alias("__rid"), "live")
+    live = live_spans(held.select(F.col("__rid").alias("rid"), F.coalesce(F.col(repository), F.lit("")).alias("repository"), F.explode(spans).alias("span")), short=True).select(F.col("rid").alias("__rid"), "live")
     last_first = F.reverse(F.array_sort("live"))
 
     def step(acc: Column, s: Column) -> Column:  # spans may overlap: each is cut where the next one starts
