@@ -7,6 +7,7 @@ the window up to a few bits (pigeonhole); candidates are then verified by the ex
 similarity of five-word shingles, sum of least counts over sum of largest counts.
 A similarity of 0.75 needs 6/7 of an item's shingles in the window, so windows with
 fewer shingles of any item are passed over before fingerprints are made; this loses none.
+An item of fewer than five words is one shingle of all its words, and so is each window of as many words.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textnum import ALNUM, mix, shingles, small_batches, steps, word_hashes, words
+from .textnum import _K, ALNUM, mix, shingles, small_batches, steps, word_hashes, words
 
 #: Windows of similarity 0.75 differ from their item in about 11 of 64 bits at most on average, with deviation 3.
 RADIUS = 22
@@ -70,6 +71,10 @@ class Items:
                     self.counts[lo + r] = Counter(s[s_at[r] : s_at[r + 1]].tolist())
                     self.sizes[m].append(lo + r)
                     self.prints[lo + r] = fingerprints(bit_sums(h[at[r] : at[r + 1]]), np.zeros(1, np.int64), m)[0]
+        self.short: dict[int, dict[int, list[int]]] = {}  # by number of words and shingle
+        for m in range(1, 5):
+            for r in self.sizes.get(m, ()):
+                self.short.setdefault(m, {}).setdefault(next(iter(self.counts[r])), []).append(r)
         known = np.array(sorted({x for c in self.counts for x in c}), dtype=_U)
         self.known = known
         self.bitmap = np.zeros(1 << _BITMAP, dtype=bool)
@@ -93,12 +98,34 @@ class Items:
         return [r for r in met if (int(self.prints[r]) ^ fingerprint).bit_count() <= RADIUS]
 
 
+def short_windows(h: np.ndarray, m: int) -> np.ndarray:
+    """The shingle of each window of m < 5 words, as shingles() makes it of a text of these words; windows may cross rows."""
+    n = max(0, len(h) - m + 1)
+    whole = np.full(n, m, dtype=_U)
+    with np.errstate(over="ignore"):
+        for j in range(m):
+            whole = whole * _K[0] + h[j : n + j] * _K[(j + 1) % 5]
+    return mix(whole ^ _K[4])
+
+
 def find(index: Items, column: pa.Array, threshold: float) -> Iterator[tuple[int, int, float, int]]:
     """(row, item, best similarity, first word of its first best window) of every item found in a row."""
     for lo, _, data, offs in steps(column):
         starts, ends, at = words(data, offs, ALNUM)
         h = word_hashes(data, starts, ends)
         s, s_at = shingles(h, at)
+        for m, by_hash in index.short.items():
+            g = short_windows(h, m)
+            i = np.flatnonzero(np.isin(g, np.array(list(by_hash), dtype=_U)))
+            r = np.searchsorted(at, i, "right") - 1
+            inside = i + m <= at[r + 1]
+            met = set()
+            for i, r in zip(i[inside].tolist(), r[inside].tolist(), strict=True):
+                x = int(g[i])
+                if (r, x) not in met:
+                    met.add((r, x))
+                    for item in by_hash[x]:
+                        yield lo + r, item, 1.0, i - int(at[r])
         where = np.flatnonzero(index.bitmap[(s >> _U(64 - _BITMAP)).astype(np.int64)])
         if not len(where):
             continue
@@ -115,9 +142,9 @@ def find(index: Items, column: pa.Array, threshold: float) -> Iterator[tuple[int
             total = None
             best: dict[int, tuple[float, int]] = {}
             for m in index.sizes:
-                width = min(m, len(tokens))  # a document shorter than the item is one window
-                if m < 5 and m != len(tokens):
+                if m < 5:
                     continue
+                width = min(m, len(tokens))  # a document shorter than the item is one window
                 span = max(1, width - 4)
                 first = np.arange(len(tokens) - width + 1)
                 need = threshold / (1 + threshold) * (span + max(1, m - 4)) - 1e-9
@@ -150,7 +177,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.75) -> Dat
     Words are runs of ASCII letters, digits and characters beyond ASCII, with A-Z read as
     a-z.  similarity is the best of all windows of the item's size, first_word where the
     first such window starts.  A document of fewer words than the item is one window; an
-    item of fewer than five words is only compared with documents of as many words.
+    item of fewer than five words is found where a document holds these words in a row.
     Null or empty texts on either side match nothing; repeated rows give repeated results;
     null ids are kept; other columns are ignored.
     """
