@@ -8,6 +8,7 @@ its slot by its rank among the pieces of its length.
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from array import array
 from collections import defaultdict
@@ -19,6 +20,11 @@ from pyspark.sql import functions as F
 
 from .textnum import ensure_checkpoint_dir, small_batches
 
+#: Characters of a run of white space, or between white space, from which a text goes to the library of the JSON file.
+LONG_RUN = 1000
+#: Partitions times lengths up to which the ranks' bases are broadcast: at most so many rows of 24 bytes.
+BROADCAST_BASES = 200_000
+_LONG_SPACE = re.compile(r"\s{%d}" % LONG_RUN)
 _ENCODERS: dict[tuple[str, str], tuple] = {}
 
 
@@ -26,8 +32,10 @@ def encoder(ranks_path: str, json_path: str, pattern: str):
     """text -> ids of the byte-level vocabulary, without added special tokens.
 
     The rank file holds the same vocabulary as the JSON file and is read by the
-    faster library; a text that spells a special token goes to the library of the
-    JSON file, which reads it as that token.
+    faster library, with equal ids.  Two kinds of texts go to the library of the JSON file:
+    those that spell a special token, which it reads as that token, and those with a run
+    of LONG_RUN characters that are all white space or all not, on which the faster
+    library overflows its stack or takes time with the square of the run.
     """
     key = (ranks_path, json_path)
     if key not in _ENCODERS:
@@ -39,7 +47,7 @@ def encoder(ranks_path: str, json_path: str, pattern: str):
     plain, slow = _ENCODERS[key]
 
     def encode(text: str) -> list[int]:
-        if "<|endoftext|>" in text:
+        if "<|endoftext|>" in text or len(text) >= LONG_RUN and (_LONG_SPACE.search(text) or max(map(len, text.split()), default=0) >= LONG_RUN):
             if not slow:
                 from tokenizers import Tokenizer
 
@@ -139,7 +147,7 @@ def _ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.append_column("local", pa.array(local, pa.int64()))
 
 
-def pack(docs: DataFrame, ranks_path: str, json_path: str, pattern: str, most: int = 1024, end_id: int = 2, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, ranks_path: str, json_path: str, pattern: str, most: int = 1024, end_id: int = 2, with_ids: bool = False, broadcast_bases: int = BROADCAST_BASES) -> DataFrame:
     """One row for each piece of docs(doc_id, text): where it lies in the packed sequences.
 
     Columns doc_id, piece, start, length, ids_crc32, sequence_id, offset; with_ids adds
@@ -162,7 +170,7 @@ def pack(docs: DataFrame, ranks_path: str, json_path: str, pattern: str, most: i
     kind_of_plan = "length long, lo long, hi long, first long, per long, base long"
     slots = spark.createDataFrame(plan(histogram, most), kind_of_plan)
     ranked = pieces.select("*", part).mapInArrow(_ranked, kind + ", part int, local long")
-    ranked = ranked.join(F.broadcast(before) if pieces.rdd.getNumPartitions() * most <= 200_000 else before, ["part", "length"])
+    ranked = ranked.join(F.broadcast(before) if pieces.rdd.getNumPartitions() * most <= broadcast_bases else before, ["part", "length"])
     ranked = ranked.withColumn("rank", F.col("before") + F.col("local")).drop("part", "local", "before")
     at = F.col("rank") - F.col("lo")
     joined = ranked.join(F.broadcast(slots), "length").where("rank >= lo and rank < hi")  # the plan's size depends on `most` alone
