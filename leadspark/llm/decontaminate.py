@@ -1,12 +1,17 @@
 """Benchmark decontamination by SimHash of item-sized windows.
 
 For every benchmark item of m words, the windows of m words of each document are
-compared with it.  A window's SimHash covers its words; items are found through
-blocks of the 64 bits, so that every item within the radius shares a block with
-the window up to a few bits (pigeonhole); candidates are then verified by the exact weighted
-similarity of five-word shingles, sum of least counts over sum of largest counts.
+compared with it.  A window's SimHash has 128 bits over its pairs of neighbouring words.  Items are found through
+16 blocks of 8 bits: a pair that differs in at most RADIUS bits has more than FLIPS different
+bits in at most RADIUS / (FLIPS + 1) blocks (pigeonhole), so it agrees, up to FLIPS bits, in
+all AGREE others; items that agree in fewer blocks are passed over unseen.  This guarantees every
+fingerprint within the radius and meets about one random item in a hundred.  Candidates are then verified by
+the exact weighted similarity of five-word shingles, sum of least counts over sum of largest counts.
+
 A similarity of 0.75 needs 6/7 of an item's shingles in the window, so windows with
 fewer shingles of any item are passed over before fingerprints are made; this loses none.
+It also bounds what a fingerprint can differ by: at most one pair in seven or so, and mostly far fewer, as each
+word that differs takes five shingles but two pairs.
 An item of fewer than five words is one shingle of all its words, and so is each window of as many words.
 """
 
@@ -14,7 +19,6 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -23,28 +27,41 @@ from pyspark.sql import functions as F
 
 from .textnum import _K, ALNUM, mix, shingles, small_batches, steps, word_hashes, words
 
-#: Windows of similarity 0.75 differ from their item in about 11 of 64 bits at most on average, with deviation 3.
-RADIUS = 22
-#: Blocks of the fingerprint; within RADIUS some block differs in at most RADIUS // BLOCKS bits.
-BLOCKS = 8
+#: Bytes of a fingerprint, each of them a block, and the bits in which an item may differ from a window.
+BLOCKS, RADIUS = 16, 29
+#: Bits in which blocks may differ that agree, and how many blocks then agree at least.
+FLIPS = 2
+AGREE = BLOCKS - RADIUS // (FLIPS + 1)
+#: Windows, and windows times items, that one numpy step handles.
+STEP_WINDOWS, STEP_PAIRS = 16_384, 4_000_000
 #: Items of one pass over the documents; a larger benchmark takes several, as this index goes to every task.
 ITEMS_PER_PASS = 10_000
 _BITMAP = 22
 _U = np.uint64
+_SECOND = _U(0x5851F42D4C957F2D)
 
 
-def bit_sums(h: np.ndarray) -> np.ndarray:
-    """Prefix sums, over words, of +1 and -1 for each of 64 hash bits."""
-    bits = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1).astype(np.int32) * 2 - 1
-    total = np.zeros((len(h) + 1, 64), dtype=np.int32)
-    np.cumsum(bits, axis=0, out=total[1:])
-    return total
-
+def fingerprints(h: np.ndarray, starts: np.ndarray, m: int) -> np.ndarray:
+    """SimHash, as BLOCKS bytes, of the pairs of words in [start, start + m) for each of the ascending starts.
 
-def fingerprints(total: np.ndarray, starts: np.ndarray, m: int) -> np.ndarray:
-    """SimHash of the words [start, start + m) for each start."""
-    up = (total[starts + m] - total[starts]) > 0
-    return np.packbits(up, axis=1).view("<u8").reshape(-1).astype(_U)
+    A step holds prefix sums of eight bits over the words of at most STEP_WINDOWS places.
+    """
+    out = np.zeros((len(starts), BLOCKS), dtype=np.uint8)
+    lo = 0
+    while lo < len(starts):
+        hi = int(np.searchsorted(starts, starts[lo] + STEP_WINDOWS))
+        own = h[starts[lo] : starts[hi - 1] + m]
+        with np.errstate(over="ignore"):
+            own = mix(own[:-1] * _K[0] + own[1:])
+        at = starts[lo:hi] - starts[lo]
+        for half, x in enumerate((own, mix(own ^ _SECOND))):
+            for k, byte in enumerate(x.astype("<u8").view(np.uint8).reshape(-1, 8).T):
+                total = np.zeros((len(own) + 1, 8), dtype=np.int32)
+                np.cumsum(np.unpackbits(byte[:, None], axis=1), axis=0, dtype=np.int32, out=total[1:])
+                up = 2 * (total[at + m - 1] - total[at]) > m - 1
+                out[lo:hi, 8 * half + k] = np.packbits(up, axis=1).reshape(-1)
+        lo = hi
+    return out
 
 
 def weighted_similarity(a: Counter, b: Counter) -> float:
@@ -60,7 +77,7 @@ class Items:
         column = pa.array(texts, pa.string())
         self.counts: list[Counter] = [Counter() for _ in ids]
         self.sizes: dict[int, list[int]] = defaultdict(list)
-        self.prints = np.zeros(len(ids), dtype=_U)
+        self.prints = np.zeros((len(ids), BLOCKS), dtype=np.uint8)
         for lo, hi, data, offs in steps(column):
             starts, ends, at = words(data, offs, ALNUM)
             h = word_hashes(data, starts, ends)
@@ -70,7 +87,7 @@ class Items:
                 if m:
                     self.counts[lo + r] = Counter(s[s_at[r] : s_at[r + 1]].tolist())
                     self.sizes[m].append(lo + r)
-                    self.prints[lo + r] = fingerprints(bit_sums(h[at[r] : at[r + 1]]), np.zeros(1, np.int64), m)[0]
+                    self.prints[lo + r] = fingerprints(h[at[r] : at[r + 1]], np.zeros(1, np.int64), m)[0]
         self.short: dict[int, dict[int, list[int]]] = {}  # by number of words and shingle
         for m in range(1, 5):
             for r in self.sizes.get(m, ()):
@@ -79,23 +96,30 @@ class Items:
         self.known = known
         self.bitmap = np.zeros(1 << _BITMAP, dtype=bool)
         self.bitmap[(known >> _U(64 - _BITMAP)).astype(np.int64)] = True
-        width = 64 // BLOCKS
-        near = [sum(1 << b for b in c) for k in range(RADIUS // BLOCKS + 1) for c in combinations(range(width), k)]
-        self.blocks: dict[int, list[list[list[int]]]] = {}
-        for m, rows in self.sizes.items():
-            tables = [[[] for _ in range(1 << width)] for _ in range(BLOCKS)]
-            for r in rows:
-                for b in range(BLOCKS):
-                    own = int(self.prints[r]) >> (width * b) & ((1 << width) - 1)
-                    for flip in near:
-                        tables[b][own ^ flip].append(r)
-            self.blocks[m] = tables
-
-    def near(self, m: int, fingerprint: int) -> list[int]:
-        """Items of m words whose fingerprint is within RADIUS."""
-        width, tables = 64 // BLOCKS, self.blocks[m]
-        met = {r for b in range(BLOCKS) for r in tables[b][fingerprint >> (width * b) & ((1 << width) - 1)]}
-        return [r for r in met if (int(self.prints[r]) ^ fingerprint).bit_count() <= RADIUS]
+        self._tables: dict[int, np.ndarray] = {}
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_tables": {}}  # made again where they are used
+
+    def agreeing(self, m: int, prints: np.ndarray) -> np.ndarray:
+        """For each fingerprint and each item of m words, whether they agree in AGREE blocks."""
+        if m not in self._tables:  # of each block and value, the items whose block agrees
+            every = np.arange(256, dtype=np.uint8)
+            own = self.prints[self.sizes[m]]
+            self._tables[m] = np.stack([np.bitwise_count(every[:, None] ^ own[:, k]) <= FLIPS for k in range(BLOCKS)]).astype(np.uint8)
+        blocks = np.zeros((len(prints), len(self.sizes[m])), dtype=np.uint8)
+        for k, table in enumerate(self._tables[m]):
+            blocks += table[prints[:, k]]
+        return blocks >= AGREE
+
+    def near(self, m: int, prints: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(fingerprint, item) of all items of m words that are within RADIUS of a fingerprint."""
+        rows = np.array(self.sizes[m])
+        step = max(1, STEP_PAIRS // len(rows))
+        for lo in range(0, len(prints), step):
+            i, j = np.nonzero(self.agreeing(m, prints[lo : lo + step]))
+            close = np.bitwise_count(prints[lo + i] ^ self.prints[rows[j]]).sum(axis=1) <= RADIUS
+            yield from zip((lo + i[close]).tolist(), rows[j[close]].tolist(), strict=True)
 
 
 def short_windows(h: np.ndarray, m: int) -> np.ndarray:
@@ -139,7 +163,6 @@ def find(index: Items, column: pa.Array, threshold: float) -> Iterator[tuple[int
             hits = np.zeros(len(own) + 1, dtype=np.int64)
             hits[own_hits - s_at[r] + 1] = 1
             hits = np.cumsum(hits)
-            total = None
             best: dict[int, tuple[float, int]] = {}
             for m in index.sizes:
                 if m < 5:
@@ -151,13 +174,11 @@ def find(index: Items, column: pa.Array, threshold: float) -> Iterator[tuple[int
                 enough = np.flatnonzero(hits[first + span] - hits[first] >= need)
                 if not len(enough):
                     continue
-                if total is None:
-                    total = bit_sums(tokens)
-                for i, f in zip(enough.tolist(), fingerprints(total, enough, width).tolist(), strict=True):
-                    for item in index.near(m, f):
-                        x = weighted_similarity(Counter(own[i : i + span].tolist()), index.counts[item])
-                        if x >= threshold and x > best.get(item, (0.0, 0))[0]:
-                            best[item] = (x, i)
+                for k, item in index.near(m, fingerprints(tokens, enough, width)):
+                    i = int(enough[k])
+                    x = weighted_similarity(Counter(own[i : i + span].tolist()), index.counts[item])
+                    if x >= threshold and x > best.get(item, (0.0, 0))[0]:
+                        best[item] = (x, i)
             for item, (x, i) in best.items():
                 yield lo + r, item, x, i
 

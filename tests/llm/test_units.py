@@ -75,7 +75,7 @@ def test_linked_sets_share_an_entry(frequent):
     counts = np.zeros(1 << N.SKETCH_BITS, dtype=np.int64)
     for s in sets:
         np.add.at(counts, (s >> np.uint64(64 - N.SKETCH_BITS)).astype(np.int64), 1)
-    entry = [dict(zip(*(x.tolist() for x in N.entries(s, counts, frequent)[::2]), strict=True)) for s in sets]
+    entry = [dict(zip(*(x.tolist() for x in N.entries(s, N.grades(counts), int(N.grades(np.array([frequent]))[0]))[::2]), strict=True)) for s in sets]
     linked = 0
     for i, j in combinations(range(len(sets)), 2):
         both = len(np.intersect1d(sets[i], sets[j]))
@@ -131,12 +131,49 @@ def test_blocks_find_all_within_radius():
     rng = random.Random(4)
     texts = [" ".join(f"v{rng.randrange(400)}" for _ in range(20)) for _ in range(300)]
     index = D.Items(list(range(300)), texts)
+    distance = lambda x: np.bitwise_count(index.prints ^ x).sum(axis=1)
     for r in range(0, 300, 7):
-        f = int(index.prints[r])
-        for b in rng.sample(range(64), D.RADIUS - 2):
-            f ^= 1 << b
-        want = {i for i in range(300) if (int(index.prints[i]) ^ f).bit_count() <= D.RADIUS}
-        assert set(index.near(20, f)) == want and r in want
+        bits = np.unpackbits(index.prints[r])
+        bits[rng.sample(range(128), D.RADIUS)] ^= 1
+        f = np.packbits(bits)
+        assert {i for _, i in index.near(20, f[None, :])} == set(np.flatnonzero(distance(f) <= D.RADIUS)) and distance(f)[r] == D.RADIUS
+
+
+def test_the_index_meets_few_items_and_finds_edited_ones():
+    rng = random.Random(8)
+    words = lambda n: [f"w{int(30 * rng.paretovariate(0.9)) % 3000}" for _ in range(n)]
+    tokens = lambda w: np.array(D.word_hashes(np.frombuffer(" ".join(w).encode(), np.uint8), *(x for x in D.words(np.frombuffer(" ".join(w).encode(), np.uint8), np.array([0, len(" ".join(w).encode())]), D.ALNUM)[:2])))
+    items = [words(40) for _ in range(400)]
+    index = D.Items(list(range(400)), [" ".join(x) for x in items])
+    some = tokens(words(4000))
+    prints = D.fingerprints(some, np.arange(0, 3900), 40)
+    assert index.agreeing(40, prints).mean() < 0.05
+    grams = lambda w: Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    met = want = 0
+    for r in range(400):
+        w = list(items[r])
+        if r % 2:  # a run of other words, the most that the similarity allows, or a few single ones
+            at = rng.randrange(5, 30)
+            w[at : at + 1] = words(1)
+        else:
+            at = rng.choice((0, 38))
+            w[at : at + 2] = words(2)
+        if D.weighted_similarity(grams(w), grams(items[r])) >= 0.75:
+            want += 1
+            met += any(i == r for _, i in index.near(40, D.fingerprints(tokens(w), np.zeros(1, np.int64), 40)))
+    assert want > 300 and met >= 0.99 * want
+
+
+def test_fingerprints_of_steps(monkeypatch):
+    h = np.random.default_rng(3).integers(1, 2**63, 500, dtype=np.uint64)
+    starts = np.sort(np.random.default_rng(4).choice(470, 200, replace=False))
+    whole = D.fingerprints(h, starts, 30)
+    monkeypatch.setattr(D, "STEP_WINDOWS", 17)
+    assert (D.fingerprints(h, starts, 30) == whole).all()
+    with np.errstate(over="ignore"):
+        pairs = D.mix(h[:-1] * D._K[0] + h[1:])
+    bits = [sum(1 if int(x) >> b & 1 else -1 for x in pairs[starts[5] : starts[5] + 29]) > 0 for b in range(64)]
+    assert [bool(x) for x in np.unpackbits(whole[5, :8], bitorder="big").reshape(8, 8).reshape(-1)] == [bits[8 * k + 7 - j] for k in range(8) for j in range(8)]
 
 
 @pytest.mark.parametrize("most", [8, 16, 100])
@@ -276,3 +313,27 @@ def test_window_max():
         else:
             means = [v[i : i + X.WINDOW].mean() for i in range(len(v) - X.WINDOW + 1)]
             assert best[r] == pytest.approx(max(means)) and where[r] == at[r] + int(np.argmax(means))
+
+
+def test_tokens_stay_frequent_however_full_the_sketch_is():
+    sets = random_sets(10, 6)
+    counts = np.full(1 << N.SKETCH_BITS, 100_000, dtype=np.int64)  # far above 16 bits
+    for s in sets:
+        np.add.at(counts, (s >> np.uint64(64 - N.SKETCH_BITS)).astype(np.int64), 2000)
+    grades, frequent = N.grades(counts), N.first_frequent(counts)
+    made = [N.entries(s, grades, frequent) for s in sets]
+    assert sum(hot.any() for _, hot, _ in made) >= 40  # the group of near copies at least
+    for i, j in combinations(range(len(sets)), 2):
+        n, m, both = len(sets[i]), len(sets[j]), len(np.intersect1d(sets[i], sets[j]))
+        if N.links(n, m, both):
+            assert np.intersect1d(made[i][0], made[j][0]).size
+
+
+@pytest.mark.parametrize("one_task", [0, 10**6])
+def test_components_in_one_task_and_in_many(spark, one_task):
+    from leadspark.llm.graph import components
+
+    edges = [(i, i + 1) for i in range(30)] + [(100, x) for x in range(101, 140)] + [(7, None), (None, None), (5, 5), (200, 201), (201, 200), (203, 201)]
+    got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long"), one_task).collect()}
+    assert got == {i: 0 for i in range(31)} | {x: 100 for x in range(100, 140)} | {200: 200, 201: 200, 203: 200}
+    assert components(spark.createDataFrame([], "a long, b long"), one_task).count() == 0
