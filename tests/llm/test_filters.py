@@ -14,4 +14,4 @@ def test_rows_are_filtered():
     at = png.index(b"IDAT")
     lines = np.frombuffer(zlib.decompress(png[at + 4 : at + 4 + int.from_bytes(png[at - 4 : at], "big")]), np.uint8).reshape(-1, 65)
     assert lines[:, 0].tolist() == [1, 0, 2, 0, 1]
-    assert M.decode(png).tobytes() == payload
+    assert M.decode([png])[0].tobytes() == payload

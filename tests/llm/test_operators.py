@@ -136,13 +136,15 @@ def test_licenses_against_search(spark):
 
 
 def test_media_round_trip(docs):
-    found = media.store(docs).collect()
+    found = media.read_back(media.store(docs)).collect()
     for r, row in zip(found, ROWS, strict=True):
         raw = (row[1] or "").encode()
         payload = media.pad(raw)
-        assert media.decode(bytes(r.media)).tobytes() == payload and (r.n_bytes, r.payload_bytes, r.media_bytes) == (len(raw), len(payload), len(r.media))
+        assert media.decode([bytes(r.media)])[0].tobytes() == payload and (r.n_bytes, r.payload_bytes, r.media_bytes) == (len(raw), len(payload), len(r.media))
         assert (r.payload_sha256, r.tail_crc32, r.media_sha256, r.feature) == (hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), hashlib.sha256(r.media).hexdigest(), r.hash.hex())
-    assert media.store(docs.limit(0)).count() == 0
+    assert media.read_back(media.store(docs.limit(0))).count() == 0
+    with pytest.raises(Exception, match="checksum"):
+        media.read_back(media.store(docs.limit(3)).withColumn("media", F.overlay("media", F.lit(b"x"), 50, 1))).collect()
 
 
 def brute_spans(text):

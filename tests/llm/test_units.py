@@ -1,5 +1,6 @@
 """Parts of the training-data operators against brute force, without Spark."""
 
+import math
 import random
 import re
 import zlib
@@ -236,19 +237,46 @@ def test_png():
     rng = random.Random(1)
     rows = [[rng.randrange(256) for _ in range(9)] for _ in range(40)]
     kinds = [rng.randrange(5) for _ in rows]
-    assert M.decode(filtered_png(rows, kinds)).tolist() == rows
+    assert M.decode([filtered_png(rows, kinds)])[0].tolist() == rows
     for raw in (b"", b"a", b"x" * 64, bytes(range(256)) * 33):
         payload = M.pad(raw)
         assert len(payload) % 64 == 0 and len(payload) >= 64 and payload.startswith(raw)
         png = M.encode(payload)
-        assert M.decode(png).tobytes() == payload
+        assert M.decode([png])[0].tobytes() == payload
         bad = bytearray(png)
         bad[45] ^= 1
         with pytest.raises((ValueError, zlib.error)):
-            M.decode(bytes(bad))
+            M.decode([bytes(bad)])
     assert M.cosine_hash(np.zeros((1, 64), np.uint8)) == bytes(8) and len(M.cosine_hash(np.arange(6400, dtype=np.uint8).reshape(100, 64))) == 8
 
 
+def test_images_of_a_batch_and_all_filters():
+    rng = random.Random(2)
+    images = [[[rng.randrange(256) for _ in range(9)] for _ in range(n)] for n in (1, 7, 40, 2, 19)]
+    back = M.decode([filtered_png(x, [rng.randrange(5) for _ in x]) for x in images])
+    assert [x.tolist() for x in back] == images and M.decode([]) == []
+    text = " ".join(f"word{rng.randrange(500)} of lines" for _ in range(3000)).encode()
+    ramp = bytes(range(0, 256, 4)) * 20 + bytes(range(64)) + bytes(3 * x % 256 for x in range(64)) * 2
+    kinds = {int(k) for x in (text, ramp, bytes(640)) for k in M.filtered(M.encode(M.pad(x)))[:, 0]}
+    assert kinds == {0, 1, 2, 3, 4}
+
+
+def test_cosine_hash_against_the_formula():
+    rng = np.random.default_rng(9)
+    for h in (1, 5, 32, 33, 70, 100):
+        samples = rng.integers(0, 256, (h, 64), dtype=np.uint8)
+        cell = lambda i: range(i * h // 32, max((i + 1) * h // 32, i * h // 32 + 1))
+        small = [[np.mean([float(samples[min(r, h - 1), 2 * c + d]) for r in cell(i) for d in (0, 1)]) for c in range(32)] for i in range(32)]
+        low = []
+        for u in range(8):
+            for v in range(8):
+                low.append(round(sum(small[i][j] * math.cos(math.pi / 32 * (i + 0.5) * u) * math.cos(math.pi / 32 * (j + 0.5) * v) for i in range(32) for j in range(32)), 6))
+        middle = float(np.median(low[1:]))
+        want = [k > 0 and abs(x - middle) > 1e-4 and x > middle for k, x in enumerate(low)]
+        got = np.unpackbits(np.frombuffer(M.cosine_hash(samples), np.uint8)).astype(bool).tolist()
+        assert all(a == b for a, b, x in zip(got, want, low, strict=True) if abs(x - middle) > 1e-4)
+
+
 def test_license_templates():
     a = S.Automaton("licensed under the <<beginOptional>> gnu <<endOptional>> gpl <<var;name=v;original=3;match=2>> only")
     ok = lambda t: a.longest(S.hashes_of(t), 0) == len(S.hashes_of(t))
