@@ -39,18 +39,19 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def warc_replicas(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The records of all pages in the order of page_id, and of a replica that lacks or garbles some, as leaves."""
-    garbled = F.when(F.col("page_id") % 101 == 7, F.overlay("html", F.lit("#"), 1, 1)).otherwise(F.col("html"))
-    # one replica's bytes at a time: only lengths and digests are shuffled
-    records = pages.select("page_id", F.octet_length(warc.record(F.col("url"), F.col("html"))).cast("long").alias("length"), F.sha2(warc.record(F.col("url"), F.col("html")), 256).alias("a"), F.sha2(warc.record(F.col("url"), garbled), 256).alias("b"))
-    leaves = warc.with_offsets(records, ["page_id", "a"]).checkpoint()
-    return leaves.withColumnRenamed("a", "digest"), leaves.where("not (page_id % 211 <=> 5)").withColumnRenamed("b", "digest")
+    """The leaves of the records of all pages, and of a replica that lacks, garbles, shortens or repeats some; each has its own bytes and offsets."""
+    record = lambda html: warc.record(F.col("url"), html)
+    own = lambda t, html: t.select(F.col("page_id").alias("key"), F.octet_length(record(html)).cast("long").alias("length"), F.sha2(record(html), 256).alias("digest"))
+    of = lambda n, r: F.coalesce(F.pmod("page_id", F.lit(n)) == r, F.lit(False))
+    html = F.col("html")
+    garbled = F.when(of(101, 7), F.overlay("html", F.lit("#"), 1, 1)).when(of(103, 9), F.substr("html", F.lit(1), F.length("html") - 1)).otherwise(html)
+    copy = pages.withColumn("html", garbled).where(~of(211, 5))
+    copy = copy.withColumn("__n", F.explode(F.when(of(307, 11), F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))))
+    return warc.leaves(own(pages, html)), warc.leaves(own(copy, html))
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    primary, replica = warc_replicas(_table(spark, sf_dir, "pages"))
-    found = warc.audit(primary, replica)
-    return found.join(primary.select("position", "page_id", "length"), "position").select("page_id", "offset", "length", "expected", "found", "status")
+    return warc.audit(*warc_replicas(_table(spark, sf_dir, "pages")))
 
 
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,21 +134,24 @@ SELECT j.*, CAST(coalesce(l.n, 0) AS BIGINT) AS n_links FROM j LEFT JOIN l ON l.
 """
 
 WARC_SQL = r"""
-WITH r AS (
-  SELECT page_id, coalesce(url, '') AS u, coalesce(html, '') AS h,
-    CASE WHEN page_id % 101 = 7 THEN coalesce('#' || substr(html, 2), '') ELSE coalesce(html, '') END AS g FROM pages
+WITH p AS (SELECT page_id, coalesce(url, '') AS u, html FROM pages
+), q AS (
+  SELECT page_id, u, CASE WHEN page_id % 101 = 7 THEN '#' || substr(html, 2) WHEN page_id % 103 = 9 THEN substr(html, 1, length(html) - 1) ELSE html END AS html,
+    unnest(CASE WHEN page_id % 307 = 11 THEN [1, 2] ELSE [1] END) AS copy FROM p WHERE page_id % 211 <> 5
+), both_ AS (SELECT 'a' AS side, page_id, u, coalesce(html, '') AS h FROM p UNION ALL SELECT 'b', page_id, u, coalesce(html, '') FROM q
 ), b AS (
-  SELECT page_id,
-    concat('WARC/1.1', chr(13), chr(10), 'WARC-Type: resource', chr(13), chr(10), 'WARC-Target-URI: ', u, chr(13), chr(10), 'Content-Length: ', strlen(h), chr(13), chr(10), chr(13), chr(10), h, chr(13), chr(10), chr(13), chr(10)) AS x,
-    concat('WARC/1.1', chr(13), chr(10), 'WARC-Type: resource', chr(13), chr(10), 'WARC-Target-URI: ', u, chr(13), chr(10), 'Content-Length: ', strlen(g), chr(13), chr(10), chr(13), chr(10), g, chr(13), chr(10), chr(13), chr(10)) AS y FROM r
-), o AS (
-  SELECT page_id, strlen(x) AS length, sha256(x) AS expected, sha256(y) AS other FROM b
-), p AS (
-  SELECT *, CAST(sum(length) OVER (ORDER BY page_id, expected ROWS UNBOUNDED PRECEDING) - length AS BIGINT) AS "offset",
-    CASE WHEN page_id % 211 = 5 THEN NULL ELSE other END AS found FROM o
+  SELECT side, CAST(page_id AS VARCHAR) AS key,
+    concat('WARC/1.1', chr(13), chr(10), 'WARC-Type: resource', chr(13), chr(10), 'WARC-Target-URI: ', u, chr(13), chr(10), 'Content-Length: ', strlen(h), chr(13), chr(10), chr(13), chr(10), h, chr(13), chr(10), chr(13), chr(10)) AS x FROM both_
+), o AS (SELECT side, key, strlen(x) AS length, sha256(x) AS digest FROM b
+), l AS (
+  SELECT *, CAST(sum(length) OVER (PARTITION BY side ORDER BY key, digest ROWS UNBOUNDED PRECEDING) - length AS BIGINT) AS "offset" FROM o
+), n AS (SELECT *, row_number() OVER (PARTITION BY side, key, digest ORDER BY "offset") AS k FROM l
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY side, key ORDER BY "offset") AS turn FROM n WHERE NOT EXISTS (SELECT 1 FROM n AS m WHERE m.side <> n.side AND m.key = n.key AND m.digest = n.digest AND m.k = n.k)
 )
-SELECT page_id, "offset", CAST(length AS BIGINT) AS length, expected, found, CASE WHEN found IS NULL THEN 'missing' ELSE 'corrupt' END AS status
-FROM p WHERE found IS DISTINCT FROM expected
+SELECT coalesce(a.key, c.key) AS key, a."offset" AS "offset", c."offset" AS replica_offset, CAST(coalesce(a.length, c.length) AS BIGINT) AS length, a.digest AS expected, c.digest AS found,
+  CASE WHEN c.key IS NULL THEN 'missing' WHEN a.key IS NULL THEN 'extra' ELSE 'corrupt' END AS status
+FROM (SELECT * FROM r WHERE side = 'a') a FULL JOIN (SELECT * FROM r WHERE side = 'b') c ON a.key = c.key AND a.turn = c.turn
 """
 
 URL_SQL = r"""

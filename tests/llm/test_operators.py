@@ -182,21 +182,34 @@ def test_url_lists(spark):
 
 
 def test_warc(spark):
-    pages = spark.createDataFrame([(i, f"http://h/{i}", "x" * (i * 37 % 400)) for i in range(300)] + [(7, None, None), (7, None, None), (None, "u", "")], "page_id long, url string, html string")
-    records = pages.select("page_id", warc.record(F.col("url"), F.col("html")).alias("bytes")).withColumn("length", F.octet_length("bytes").cast("long")).withColumn("digest", F.sha2("bytes", 256))
-    leaves = warc.with_offsets(records.drop("bytes"), ["page_id", "digest"]).checkpoint()
-    got = leaves.orderBy("position").collect()
-    assert [r.position for r in got] == list(range(303)) and [r.page_id for r in got[1:]] == sorted(r.page_id for r in got[1:])
-    at = 0
-    for r in got:
-        assert r.offset == at
-        at += r.length
-    assert warc.audit(leaves, leaves, 1000, 3).count() == 0
-    other = leaves.where("position <> 40").withColumn("digest", F.when(F.col("position").isin(3, 200), F.lit("bad")).otherwise(F.col("digest")))
-    assert {(r.position, r.status) for r in warc.audit(leaves, other, 1000, 3).collect()} == {(3, "corrupt"), (200, "corrupt"), (40, "missing")}
-    half = leaves.where("position < 10")
-    assert {r.status for r in warc.audit(half, leaves, 1000, 3).collect()} == {"extra"} and warc.audit(half, leaves, 1000, 3).count() == 293
-    assert warc.audit(leaves.limit(0), leaves.limit(0)).count() == 0 and warc.audit(leaves, leaves.limit(0), 1000, 3).count() == 303
+    def leaves(rows):  # (key, body)
+        table = spark.createDataFrame([(k, t, "own", -1) for k, t in rows], "key string, body string, digest string, offset long").repartition(3)
+        data = warc.record(F.concat(F.lit("http://x/"), F.coalesce("key", F.lit(""))), F.col("body"))
+        return warc.leaves(table.withColumn("length", F.octet_length(data)).withColumn("digest", F.sha2(data, 256)), anchor=8, fanout=2)
+
+    def found(x, y):
+        rows = warc.audit(x, y, 1000, 2).collect()
+        return sorted((r.key, r.status) for r in rows), {r.key: (r.offset, r.replica_offset) for r in rows}
+
+    rows = [(f"k{i:03}", f"body {i} " * (i % 7)) for i in range(300)] + [(None, None), ("", None), ("hot", "same"), ("k005", "a second body")]
+    rows += [("hot", "same")] * 150
+    whole = leaves(rows)
+    sums = whole.orderBy("position").collect()
+    assert [r.offset for r in sums] == [sum(x.length for x in sums[:i]) for i in range(len(sums))] and len(sums) == len(rows)
+    assert found(whole, leaves(rows[::-1]))[0] == []
+    # one lost record is one row, whatever its size does to later offsets, and few ranges are read
+    lost = leaves([r for r in rows if r[0] != "k040"])
+    assert found(whole, lost)[0] == [("k040", "missing")]
+    levels = [warc.tree(x, 1000, 2) for x in (whole, lost)]
+    differ = [x.join(y.withColumnRenamed("digest", "other").drop("up"), "node", "full").where("not (digest <=> other)").count() for x, y in zip(*levels, strict=True)]
+    assert differ[0] <= 3 and levels[0][0].count() > 20 and differ[-1] == 1
+    # a lost and a longer record, copies of a hot record, and a key of two bodies that lost one
+    other = [(k, t + "!" if k == "k200" else t) for k, t in rows[:-40] if k != "k040" and t != "a second body"]
+    status, at = found(whole, leaves(other))
+    assert status == sorted([("hot", "missing")] * 40 + [("k005", "missing"), ("k040", "missing"), ("k200", "corrupt")])
+    assert at["k040"][1] is None and at["k200"][0] - at["k200"][1] > 0
+    none = leaves([])
+    assert {s for _, s in found(whole.limit(9), none)[0]} == {"missing"} and found(none, none)[0] == []
 
 
 def test_packing(spark, docs):
