@@ -187,10 +187,10 @@ WITH d AS (SELECT doc_id, coalesce(source, '') AS repo, coalesce(text, '') AS t,
   SELECT rid, repo, rank, kind, least, a, v, list_transform(string_split_regex(t, p), lambda s: length(s)) AS b, unnest(range(1, len(a) + 1)) AS i FROM k WHERE len(a) > 0
 ), s AS (
   SELECT rid, repo, rank, kind, v[i] AS value, CAST(list_sum(b[1:i]) + coalesce(list_sum(list_transform(a[1:i - 1], lambda s: length(s))), 0) AS BIGINT) AS lo, length(a[i]) AS n FROM x WHERE length(v[i]) >= least
-), o AS (SELECT value, count(DISTINCT split_part(repo, '/', 1)) AS owners FROM s GROUP BY value
+), o AS (SELECT value, count(DISTINCT split_part(repo, '/', 1)) >= 3 OR count(DISTINCT repo) >= 10 AS copied FROM s GROUP BY value
 ), w AS (
-  SELECT s.*, lo + n AS hi, owners >= 3 AS copied,
-    owners < 3 AND length(value) >= 16 AND len(list_distinct(string_split(value, ''))) >= 8 AND NOT regexp_matches(value, '(?i)example|changeme|placeholder|your|xxxx') AS live FROM s JOIN o USING (value)
+  SELECT s.*, lo + n AS hi, copied,
+    NOT copied AND length(value) >= 16 AND len(list_distinct(string_split(value, ''))) >= 8 AND NOT regexp_matches(value, '(?i)example|changeme|placeholder|your|xxxx') AS live FROM s JOIN o USING (value)
 ), every AS (
   SELECT rid, rank, kind, lo, hi FROM w UNION ALL SELECT DISTINCT rid, 3, 'live', hi - length(value), hi FROM w WHERE live
 ), g AS (

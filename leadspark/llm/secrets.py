@@ -1,13 +1,15 @@
 """Secret scan with corpus-wide ownership frequency, in built-in expressions only.
 
 Candidates come from three patterns.  The hash of each candidate's value is counted by
-distinct repositories and owners over the whole corpus; a value that several owners carry is a
-copied example, and a value of one owner that looks random is a live credential,
+distinct repositories and owners over the whole corpus; a value that several owners or very many
+repositories carry is a copied example, and one of few that looks random is a live credential,
 which adds a span of kind `live` over the value itself.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +21,8 @@ ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
 #: A value that so many owners carry is an example that people copy.
 COPIED_OWNERS = 3
+#: So is one in so many repositories, be they of one owner.
+COPIED_REPOSITORIES = 10
 #: A live-looking value has so many characters, and so many different ones.
 LIVE_LENGTH, LIVE_KINDS = 16, 8
 #: Where short values count too, an assigned one has so many characters, digits and letters among them, and half of them different.
@@ -28,21 +32,40 @@ PLACEHOLDER = r"(?i)example|changeme|placeholder|your|xxxx"
 _SPAN = "array<struct<start:bigint,rank:int,end:bigint,kind:string,value:string>>"
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value made once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _sums_before(lengths: Column) -> Column:
+    """For each place of a non-empty array, the sum of what stands before it.
+
+    Sums of blocks come first, so n places cost some n times the root of n additions and no copies of the result.
+    """
+    total = lambda a: F.aggregate(a, F.lit(0).cast("bigint"), lambda acc, x: acc + x)
+    places = lambda a, step=1: F.sequence(F.lit(0), F.floor((F.size(a) - 1) / step).cast("int"))
+
+    def sums(a: Column, block: Column) -> Column:
+        blocks = F.transform(places(a, block), lambda k: total(F.slice(a, k * block + 1, block)))
+        tops = _let(blocks, lambda x: F.transform(places(x), lambda k: total(F.slice(x, F.lit(1), k))))
+        number = lambda i: F.floor(i / block).cast("int")
+        return _let(tops, lambda t: F.transform(places(a), lambda i: F.get(t, number(i)) + total(F.slice(a, number(i) * block + 1, i - number(i) * block))))
+
+    return _let(lengths, lambda a: _let(F.ceil(F.sqrt(F.size(a))).cast("int"), lambda block: sums(a, block)))
+
+
 def _spans(text: Column, pattern: str, kind: str, rank: int, value_group: int, least: int, may: Column) -> Column:
     """The pattern's matches as structs; what lies before each is the pieces and matches before it."""
     regex = F.lit(pattern)
     found = F.arrays_zip(F.split(text, pattern, -1).alias("piece"), F.regexp_extract_all(text, regex, F.lit(0)).alias("all"), F.regexp_extract_all(text, regex, F.lit(value_group)).alias("value"))
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(_SPAN).alias("out"))
+    sized = F.transform(F.filter(found, lambda x: x["all"].isNotNull()), lambda x: F.struct(F.length(x["piece"]).alias("gap"), F.length(x["all"]).alias("n"), x["value"].alias("value")))
 
-    def step(acc: Column, x: Column) -> Column:
-        at = acc["at"] + F.length(x["piece"])
-        end = at + F.length(x["all"])
-        one = F.struct(at.cast("bigint").alias("start"), F.lit(rank).alias("rank"), end.cast("bigint").alias("end"), F.lit(kind).alias("kind"), x["value"].alias("value"))
-        out = F.when(F.length(x["value"]) >= least, F.concat(acc["out"], F.array(one))).otherwise(acc["out"])
-        return F.struct(F.coalesce(end, at).cast("bigint").alias("at"), out.alias("out"))
+    def placed(rows: Column) -> Column:
+        both = F.arrays_zip(rows.alias("x"), _sums_before(F.transform(rows, lambda x: (x["gap"] + x["n"]).cast("bigint"))).alias("at"))
+        one = lambda y: F.struct((y["at"] + y["x"]["gap"]).alias("start"), F.lit(rank).alias("rank"), (y["at"] + y["x"]["gap"] + y["x"]["n"]).alias("end"), F.lit(kind).alias("kind"), y["x"]["value"].alias("value"))
+        return F.transform(F.filter(both, lambda y: F.length(y["x"]["value"]) >= least), one)
 
-    spans = F.aggregate(found, start, step, lambda acc: acc["out"])
-    return F.when(may & text.rlike(pattern), spans).otherwise(F.array().cast(_SPAN))
+    return F.when(may & text.rlike(pattern), _let(sized, placed)).otherwise(F.array()).cast(_SPAN)
 
 
 def base_spans(text: Column) -> Column:
@@ -69,6 +92,7 @@ def live_spans(candidates: DataFrame, short: bool = False) -> DataFrame:
     Hashes are made distinct by repository before they are counted, so that a value that
     a third of all rows hold reaches the counting tasks once a repository and task.
     With `short`, assigned values from SHORT_LENGTH characters that mix letters and digits count as live-looking too.
+    A null repository counts as an empty name.
     """
     c = candidates.withColumn("hash", F.sha2("span.value", 256)).withColumn("owner", owner_of(F.col("repository")))
     seen = c.select("hash", "owner", "repository").distinct()
@@ -79,7 +103,7 @@ def live_spans(candidates: DataFrame, short: bool = False) -> DataFrame:
     if short:
         looks |= (F.col("span.kind") == "assign") & F.length(value).between(SHORT_LENGTH, LIVE_LENGTH - 1) & value.rlike("[0-9]") & value.rlike("[A-Za-z]") & (2 * different >= F.length(value))
     looks &= ~value.rlike(PLACEHOLDER)
-    copied = F.col("n_owners") >= COPIED_OWNERS
+    copied = (F.col("n_owners") >= COPIED_OWNERS) | (F.col("n_repositories") >= COPIED_REPOSITORIES)
     one = F.struct((F.col("span.end") - F.length(value)).cast("bigint").alias("start"), F.lit(3).alias("rank"), F.col("span.end").alias("end"), F.lit("live").alias("kind"), F.lit("").alias("value"))
     marked = c.join(count, "hash").select("rid", F.when(looks & ~copied, one).alias("live"), copied.alias("copied"))
     return marked.groupBy("rid").agg(F.collect_set("live").alias("live"), F.count_if("copied").alias("n_copied"))
