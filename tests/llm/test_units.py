@@ -365,3 +365,52 @@ def test_components_in_one_task_and_in_many(spark, one_task):
     got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long"), one_task).collect()}
     assert got == {i: 0 for i in range(31)} | {x: 100 for x in range(100, 140)} | {200: 200, 201: 200, 203: 200}
     assert components(spark.createDataFrame([], "a long, b long"), one_task).count() == 0
+
+
+def brute_runs(template, tokens):
+    """{end: first start} of the longest runs that a pattern of the template's words accepts, one for each start."""
+    pattern = ""
+    for k, part in enumerate(re.split(r"<<(.*?)>>", template)):
+        if k % 2 == 0:
+            pattern += "".join(f"{w} " for w in re.findall("[a-z0-9]+", part.lower()))
+        else:
+            pattern += {"beginOptional": "(?:", "endOptional": ")?"}.get(part) or r"(?:\S+ ){0,%s}" % part.rpartition("match=")[2]
+    out = {}
+    for i in range(len(tokens)):
+        ends = [j for j in range(len(tokens), i, -1) if re.fullmatch(pattern, "".join(f"{w} " for w in tokens[i:j]))]
+        if ends:
+            out.setdefault(ends[0], i)
+    return out
+
+
+def test_templates_against_patterns():
+    rng = random.Random(6)
+    templates = [
+        ("a", "x <<beginOptional>> y z <<endOptional>> <<var;name=n;original=o;match=3>> x y"),
+        ("b", "<<var;name=n;original=o;match=12>> <<beginOptional>> z <<endOptional>> y y"),
+        ("c", "<<beginOptional>> x <<var;name=n;original=o;match=2>> <<endOptional>> z x"),
+    ]
+    scanner = S.Scanner({}, templates)
+    for _ in range(150):
+        tokens = [rng.choice("xyzw") for _ in range(rng.randrange(25))]
+        _, runs = scanner.scan(np.array(S.hashes_of(" ".join(tokens)), dtype=np.uint64))
+        want = sorted((i, end, label) for label, t in templates for end, i in brute_runs(t, tokens).items())
+        assert runs == want, tokens
+
+
+def test_whole_licenses():
+    scanner = S.Scanner(S.PHRASES, S.TEMPLATES)
+    labels = lambda t: {x[2] for x in scanner.scan(np.array(S.hashes_of(t), dtype=np.uint64))[1]}
+    plain = {}
+    for label, template in S.LICENSES:
+        text = re.sub(r"<<var;.*?original=(.*?);match=\d+>>", r"\1", re.sub(r"<<beginOptional>>.*?<<endOptional>>", "", template))
+        plain.setdefault(label, text)
+        assert label in labels(f"before it {text} after it"), label
+        tokens = S.hashes_of(text)
+        for cut in (tokens[:-1], tokens[:-3] + [1] + tokens[-2:]):  # a word of the end lacks, or is another one
+            runs = scanner.scan(np.array(cut, dtype=np.uint64))[1]
+            assert not any(x[2] == label and x[1] - x[0] > 12 for x in runs), label
+    assert "bsd-3-clause" not in labels(plain["bsd-2-clause"]) and "bsd-2-clause" not in labels(plain["bsd-3-clause"])
+    assert "mit" in labels(plain["mit"].replace("THE AUTHORS OR COPYRIGHT HOLDERS", "ACME INC")) and "mit" not in labels(plain["mit"].replace("FREE", "x").replace("free of charge", "for a fee"))
+    with pytest.raises(ValueError):
+        S.Scanner({}, [("none", "<<var;name=n;original=o;match=3>>")])
