@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from .textnum import mix, small_batches, steps
 
-#: Documents of a language that its model is fitted on at most, the ones with the smallest hash of doc_id.
-TRAIN_DOCS = 1000
+#: Documents of a language that its model is fitted on at most, the ones with the smallest hash of doc_id and text, and the places of that hash.
+TRAIN_DOCS, PLACES = 1000, 1 << 62
 #: Characters of these documents that are counted at most for a language.
 TRAIN_CHARS = 1_000_000
 ORDER = 4
@@ -221,17 +221,18 @@ def fit(docs: DataFrame, train: str = "true") -> Identifier:
     """Fit on rows of docs(doc_id, text, lang) that meet the SQL condition `train` and have a text and a lang.
 
     Of each language, at most about TRAIN_DOCS documents and TRAIN_CHARS characters are
-    used: rows below a threshold of a hash of doc_id, which one count of rows a language sets.
+    used: rows below a threshold of a hash of doc_id and text, which one count of rows a language sets.
+    Equal rows count once.
     """
     rows = docs.where(train).where("lang is not null and text is not null")
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    place = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(3)), F.lit(1_000_000))
+    place = F.pmod(F.xxhash64("doc_id", "text", F.lit(3)), F.lit(PLACES))
     some = F.lit(False)
     for lang, n in counts.items():
-        some = some | ((F.col("lang") == lang) & (place <= int(1_000_000 * min(1.0, TRAIN_DOCS / n))))
+        some = some | ((F.col("lang") == lang) & (place < int(PLACES * min(1.0, TRAIN_DOCS / n))))
     texts: dict[str, list[str]] = {}
     size: dict[str, int] = {}
-    for r in rows.where(some).select("lang", "text").orderBy("lang", place, "doc_id").toLocalIterator():
+    for r in rows.where(some).select("lang", "text", place.alias("place")).distinct().orderBy("lang", "place", "text").toLocalIterator():
         if size.get(r["lang"], 0) < TRAIN_CHARS:
             size[r["lang"]] = size.get(r["lang"], 0) + len(r["text"])
             texts.setdefault(r["lang"], []).append(r["text"])

@@ -27,8 +27,7 @@ def op1_ngram_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    labelled = docs.join(_table(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id").where(_remainder(4) != 2)
-    scored = toxicity.score(docs, toxicity.fit(labelled))
+    scored = toxicity.score(docs, toxicity.fit(docs.where(_remainder(4) != 2), _table(spark, sf_dir, "labels")))
     return scored.select("doc_id", F.coalesce(_remainder(4) == 2, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
 
 

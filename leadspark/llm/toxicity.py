@@ -19,11 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textnum import _BYTE, ALNUM, _powers, mix, small_batches, steps, word_hashes, words
+from .textnum import _BYTE, ALNUM, _powers, mix, pieces, small_batches, steps, word_hashes, words
 
 #: Labelled documents of each class to train on at most, those of the smallest hash of doc_id, and their bytes.
 TRAIN_DOCS = 3000
 TRAIN_BYTES = 4_000_000
+#: Places of the hash that picks them, so many that the bound holds for any number of rows.
+PLACES = 1 << 62
 BUCKETS = 1 << 18
 DIM = 8
 GRAMS = (3, 4, 5)
@@ -35,6 +37,13 @@ _U = np.uint64
 
 def buckets(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(word, bucket) of every subword: the words themselves and their n-grams with boundary marks."""
+    parts = [(lo, *_buckets(*x)) for lo, _, *x in pieces(data, starts, ends)]
+    if not parts:
+        return np.zeros(0, np.int32), np.zeros(0, np.int32)
+    return np.concatenate([lo + owner for lo, owner, _ in parts]).astype(np.int32), np.concatenate([x for _, _, x in parts])
+
+
+def _buckets(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     p, q = _powers(len(data) + 1)
     n = len(starts)
     with np.errstate(over="ignore"):
@@ -60,8 +69,9 @@ class Model:
         self.table, self.bias, self.usual = table.astype(np.float32), float(bias), float(usual)
 
     def word_scores(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        if not len(starts):
-            return np.zeros(0)
+        return np.concatenate([np.zeros(0), *(self._word_scores(*x) for _, _, *x in pieces(data, starts, ends))])
+
+    def _word_scores(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         p, q = _powers(len(data) + 1)
         size = ends - starts
         with np.errstate(over="ignore"):
@@ -239,27 +249,33 @@ def train(texts: list[str], labels: list[int], toxic_share: float | None = None,
     return Model(table * a, c, usual * a)
 
 
-def fit(labelled: DataFrame) -> Model:
-    """Train on labelled(doc_id, text, toxic); rows with a null label or text are ignored.
+def fit(docs: DataFrame, labels: DataFrame) -> Model:
+    """Train on the texts of docs(doc_id, text) that labels(doc_id, toxic) marks; rows with a null label, text or id are ignored.
 
-    Of each class at most about TRAIN_DOCS documents are used, those of the smallest hash of
-    doc_id, and at most TRAIN_BYTES characters; the rest of the labels is not needed.
+    Of each class at most about TRAIN_DOCS ids are used, those of the smallest hash of
+    doc_id, and at most TRAIN_BYTES characters; the rest of the labels is not needed.  Ids alone are
+    joined first, and only the chosen ones meet the texts.  Equal rows count once.
     """
-    rows = labelled.where("text is not null and toxic in (0, 1)")
-    counts = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    place = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(2)), F.lit(1_000_000))
+    marked = labels.where("toxic in (0, 1)").select("doc_id", "toxic").distinct()
+    known = docs.where("text is not null").select("doc_id").join(marked, "doc_id")
+    counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    place = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(2)), F.lit(PLACES))
     some = F.lit(False)
     for label, n in counts.items():
-        some = some | ((F.col("toxic") == label) & (place < int(1_000_000 * min(1.0, TRAIN_DOCS / n)) + 1))
+        some = some | ((F.col("toxic") == label) & (place < int(PLACES * min(1.0, TRAIN_DOCS / n))))
+    chosen = F.broadcast(marked.where(some))  # about TRAIN_DOCS rows of each class
+    sample = docs.where("text is not null").select("doc_id", "text").join(chosen, "doc_id").distinct()
     texts: list[str] = []
-    labels: list[int] = []
-    size = {0: 0, 1: 0}
-    for r in rows.where(some).select("text", "toxic").orderBy(place, "doc_id").toLocalIterator():
+    marks: list[int] = []
+    size = {k: 0 for k in counts}
+    for r in sample.orderBy(place, "doc_id", "text").toLocalIterator():
         if size[r["toxic"]] < TRAIN_BYTES:
             size[r["toxic"]] += len(r["text"])
             texts.append(r["text"])
-            labels.append(int(r["toxic"]))
-    return train(texts, labels, counts.get(1, 0) / max(1, sum(counts.values())))
+            marks.append(int(r["toxic"]))
+        elif min(size.values()) >= TRAIN_BYTES:
+            break
+    return train(texts, marks, counts.get(1, 0) / max(1, sum(counts.values())))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -86,10 +86,10 @@ def test_near_duplicate_groups(spark, monkeypatch):
 
 def test_toxicity(spark, docs):
     labels = spark.createDataFrame([(1, 0), (2, 1), (6, 0), (None, 1), (4, None)], "doc_id long, toxic int")
-    model = toxicity.fit(docs.join(labels, "doc_id").select("doc_id", "text", "toxic"))
+    model = toxicity.fit(docs, labels)
     found = toxicity.score(docs, model).collect()
     assert len(found) == len(ROWS) and all(0 <= r.score <= 1 for r in found)
-    assert toxicity.score(docs.limit(0), toxicity.fit(docs.limit(0).select("doc_id", "text", F.lit(1).alias("toxic")))).count() == 0
+    assert toxicity.score(docs.limit(0), toxicity.fit(docs.limit(0), labels)).count() == 0
 
 
 def test_toxicity_held_out(spark):
