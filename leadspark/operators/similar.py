@@ -1,18 +1,21 @@
 """Bigram similarity of names, and joins by it inside blocks.
 
-Dice similarity of bigram sets of a and b bigrams is 2 c / (a + b).  For a threshold t, a
-partner shares at least t / (2 - t) of a set's bigrams, so two similar sets share one of
-their first (1 - t / (2 - t)) n + 1 bigrams in any common order.  Only these are indexed,
-rarest first, within a block.
+Dice similarity of bigram sets of n and m bigrams is 2 c / (n + m).  For a threshold t two sets of
+n <= m bigrams share c >= t (n + m) / 2 of them, so, in any common order, they share k of
+the smaller one's first n - t n + k and of the larger one's first m - t / (2 - t) m + k.
+Bigrams are far too common to be looked up singly, so combinations of k of these first ones
+are, rarest bigrams first: the smaller side is stored under its few combinations, the larger
+side asks for its own.  A pair whose k-th shared bigram stands too late to leave room
+for c is passed over.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bigram counts are broadcast up to so many bigrams.
-GRAMS_AT_MOST = 20_000
+#: Buckets of the counts that order bigrams: so many rows are broadcast, at any size of the input.
+GRAM_BUCKETS = 1 << 16
 
 
 def bigrams(x: Column) -> Column:
@@ -34,40 +37,60 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
     return F.lit(6371.0) * 2 * F.atan2(F.sqrt(a), F.sqrt(1 - a))
 
 
-def _prefixes(rows: DataFrame, threshold: float) -> DataFrame:
-    """rows(item, block, name, ...) once for each indexed bigram, as `gram`, with the number of bigrams as `n`.
+def _with_grams(rows: DataFrame) -> DataFrame:
+    """rows(item, name, ...) with `grams`, the name's distinct bigrams as numbers, rarest first, and their number `n`.
 
-    Names hold few different characters, so the table of bigram counts is small; it is sized before
-    it is broadcast, and without it bigrams are taken in alphabetical order.
+    The order comes from counts in a table of fixed size; bigrams that share a bucket only
+    share its count.  Names without a bigram go.
     """
-    each = rows.withColumn("grams", bigrams(F.col("name"))).withColumn("n", F.size("grams")).withColumn("gram", F.explode("grams")).drop("grams")
-    counts = each.groupBy("gram").count().limit(GRAMS_AT_MOST + 1).collect()
-    if len(counts) <= GRAMS_AT_MOST:
-        seen = rows.sparkSession.createDataFrame([(r["gram"], r["count"]) for r in counts], "gram string, seen long")
-        each = each.join(F.broadcast(seen), "gram")
-    else:
-        each = each.withColumn("seen", F.lit(0))
-    least = F.ceil(F.col("n") * F.lit(threshold / (2 - threshold) - 1e-9))
-    place = F.row_number().over(Window.partitionBy("item").orderBy("seen", "gram"))
-    return each.withColumn("place", place).where(F.col("place") <= F.col("n") - least + 1).drop("place", "seen")
+    code = lambda g: F.shiftleft(F.ascii(g).cast("long"), 21) + F.ascii(F.substr(g, F.lit(2))).cast("long")
+    each = rows.select("item", F.explode(F.transform(bigrams(F.col("name")), code)).alias("gram")).withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(GRAM_BUCKETS)))
+    seen = each.groupBy("bucket").agg(F.count("*").alias("seen"))
+    ordered = each.join(F.broadcast(seen), "bucket").groupBy("item").agg(F.array_sort(F.collect_list(F.struct("seen", "gram"))).alias("x"))
+    return rows.join(ordered.select("item", F.col("x.gram").alias("grams"), F.size("x").alias("n")), "item")
+
+
+def _entries(block: list[str], prefix: Column, k: int) -> Column:
+    """(key, place) of each combination of k of the first `prefix` bigrams, within a block; place is that of its last bigram.  A name of fewer than k bigrams has one entry, of them all."""
+    grams = F.slice("grams", F.lit(1), prefix)
+    if k == 1:
+        return F.transform(grams, lambda g, i: F.struct(F.xxhash64(*block, g).alias("key"), (i + 1).alias("place")))
+    pairs = F.flatten(F.transform(grams, lambda g, j: F.transform(F.slice(grams, F.lit(1), j), lambda f: F.struct(F.xxhash64(*block, f, g).alias("key"), (j + 1).alias("place")))))
+    return F.when(F.col("n") >= 2, pairs).otherwise(F.transform(grams, lambda g: F.struct(F.xxhash64(*block, g).alias("key"), F.lit(1).alias("place"))))
+
+
+def _candidates(stored: DataFrame, asking: DataFrame, threshold: float, k: int, more: Column | None = None) -> DataFrame:
+    """(a, b) from stored(key, place, n, item, ...) and asking(key, place, n, item, ...): pairs that may reach the threshold, the smaller item first."""
+    x, y = (t.select("key", *[F.col(c).alias(f"{c}_{v}") for c in t.columns if c != "key"]) for t, v in ((stored, "x"), (asking, "y")))
+    share = F.ceil((F.col("n_x") + F.col("n_y")) * F.lit(threshold / 2) - F.lit(1e-9))
+    smaller = (F.col("n_x") < F.col("n_y")) | (F.col("n_x") == F.col("n_y")) & (F.col("item_x") < F.col("item_y"))
+    left = F.least(F.col("n_x") - F.col("place_x"), F.col("n_y") - F.col("place_y"))
+    fits = smaller & (share <= F.col("n_x")) & (left + F.least(F.lit(k), F.col("n_x")) >= share)
+    pairs = x.join(y, "key").where(fits if more is None else fits & more)
+    return pairs.select(F.least("item_x", "item_y").alias("a"), F.greatest("item_x", "item_y").alias("b")).distinct()
+
+
+def _verified(pairs: DataFrame, grams: DataFrame, threshold: float) -> DataFrame:
+    """The pairs whose bigrams, from grams(item, grams, n), reach the threshold; only ids were exchanged so far."""
+    x, y = (grams.select(F.col("item").alias(v), F.col("grams").alias(f"g{v}"), F.col("n").alias(f"n{v}")) for v in "ab")
+    both = F.size(F.array_intersect("ga", "gb"))
+    return pairs.join(x, "a").join(y, "b").where(2.0 * both / (F.col("na") + F.col("nb")) >= threshold).select("a", "b")
 
 
 def similar_names(rows: DataFrame, threshold: float) -> DataFrame:
     """(a, b) of items of rows(item long, block, name) whose names reach the threshold within one block, a < b.
 
-    Names shorter than three characters match nothing.  Equal names of a block are tied to the
-    least item first; of different names only pairs that share an indexed bigram and fit in
-    size are compared.
+    Names shorter than three characters and null blocks match nothing.  Equal names of a block are tied to the
+    least item first; of different names only pairs that share a combination of two
+    bigrams and fit in size are compared.  A block of many names is dealt out by these combinations.
     """
     rows = rows.select("item", "block", "name").where("length(name) >= 3 and block is not null")
     one = rows.groupBy("block", "name").agg(F.min("item").alias("least"))
     equal = rows.join(one, ["block", "name"]).where("item <> least").select(F.col("least").alias("a"), F.col("item").alias("b"))
-    p = _prefixes(one.select(F.col("least").alias("item"), "block", "name"), threshold)
-    x = p.select("block", "gram", F.col("item").alias("a"), F.col("name").alias("na"), F.col("n").alias("sa"))
-    y = p.select("block", "gram", F.col("item").alias("b"), F.col("name").alias("nb"), F.col("n").alias("sb"))
-    fits = F.least("sa", "sb") >= F.greatest("sa", "sb") * F.lit(threshold / (2 - threshold) - 1e-9)
-    pairs = x.join(y, ["block", "gram"]).where(F.col("a") < F.col("b")).where(fits).select("a", "b", "na", "nb").distinct()
-    return equal.unionByName(pairs.where(dice(F.col("na"), F.col("nb")) >= threshold).select("a", "b"))
+    names = _with_grams(one.select(F.col("least").alias("item"), "block", "name")).select("item", "block", "grams", "n").checkpoint()
+    side = lambda share: names.select("item", "n", F.inline(_entries(["block"], F.col("n") - F.ceil(F.col("n") * F.lit(share) - F.lit(1e-9)).cast("int") + 2, 2)))
+    pairs = _candidates(side(threshold), side(threshold / (2 - threshold)), threshold, 2)
+    return equal.unionByName(_verified(pairs, names, threshold))
 
 
 def near_and_similar(rows: DataFrame, threshold: float = 0.70, cell: float = 0.01, km: float = 1.0) -> DataFrame:
@@ -75,16 +98,17 @@ def near_and_similar(rows: DataFrame, threshold: float = 0.70, cell: float = 0.0
 
     Only pairs in the same or neighbouring cells of a grid in degrees count, so away from the
     equator some pairs that are near but more than one cell apart are left out.  Rows of the same
-    name and position are tied to the least item first.
+    name and position are tied to the least item first.  Distance is tested as soon as
+    two names meet, similarity last; a crowded cell is dealt out by bigrams.
     """
     rows = rows.select("item", "name", F.col("latitude").cast("double").alias("lat"), F.col("longitude").cast("double").alias("lon")).where("length(name) >= 3 and lat <> 0 and lon <> 0 and not isnan(lat) and not isnan(lon)")
     one = rows.groupBy("name", "lat", "lon").agg(F.min("item").alias("least"))
     equal = rows.join(one, ["name", "lat", "lon"]).where("item <> least").select(F.col("least").alias("a"), F.col("item").alias("b"))
     gx, gy = (F.floor(F.col(c) / F.lit(cell)).cast("long") for c in ("lat", "lon"))
-    p = _prefixes(one.select(F.col("least").alias("item"), F.lit("").alias("block"), "name", "lat", "lon"), threshold).withColumn("gx", gx).withColumn("gy", gy).drop("block")
-    x = p.select("gx", "gy", "gram", F.col("item").alias("a"), F.col("name").alias("na"), F.col("n").alias("sa"), F.col("lat").alias("lat_a"), F.col("lon").alias("lon_a"))
-    around = F.array(*[F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    y = p.withColumn("d", F.explode(around)).select((F.col("gx") + F.col("d.dx")).alias("gx"), (F.col("gy") + F.col("d.dy")).alias("gy"), "gram", F.col("item").alias("b"), F.col("name").alias("nb"), F.col("n").alias("sb"), F.col("lat").alias("lat_b"), F.col("lon").alias("lon_b"))
-    pairs = x.join(y, ["gx", "gy", "gram"]).where(F.col("a") < F.col("b")).drop("gx", "gy", "gram").distinct()
-    near = haversine_km(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b")) <= km
-    return equal.unionByName(pairs.where(near).where(dice(F.col("na"), F.col("nb")) >= threshold).select("a", "b"))
+    names = _with_grams(one.select(F.col("least").alias("item"), "name", "lat", "lon")).select("item", "lat", "lon", gx.alias("gx"), gy.alias("gy"), "grams", "n").checkpoint()
+    side = lambda t, share: t.select("item", "n", "lat", "lon", F.inline(_entries(["gx", "gy"], F.col("n") - F.ceil(F.col("n") * F.lit(share) - F.lit(1e-9)).cast("int") + 1, 1)))
+    around = F.array(*[F.struct((F.col("gx") + i).alias("gx"), (F.col("gy") + j).alias("gy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    near = haversine_km(F.col("lat_x"), F.col("lon_x"), F.col("lat_y"), F.col("lon_y")) <= km
+    stored = side(names.withColumn("c", F.explode(around)).select("item", "n", "lat", "lon", "grams", "c.gx", "c.gy"), threshold)
+    pairs = _candidates(stored, side(names, threshold / (2 - threshold)), threshold, 1, near)
+    return equal.unionByName(_verified(pairs, names, threshold))
