@@ -2,40 +2,64 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .textnum import ensure_checkpoint_dir
 
+#: Edges up to which one task finds the components, at some 100 bytes an edge; larger tables are exchanged.
+ONE_TASK = 1_000_000
+
+
+def least_labels(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, labels) of the edges between a and b; a label is the smallest node of its component."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        low, high = np.minimum(label[x], label[y]), np.maximum(label[x], label[y])
+        open_ = low < high
+        if not open_.any():
+            return nodes, nodes[label]
+        np.minimum.at(label, high[open_], low[open_])
+        while (label[label] != label).any():
+            label = label[label]
+
 
-#: Edges, each way, up to which the rounds run in one task, as the exchanges of many small tasks would cost more than the work.
-ONE_TASK = 400_000
+def _solved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sides: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)]]
+    for b in batches:
+        for side, column in zip(sides, b.columns, strict=True):
+            side.append(column.to_numpy())
+    yield pa.record_batch([pa.array(x) for x in least_labels(*map(np.concatenate, sides))], ["node", "label"])
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, label) for every node of edges(a, b); label is the smallest node of its component.
+def components(edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
+    """(node, label) for every node of edges(a long, b long); label is the smallest node of its component.
 
     Each round gives a node the smallest label among itself and its neighbours and
     then follows labels once (pointer jumping), so a path of n nodes takes about
     log n rounds and a star two.  The labels are checkpointed in each round; the
     partial aggregation keeps a hub's edges in the tasks that read them.
-    A table of a checked small size takes its rounds in one task; larger ones are exchanged.
+    A table of at most `one_task` edges, which a count has shown, takes its rounds inside one task.
     Edges with a null end are ignored; an empty table gives an empty result.
     """
-    spark = edges.sparkSession
-    ensure_checkpoint_dir(spark)
-    e = edges.select("a", "b").where("a is not null and b is not null and a <> b")
+    ensure_checkpoint_dir(edges.sparkSession)
+    e = edges.select("a", "b").where("a is not null and b is not null and a <> b").checkpoint()
+    if e.count() <= one_task:
+        return e.coalesce(1).mapInArrow(_solved, "node long, label long").checkpoint()
     both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    small = both.count() <= ONE_TASK
-    one = (lambda df: df.coalesce(1)) if small else (lambda df: df)
-    both = one(both)
-    labels = one(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("label")).checkpoint())
+    labels = both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("label")).checkpoint()
     while True:
         near = both.join(labels, both.b == labels.node).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         low = labels.join(near, "node", "left").select("node", F.least("label", "near").alias("low"), F.col("label").alias("old"))
         to = labels.select(F.col("node").alias("low"), F.col("label").alias("next"))
         new = low.join(to, "low", "left").select("node", F.least("low", "next").alias("label"), "old").checkpoint()
         moved = new.where("label <> old").limit(1).count()
-        labels = one(new.select("node", "label"))
+        labels = new.select("node", "label")
         if not moved:
             return labels

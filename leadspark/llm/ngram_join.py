@@ -26,11 +26,12 @@ from __future__ import annotations
 import hashlib
 import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
@@ -111,9 +112,20 @@ def least_overlap(n: int) -> int:
     return (3 * n + 3) // 4
 
 
-def entries(tokens: np.ndarray, counts: np.ndarray, frequent: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def grades(counts: np.ndarray) -> np.ndarray:
+    """Counts of any size on a scale of 16 bits that keeps their order, in steps of a thousandth."""
+    return np.floor(1024 * np.log2(1.0 + counts)).astype(np.uint16)
+
+
+def first_frequent(counts: np.ndarray) -> int:
+    """The grade from which a token is frequent."""
+    return int(grades(np.array([FREQUENT_LEAST + counts.mean() + FREQUENT_DEVIATIONS * math.sqrt(counts.mean())]))[0])
+
+
+def entries(tokens: np.ndarray, counts: np.ndarray, frequent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(index entries, whether each may be hot, their places) of one set, under one global order of tokens.
 
+    counts are the sketch's grades, frequent the grade from which tokens are frequent.
     An entry's place counts the prefix up to its last token, less one for each sub-class
     met; two sets of n and m tokens that link with an overlap of at least k share an entry whose places
     are at most n - k + 1 and m - k + 1.
@@ -123,7 +135,7 @@ def entries(tokens: np.ndarray, counts: np.ndarray, frequent: float) -> tuple[np
         return np.zeros(0, _U), np.zeros(0, bool), np.zeros(0, np.int64)
     need = n - least_overlap(n) + 1
     seen = counts[tokens >> _U(64 - SKETCH_BITS)]
-    key = (np.minimum(seen, 65535).astype(_U) << _U(48)) | (tokens >> _U(16))
+    key = (seen.astype(_U) << _U(48)) | (tokens >> _U(16))
     order = np.argsort(key, kind="stable")
     tokens, often = tokens[order], seen[order] >= frequent
     if not often[:need].any():
@@ -211,17 +223,19 @@ def _entries_of(shared):
 def _sets_of(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
-        top = _U(64 - int(math.log2(len(bits) * 8)))
+        done: set[bytes] = set()  # copies met in this task; bounded below
         for b in batches:
             ids = b.column("doc_id").cast(pa.int64())
-            h = mix(ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) >> top
-            hit = ((bits[(h >> _U(3)).astype(np.int64)] >> (h & _U(7)).astype(np.uint8)) & 1).astype(bool)
+            hit = _in_filter(ids.fill_null(0).to_numpy(zero_copy_only=False), bits)
             hit |= ids.is_null().to_numpy(zero_copy_only=False)  # the filter names rows by id only
             part = pa.table({"text": b.column("text")}).filter(pa.array(hit)).column("text")
             nodes, cls, sets = [], [], []
             for _, t in token_sets(part):
-                if len(t):
-                    cls.append(key := digest(t))
+                if len(t) and (key := digest(t)) not in done:
+                    if len(done) > 200_000:
+                        done.clear()
+                    done.add(key)
+                    cls.append(key)
                     nodes.append(node_of(key))
                     sets.append(t.tobytes())
             yield pa.record_batch([pa.array(nodes, pa.int64()), pa.array(cls, pa.binary()), pa.array(sets, pa.large_binary()).cast(pa.binary())], ["node", "cls", "tokens"])
@@ -235,7 +249,7 @@ def _may_link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for n, m, x, y in zip(b.column("m").to_pylist(), b.column("o").to_pylist(), b.column("x"), b.column("y"), strict=True):
             s, t = np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)
             ok.append(links(n, m, min(most_overlap(n, s, t), most_overlap(m, t, s))))
-        yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+        yield b.select(["a", "b", "la", "lb"]).filter(pa.array(ok, pa.bool_()))
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,7 +259,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             s, t = np.frombuffer(x.as_buffer(), _U), np.frombuffer(y.as_buffer(), _U)
             both = len(np.intersect1d(s, t, assume_unique=True))
             ok.append(links(len(s), len(t), both))
-        yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+        yield b.select(["la", "lb"]).filter(pa.array(ok, pa.bool_()))
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -319,7 +333,7 @@ def _linked_rows(docs: DataFrame, classes: DataFrame, labels: DataFrame) -> Data
     # a component of one block needs no size classes: null stands for that
     deal = F.when((F.col("rows") > BLOCK_CLASSES) | (F.col("tokens") > BLOCK_TOKENS), F.map_from_entries(F.transform("x", lambda x: F.struct(x["s"], F.ceil(F.greatest(x["rows"] / BLOCK_CLASSES, x["tokens"] / BLOCK_TOKENS)).cast("int")))))
     mine = mine.join(whole.where("rows > 1").select("label", deal.alias("blocks")), "label").checkpoint()
-    bits = docs.sparkSession.sparkContext.broadcast(_id_filter(mine.select(F.col("least").alias("doc_id"))))
+    bits = docs.sparkSession.sparkContext.broadcast(_id_filter(mine.select("least")))
     sets = docs.mapInArrow(_sets_of(bits), "node long, cls binary, tokens binary").select("cls", "tokens")
     s, own = F.col("s"), F.col("own")
     pair = lambda s, b, t, c, side: F.struct(s.cast("int").alias("s"), b.cast("int").alias("b"), t.cast("int").alias("t"), c.cast("int").alias("c"), F.lit(side).cast("int").alias("side") if isinstance(side, int) else side.cast("int").alias("side"))
@@ -338,14 +352,14 @@ def _linked_rows(docs: DataFrame, classes: DataFrame, labels: DataFrame) -> Data
 
 
 def _id_filter(ids: DataFrame) -> np.ndarray:
-    """A bit array of fixed size that holds the hash of every doc_id; made by OR in the executors."""
+    """A bit array of fixed size that holds the hash of every id of ids(id); made by OR in the executors."""
     rows = ids.count()
     size = 1 << min(FILTER_BITS, max(13, math.ceil(math.log2(16 * rows + 1))))
 
     def bits(batches):
         mine = np.zeros(size // 8, dtype=np.uint8)
         for b in batches:
-            if b.schema.names == ["doc_id"]:
+            if b.schema.names == ["id"]:
                 h = mix(b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) >> _U(64 - int(math.log2(size)))
                 np.bitwise_or.at(mine, (h >> _U(3)).astype(np.int64), (_U(1) << (h & _U(7))).astype(np.uint8))
             else:
@@ -353,12 +367,32 @@ def _id_filter(ids: DataFrame) -> np.ndarray:
                     mine |= np.frombuffer(zlib.decompress(x.as_py()), dtype=np.uint8)
         yield pa.record_batch([pa.array([zlib.compress(mine.tobytes(), 1)], pa.binary())], ["bits"])
 
-    parts = ids.select("doc_id").where("doc_id is not null").mapInArrow(bits, "bits binary")
+    parts = ids.toDF("id").where("id is not null").mapInArrow(bits, "bits binary")
     for x in parts.repartition(1).mapInArrow(bits, "bits binary").collect():  # one row of at most 8 MB
         return np.frombuffer(zlib.decompress(x["bits"]), dtype=np.uint8)
     return np.zeros(size // 8, dtype=np.uint8)
 
 
+def _in_filter(ids: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    h = mix(ids.astype(np.int64).view(np.uint64)) >> _U(64 - int(math.log2(len(bits) * 8)))
+    return ((bits[(h >> _U(3)).astype(np.int64)] >> (h & _U(7)).astype(np.uint8)) & 1).astype(bool)
+
+
+def may_hold(ids: DataFrame) -> Callable[[Column], Column]:
+    """A test of a column of numbers that is true of every number of ids(id), and of a few others.
+
+    Only the numbers go to Python; what rows else hold stays where it is, so large rows that
+    fail the test need no exchange to be told from those of the ids.
+    """
+    shared = ids.sparkSession.sparkContext.broadcast(_id_filter(ids))
+
+    @F.pandas_udf("boolean")
+    def test(x: pd.Series) -> pd.Series:
+        return pd.Series(_in_filter(x.to_numpy(), shared.value))
+
+    return test
+
+
 def near_duplicates(docs: DataFrame, count_links: bool = False) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs(doc_id, text), with count_links also n_links.
 
@@ -380,66 +414,64 @@ def near_duplicates(docs: DataFrame, count_links: bool = False) -> DataFrame:
     level = parts.repartition(max(1, math.isqrt(profile.rdd.getNumPartitions()))).mapInArrow(_merge, "sketch binary")
     for x in level.repartition(1).mapInArrow(_merge, "sketch binary").collect():  # one row of fixed size
         counts = np.frombuffer(zlib.decompress(x["sketch"]), dtype=np.int64)
-    frequent = FREQUENT_LEAST + counts.mean() + FREQUENT_DEVIATIONS * math.sqrt(counts.mean())
     rows = profile.where("cls is not null").select("doc_id", "n", "cls", "node", "bits")
     copies = [F.count("*").alias("k")] if count_links else []
     classes = rows.where("n > 0").groupBy("cls", "node").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("bits").alias("bits"), *copies).checkpoint()
     node = F.col("node")
 
-    shared = spark.sparkContext.broadcast((np.minimum(counts, 65535).astype(np.int64), frequent))
+    shared = spark.sparkContext.broadcast((grades(counts), first_frequent(counts)))
     found = docs.mapInArrow(_entries_of(shared), "entry long, node long, n long, hot boolean, place long")
-    salt = F.when(F.col("hot"), F.pmod(node, F.lit(SALTS))).otherwise(F.lit(0))
-    met = found.withColumn("salt", salt)
-    together = F.count("*").over(Window.partitionBy("entry", "salt"))
-    lists = met.withColumn("k", together).where("hot or k > 1").select("entry", "node", "n", "place").distinct().checkpoint()
-
-    mine = lists.groupBy("entry").agg(F.min("node").alias("c"), F.max("node").alias("d")).where("c <> d").select("entry")
-    lists = lists.join(mine, "entry", "left_semi").checkpoint()  # it stays dealt by entry
-    del met, found, mine
+    # one sort inside an entry, or a part of a hot one, finds whether it ties different classes, and repeats of a class
+    part = Window.partitionBy("entry", F.when(F.col("hot"), F.pmod(node, F.lit(SALTS))).otherwise(F.lit(0))).orderBy("node")
+    whole = part.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    met = found.withColumns({"lo": F.first("node").over(whole), "hi": F.last("node").over(whole), "before": F.lag("node").over(part)})
+    met = met.where("(hot or lo <> hi) and (before is null or before <> node)").select("entry", "node", "n", "place")
+    lists = met.withColumn("label", node).checkpoint()
+    del found, met
     release()
-    verified = edges = None
-    labels = None
+    edges = labels = change = None
     for round_ in range(STAR_ROUNDS + 1):
-        if labels is None:
-            now = lists.withColumn("label", node)
-        else:
-            known = F.broadcast(labels) if labels.count() <= BROADCAST_LABELS else labels
-            now = lists.join(known, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        if change is not None:
+            known = F.broadcast(change) if change.count() <= BROADCAST_LABELS else change
+            lists = lists.join(known.select(F.col("node").alias("label"), F.col("label").alias("now")), "label", "left").select("entry", "node", "n", "place", F.coalesce("now", "label").alias("label"))
         # of each entry, the member with least before it is most likely what the others were copied from
-        lead = now.groupBy("entry").agg(F.min(F.struct("place", F.xxhash64("node", F.lit(round_)).alias("p"), "node", "n", "label")).alias("f"), F.min("label").alias("c"), F.max("label").alias("d")).where("c <> d")
-        now = now.join(lead.select("entry", F.col("f.label").alias("lead")), "entry")
-        if labels is not None:
-            now = now.checkpoint()
-            if now.limit(1).count() == 0:
-                break
+        lead = lists.groupBy("entry").agg(F.min(F.struct("place", F.xxhash64("node", F.lit(round_)).alias("p"), "node", "n", "label")).alias("f"), F.min("label").alias("c"), F.max("label").alias("d")).where("c <> d")
+        lists = lists.join(lead.select("entry", "f"), "entry").checkpoint()
+        if change is not None and lists.limit(1).count() == 0:
+            break
         side = lambda v: [F.col("node").alias(v), F.col("n").alias(f"n{v}"), F.col("place").alias(f"p{v}"), F.col("label").alias(f"l{v}")]
-        outside = now.where("label <> lead").select("entry", *side("a"))
+        outside = lists.where("label <> f.label")
         if round_ < STAR_ROUNDS:
-            other = lead.select("entry", "f.*").select("entry", *side("b"))
+            pairs = outside.select(*side("a"), *[F.col(f"f.{x}").alias(y) for x, y in (("node", "b"), ("n", "nb"), ("place", "pb"), ("label", "lb"))])
         else:  # members of the leading component, though they may be many, are on one side only
-            other = now.select("entry", *side("b"))
+            pairs = outside.select("entry", *side("a")).join(lists.select("entry", *side("b")), "entry")
         overlap = F.ceil((F.col("na") + F.col("nb")) * 3 / F.lit(7.0) - F.lit(1e-9))
         fits = (F.col("la") != F.col("lb")) & (4 * F.least("na", "nb") >= 3 * F.greatest("na", "nb")) & (F.col("pa") <= F.col("na") - overlap + 1) & (F.col("pb") <= F.col("nb") - overlap + 1)
-        pairs = outside.join(other, "entry").where(fits)
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if verified is not None:
-            pairs = pairs.join(verified, ["a", "b"], "left_anti")
-        pairs = pairs.checkpoint()
-        verified = pairs if verified is None else verified.unionByName(pairs)
+        first = F.col("a") < F.col("b")
+        pick = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
+        pairs = pairs.where(fits).select(pick("a", "b").alias("a"), pick("b", "a").alias("b"), pick("la", "lb").alias("la"), pick("lb", "la").alias("lb")).distinct()
+        lists = lists.drop("f")
         # bitmaps rule most pairs out that share some passage only; the rest is verified on the sets, of which only theirs are made
         x = classes.select(F.col("node").alias("a"), F.col("n").alias("m"), F.col("bits").alias("x"))
         y = classes.select(F.col("node").alias("b"), F.col("n").alias("o"), F.col("bits").alias("y"))
-        likely = pairs.join(y, "b").join(x, "a").select("a", "b", "m", "o", "x", "y").mapInArrow(_may_link, "a long, b long").checkpoint()
+        likely = pairs.join(y, "b").join(x, "a").select("a", "b", "la", "lb", "m", "o", "x", "y").mapInArrow(_may_link, "a long, b long, la long, lb long").checkpoint()
         ends = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        wanted = ends.join(classes, "node").select(F.col("least").alias("doc_id"))
-        bits = spark.sparkContext.broadcast(_id_filter(wanted))
-        sets = docs.mapInArrow(_sets_of(bits), "node long, cls binary, tokens binary").checkpoint()
+        bits = spark.sparkContext.broadcast(_id_filter(ends.join(classes.select("node", "least"), "node").select("least")))
+        sets = docs.mapInArrow(_sets_of(bits), "node long, cls binary, tokens binary").dropDuplicates(["node"]).checkpoint()
         x = sets.select(F.col("node").alias("a"), F.col("tokens").alias("x"))
         y = sets.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
-        good = likely.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long").distinct().checkpoint()
-        edges = good if edges is None else edges.unionByName(good)
-        labels = components(edges)
+        good = likely.join(y, "b").join(x, "a").select("a", "b", "la", "lb", "x", "y").mapInArrow(_verify, "la long, lb long")
+        # only what this round adds is solved: its links tie labels of former rounds
+        change = components(good.select(F.col("la").alias("a"), F.col("lb").alias("b")))
+        if labels is None:
+            labels = change
+        else:
+            moved = labels.join(change.select(F.col("node").alias("label"), F.col("label").alias("now")), "label", "left").select("node", F.coalesce("now", "label").alias("label"))
+            labels = moved.unionByName(change.join(labels.select("node"), "node", "left_anti")).checkpoint()
+        bits.destroy()
+        del likely, sets, good, ends, x, y, pairs, outside, lead
         release()
+    shared.destroy()
 
     tied = classes.join(labels, "node", "left").select("cls", "least", F.coalesce("label", "node").alias("label"))
     lowest = tied.groupBy("label").agg(F.min("least").alias("component_id"))
