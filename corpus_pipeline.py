@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from leadspark.llm import decontaminate, language, ngram_join, packing, secrets
+from leadspark.llm import decontaminate, language, ngram_join, packing, secrets, textnum
 from leadspark.llm.textnum import ensure_checkpoint_dir
 
 
@@ -39,19 +39,28 @@ def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     A null doc_id counts as the smallest, as in Spark's order.  Rows without words stay.
     """
     rows = numbered(spark, docs)
-    groups = ngram_join.near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text"))
-    groups = groups.select(F.col("doc_id").alias("__row"), "component_id").checkpoint()
+    groups = ngram_join.near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text")).select(F.col("doc_id").alias("__row"), "component_id").checkpoint()
     several = groups.groupBy("component_id").count().where("count > 1").select("component_id")
     members = groups.join(several, "component_id").join(rows.select("__row", "doc_id"), "__row").checkpoint()
     # texts are compared only where rows of a group share an id
-    ties = members.groupBy("component_id", F.coalesce("doc_id", F.lit(0)).alias("i"), F.isnull("doc_id").alias("j")).agg(F.count("*").alias("n"), F.collect_list("__row").alias("r")).where("n > 1")
-    texts = rows.select("__row", "text").join(ties.select(F.explode("r").alias("__row")), "__row")
-    first = members.join(texts, "__row", "left").groupBy("component_id").agg(F.min(F.struct("doc_id", "text", "__row"))["__row"].alias("__row"))
-    dropped = members.join(first, "__row", "left_anti").select("__row")
-    return rows.join(dropped, "__row", "left_anti").select(*docs.columns)
+    ties = members.groupBy("component_id", F.coalesce("doc_id", F.lit(0)).alias("i"), F.isnull("doc_id").alias("j")).agg(F.count("*").alias("n")).where("n > 1")
+    tied = members.join(ties.select("component_id", F.when(~F.col("j"), F.col("i")).alias("t")), "component_id").where("doc_id <=> t").select("__row").checkpoint()
+    if tied.limit(1).count():
+        texts = rows.where(ngram_join.may_hold(tied)("__row")).select("__row", "text").join(tied, "__row")
+        members = members.join(texts, "__row", "left")
+    else:
+        members = members.withColumn("text", F.lit(None).cast("string"))
+    first = members.groupBy("component_id").agg(F.min(F.struct("doc_id", "text", "__row"))["__row"].alias("__row"))
+    dropped = members.join(first, "__row", "left_anti").select("__row").checkpoint()
+    textnum.release()
+    # only rows that may be dropped are exchanged; the others' texts stay where they are
+    some = ngram_join.may_hold(dropped)("__row")
+    kept = rows.where(some).join(dropped, "__row", "left_anti").unionByName(rows.where(~some))
+    return kept.select(*docs.columns)
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no item of `benchmark`; null and empty texts stay."""
     return decontaminate.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
@@ -61,6 +70,7 @@ def redact_live_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row for each piece of each document, with its place in the packed sequences; see packing.pack()."""
     return packing.pack(docs, *packing.vocabulary())
 
 
