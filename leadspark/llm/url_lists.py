@@ -42,17 +42,19 @@ def judge(captures: DataFrame, entries: DataFrame, url: str = "url", day: str =
     An entry covers its domain and all hosts below.  Of the active entries the longest
     domain decides, and `allow` goes before `block` on equal domains; n_active counts them all.
     Without an active entry, host or day, the verdict is `none` and n_active 0.  Each capture
-    gives one row, repeated ones too.  An own column of one of these names is replaced.
+    gives one row, repeated ones too.  An own column of one of these names is replaced, and one named __list or __active dropped.
 
     The hosts are made distinct before they meet the list, so a host that a third of all
     captures share is looked up once; captures then take up their host's intervals by an
-    equi-join whose large partitions adaptive execution can split.
+    equi-join between two exchanges, whose large partitions adaptive execution can split.
     """
-    captures = captures.drop("host", "n_active", "domain", "verdict", "since").withColumn("host", host_of(F.col(url)))
+    captures = captures.drop("host", "n_active", "domain", "verdict", "since", "__list", "__active").withColumn("host", host_of(F.col(url)))
     hosts = captures.select("host").where("host is not null").distinct()
     below = hosts.select("host", F.explode(suffixes(F.col("host"))).alias("domain"))
     one = F.struct((-F.length("domain")).alias("rank"), "verdict", "domain", "since", "until")
     of = below.join(intervals(entries), "domain").groupBy("host").agg(F.array_sort(F.collect_list(one)).alias("__list"))
+    # as an expression the key is dealt anew, else the aggregation's own dealing would hold hot hosts together
+    of = of.select(F.concat("host", F.lit("")).alias("host"), "__list")
     joined = captures.join(of, "host", "left")
     on = F.col(day)
     active = F.filter(F.coalesce("__list", F.array().cast(of.schema["__list"].dataType)), lambda x: (x["since"] <= on) & (x["until"].isNull() | (on < x["until"])))
