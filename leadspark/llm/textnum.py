@@ -8,6 +8,7 @@ two prefix sums give for all words of a batch at once.
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,20 +33,35 @@ ALNUM = _class(lambda b: b >= 0x80 or 0x30 <= b <= 0x39 or 0x41 <= b <= 0x5A or
 _BYTE = np.random.Generator(np.random.PCG64(20240229)).integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
 _BYTE[0x41:0x5B] = _BYTE[0x61:0x7B]  # A-Z count as a-z
 
-_pow = np.ones(1, dtype=np.uint64)
-_inv = np.ones(1, dtype=np.uint64)
+_kept: list[np.ndarray] = []
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _pow, _inv
-    if len(_pow) < n:
+    """Powers of the multiplier and of its inverse; those of a usual step are kept, longer ones, for a single longer word, are not."""
+    if not _kept or len(_kept[0]) < n:
         with np.errstate(over="ignore"):
-            size = max(n, STEP_BYTES + 1)
+            size = max(n, STEP_BYTES + 2)
             p = np.full(size, _M, dtype=np.uint64)
             q = np.full(size, pow(_M, -1, 2**64), dtype=np.uint64)
             p[0] = q[0] = 1
-            _pow, _inv = np.cumprod(p, dtype=np.uint64), np.cumprod(q, dtype=np.uint64)
-    return _pow, _inv
+            made = [np.cumprod(p, dtype=np.uint64), np.cumprod(q, dtype=np.uint64)]
+        if n > STEP_BYTES + 2:
+            return made[0], made[1]
+        _kept[:] = made
+    return _kept[0], _kept[1]
+
+
+def pieces(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first word, last word + 1, bytes, starts, ends) of neighbouring words within about STEP_BYTES, or of one longer word.
+
+    So what is made for each byte of a long text is bounded by a step.
+    """
+    lo = 0
+    while lo < len(starts):
+        hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + STEP_BYTES, "right")))
+        base = starts[lo]
+        yield lo, hi, data[base : ends[hi - 1]], starts[lo:hi] - base, ends[lo:hi] - base
+        lo = hi
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -97,12 +113,15 @@ def words(data: np.ndarray, offs: np.ndarray, member: np.ndarray) -> tuple[np.nd
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of the words, with A-Z read as a-z."""
-    p, q = _powers(len(data) + 1)
-    with np.errstate(over="ignore"):
-        total = np.empty(len(data) + 1, dtype=np.uint64)
-        total[0] = 0
-        np.cumsum(_BYTE[data] * p[: len(data)], dtype=np.uint64, out=total[1:])
-        return mix((total[ends] - total[starts]) * q[starts])
+    out = np.empty(len(starts), dtype=np.uint64)
+    for lo, hi, part, a, b in pieces(data, starts, ends):
+        p, q = _powers(len(part) + 1)
+        with np.errstate(over="ignore"):
+            total = np.empty(len(part) + 1, dtype=np.uint64)
+            total[0] = 0
+            np.cumsum(_BYTE[part] * p[: len(part)], dtype=np.uint64, out=total[1:])
+            out[lo:hi] = mix((total[b] - total[a]) * q[a])
+    return out
 
 
 _K = [_U(x) for x in (0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
@@ -148,8 +167,10 @@ def small_batches(spark, rows: int = 1000) -> None:
 
 
 def ensure_checkpoint_dir(spark) -> None:
-    """Use the shared folder of the cluster; only where none is named, as in tests, a local one."""
+    """Use the shared folder that the cluster names; only a local session without one, as in tests, gets one of its own."""
     if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder; a cluster needs a shared one")
         import tempfile
 
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
@@ -159,12 +180,17 @@ def release() -> None:
     """Let Spark delete the shuffle files and checkpoints that nothing refers to any more.
 
     Its cleaner acts on what the driver's garbage collection finds, which may not come for
-    hours on a quiet driver, while the files fill the executors' disks.
+    hours on a quiet driver, while the files fill the executors' disks.  What the driver's
+    own Python has freed goes back to the system too.
     """
+    import ctypes
     import gc
 
     from pyspark import SparkContext
 
     gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a C library without it
+        ctypes.CDLL(None).malloc_trim(0)
     if SparkContext._active_spark_context is not None:
         SparkContext._active_spark_context._jvm.System.gc()
