@@ -115,7 +115,7 @@ DISPOSABLE_DOMAINS = ["mailinator.com", "guerrillamail.com", "tempmail.com", "th
 NOISE_DOMAINS = ["bing.com", "google.com", "google.co.in", "wikipedia.org", "facebook.com", "twitter.com", "instagram.com", "youtube.com", "linkedin.com", "reddit.com", "quora.com", "medium.com", "copilot.microsoft.com", "microsoft.com"]
 NOISE_NAMES = [r"^copilot", r"^microsoft", r"join group conversation", r"^portrait", r"^\[.*\]$", r"^mico$"]
 
-# Industry of a name: the first pattern that is found.
+# Industry of a name, the first pattern that is found.
 NAME_INDUSTRIES = [
     (r"\beye\s*(?:hospital|care|clinic|center|centre)\b", "Healthcare - Eye Care"),
     (r"\bdental\s*(?:hospital|care|clinic|center|college)\b", "Healthcare - Dental"),
@@ -129,36 +129,97 @@ NAME_INDUSTRIES = [
     (r"\bdiagnostic\s*(?:center|centre|lab|labs)\b", "Healthcare - Diagnostics"),
     (r"\bnursing\s*(?:home|college)\b", "Healthcare - Nursing"),
     (r"\bpharmacy|medical\s*store|chemist\b", "Healthcare - Pharmacy"),
-    *((rf"\b{w}\b", "Healthcare") for w in ("hospital", "clinic", "medical", "health(?:care)?", "surgical", "pathology", "radiology", "physiotherapy")),
-    *((rf"\b{w}\b", "Education") for w in ("school", "college", "university", "academy", "institute", "education", "training")),
+    (r"\bhospital\b", "Healthcare"),
+    (r"\bclinic\b", "Healthcare"),
+    (r"\bmedical\b", "Healthcare"),
+    (r"\bhealth(?:care)?\b", "Healthcare"),
+    (r"\bsurgical\b", "Healthcare"),
+    (r"\bpathology\b", "Healthcare"),
+    (r"\bradiology\b", "Healthcare"),
+    (r"\bphysiotherapy\b", "Healthcare"),
+    (r"\bschool\b", "Education"),
+    (r"\bcollege\b", "Education"),
+    (r"\buniversity\b", "Education"),
+    (r"\bacademy\b", "Education"),
+    (r"\binstitute\b", "Education"),
+    (r"\beducation\b", "Education"),
+    (r"\btraining\b", "Education"),
     (r"\brestaurant\b", "Food & Beverage"),
     (r"\bfood\s*(?:court|court|point|hub|zone)\b", "Food & Beverage"),
     (r"\bhotel\b", "Hospitality"),
     (r"\bdining\b", "Food & Beverage"),
     (r"\bbakery\b", "Food & Beverage"),
     (r"\bcafe|coffee\b", "Food & Beverage"),
-    *((rf"\b{w}\b", "Retail") for w in ("store", "shop", "retail", "market", "mall")),
-    *((rf"\b{w}\b", "Finance") for w in ("bank", "finance", "insurance", "investment", r"chartered\s*accountant")),
-    *((rf"\b{w}\b", "Technology") for w in ("software", r"it\s*(?:solution|service|company)", "tech(?:nology)?", "digital", "cyber")),
+    (r"\bstore\b", "Retail"),
+    (r"\bshop\b", "Retail"),
+    (r"\bretail\b", "Retail"),
+    (r"\bmarket\b", "Retail"),
+    (r"\bmall\b", "Retail"),
+    (r"\bbank\b", "Finance"),
+    (r"\bfinance\b", "Finance"),
+    (r"\binsurance\b", "Finance"),
+    (r"\binvestment\b", "Finance"),
+    (r"\bchartered\s*accountant\b", "Finance"),
+    (r"\bsoftware\b", "Technology"),
+    (r"\bit\s*(?:solution|service|company)\b", "Technology"),
+    (r"\btech(?:nology)?\b", "Technology"),
+    (r"\bdigital\b", "Technology"),
+    (r"\bcyber\b", "Technology"),
     (r"\breal\s*estate\b", "Real Estate"),
     (r"\bproperty\b", "Real Estate"),
     (r"\bconstruction\b", "Construction"),
-    *((rf"\b{w}\b", "Legal Services") for w in (r"law\s*(?:firm|office|associate)", "legal", "advocate")),
-    *((rf"\b{w}\b", "Manufacturing") for w in ("manufactur(?:ing|er)", "industri(?:es|al)", "factory")),
+    (r"\blaw\s*(?:firm|office|associate)\b", "Legal Services"),
+    (r"\blegal\b", "Legal Services"),
+    (r"\badvocate\b", "Legal Services"),
+    (r"\bmanufactur(?:ing|er)\b", "Manufacturing"),
+    (r"\bindustri(?:es|al)\b", "Manufacturing"),
+    (r"\bfactory\b", "Manufacturing"),
     (r"\btravel\b", "Travel & Tourism"),
     (r"\btour(?:ism)?\b", "Travel & Tourism"),
-    *((rf"\b{w}\b", "Transportation & Logistics") for w in ("transport", "courier", "logistic")),
+    (r"\btransport\b", "Transportation & Logistics"),
+    (r"\bcourier\b", "Transportation & Logistics"),
+    (r"\blogistic\b", "Transportation & Logistics"),
 ]
-# Industry of a page's title and keywords: the first part that is found anywhere.
+# Industry of a page's title and keywords, the first part that is found anywhere.
 PAGE_INDUSTRIES = [
-    *((w, "Healthcare") for w in ("hospital", "medical", "health", "clinic", "pharma", "diagnostic", "eye", "dental", "surgical", "nursing", "care")),
-    *((w, "Education") for w in ("school", "college", "university", "academy", "institute", "engineering")),
-    ("restaurant", "Food & Beverage"), ("hotel", "Hospitality"), ("travel", "Travel & Tourism"),
-    *((w, "Finance") for w in ("bank", "finance", "insurance")),
-    *((w, "Technology") for w in ("it", "software", "technology", "digital", "tech")),
-    *((w, "Retail") for w in ("retail", "store", "shop")),
-    ("manufacturing", "Manufacturing"), ("construction", "Construction"), ("real estate", "Real Estate"),
-    ("legal", "Legal Services"), ("law", "Legal Services"), ("accounting", "Accounting"), ("ca", "Accounting"),
+    ("hospital", "Healthcare"),
+    ("medical", "Healthcare"),
+    ("health", "Healthcare"),
+    ("clinic", "Healthcare"),
+    ("pharma", "Healthcare"),
+    ("diagnostic", "Healthcare"),
+    ("eye", "Healthcare"),
+    ("dental", "Healthcare"),
+    ("surgical", "Healthcare"),
+    ("nursing", "Healthcare"),
+    ("care", "Healthcare"),
+    ("school", "Education"),
+    ("college", "Education"),
+    ("university", "Education"),
+    ("academy", "Education"),
+    ("institute", "Education"),
+    ("engineering", "Education"),
+    ("restaurant", "Food & Beverage"),
+    ("hotel", "Hospitality"),
+    ("travel", "Travel & Tourism"),
+    ("bank", "Finance"),
+    ("finance", "Finance"),
+    ("insurance", "Finance"),
+    ("it", "Technology"),
+    ("software", "Technology"),
+    ("technology", "Technology"),
+    ("digital", "Technology"),
+    ("tech", "Technology"),
+    ("retail", "Retail"),
+    ("store", "Retail"),
+    ("shop", "Retail"),
+    ("manufacturing", "Manufacturing"),
+    ("construction", "Construction"),
+    ("real estate", "Real Estate"),
+    ("legal", "Legal Services"),
+    ("law", "Legal Services"),
+    ("accounting", "Accounting"),
+    ("ca", "Accounting"),
 ]
 SOCIAL_LINKS = {
     "facebook": r"https?://(?:www\.)?facebook\.com/[^\s\"'<>]+",

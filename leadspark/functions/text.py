@@ -1,7 +1,7 @@
 """Cleaning and matching of names, phones, URLs and addresses, as Columns.
 
-Everything is built in, but for Unicode NFKC, which has no built-in form: its Arrow
-UDF gets a value only for rows with a character beyond ASCII and null for all others.
+Everything is built in, but for Unicode NFKC, which has no built-in form: only rows
+with a character beyond ASCII go to its Arrow UDF.
 """
 
 from __future__ import annotations
@@ -10,9 +10,9 @@ import re
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .. import constants as C
 
@@ -49,13 +49,22 @@ def or_null(x: Column) -> Column:
     return F.nullif(x, F.lit(""))
 
 
-@F.pandas_udf(StringType())  # a type object, as parsing a name needs a session
-def _nfkc(x: pd.Series) -> pd.Series:
-    return x.str.normalize("NFKC")
+def with_normal_form(rows: DataFrame, texts: dict[str, Column]) -> DataFrame:
+    """rows with the NFKC form of each text under its new name.
 
+    Rows without a character beyond ASCII are in this form already and pass by; the others
+    form a branch of their own that alone goes to Python, all texts in one call.
+    """
+    names = list(texts)
+
+    @F.pandas_udf(StructType([StructField(n, StringType()) for n in names]))  # a type object, as parsing a name needs a session
+    def normal(*columns: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame({n: x.astype(object).where(x.isna(), x.str.normalize("NFKC")) for n, x in zip(names, columns, strict=True)})
 
-def nfkc(x: Column) -> Column:
-    return F.coalesce(_nfkc(F.when(x.rlike(r"[^\x00-\x7F]"), x)), x)
+    beyond = reduce(lambda a, b: a | b, (F.coalesce(x.rlike(r"[^\x00-\x7F]"), F.lit(False)) for x in texts.values()))
+    plain = rows.where(~beyond).withColumns(texts)
+    other = rows.where(beyond).withColumn("__nfkc", normal(*texts.values())).select("*", *[F.col("__nfkc")[n].alias(n) for n in names]).drop("__nfkc")
+    return plain.unionByName(other)
 
 
 def title(x: Column) -> Column:
@@ -73,7 +82,8 @@ def trailing_cities() -> str:
 
 
 def standard_name(name: Column) -> Column:
-    first = strip(F.regexp_replace(collapse(nfkc(strip(name))), r"(?s)\s*[|\-].*$", ""))
+    """Of a name in its normal form, see with_normal_form()."""
+    first = strip(F.regexp_replace(collapse(strip(name)), r"(?s)\s*[|\-].*$", ""))
     return or_null(title(strip(F.regexp_replace(first, trailing_cities(), ""))))
 
 
@@ -120,7 +130,8 @@ def standard_state(state: Column) -> Column:
 
 
 def standard_address(address: Column) -> Column:
-    words = reduce(lambda x, w: F.regexp_replace(x, rf"(?U)\b{w[0]}\b", w[1]), C.ADDRESS_WORDS.items(), nfkc(or_null(strip(address))))
+    """Of an address in its normal form, see with_normal_form()."""
+    words = reduce(lambda x, w: F.regexp_replace(x, rf"(?U)\b{w[0]}\b", w[1]), C.ADDRESS_WORDS.items(), or_null(strip(address)))
     return collapse(words)
 
 

@@ -83,24 +83,30 @@ def assign_clusters(records: DataFrame) -> DataFrame:
 
 
 def clusters(assigned: DataFrame) -> DataFrame:
-    """One row for each root of assign_clusters(), with the best value of each field and the members in order."""
+    """One row for each root of assign_clusters(), with the best value of each field, its first record and its size.
+
+    Who belongs to a cluster is members(), a row for each record, as a cluster may be of any size.
+    """
     rows = assigned.withColumn("fill", _fill(["name", "phone", "address", "website", "city"]))
     some = sum((F.when(full(F.col(f)), 1).otherwise(0) for f in ("name", "phone", "address", "website")), F.lit(0))
     here = nonzero(F.col("latitude")) & nonzero(F.col("longitude"))
     place = F.max_by(F.struct("latitude", "longitude"), F.when(here, F.struct(some, -F.col("idx"))))
     reviews = F.when(F.col("reviews_count") != 0, F.col("reviews_count"))
     rated = F.min_by(F.struct("rating", reviews.alias("reviews")), F.when(F.col("rating").isNotNull(), F.col("idx")))
-    members = F.array_sort(F.collect_list(F.struct("idx", F.col("record_id").alias("id"))))
     out = rows.groupBy("root").agg(
         *[best(f).alias(f"best_{f}") for f in TEXT_FIELDS],
         place.alias("place"), rated.alias("rated"), F.max("completeness").alias("completeness"),
-        F.array_sort(F.collect_set("source_adapter")).alias("source_adapters"), members.alias("members"), F.count("*").alias("size"),
+        F.array_sort(F.collect_set("source_adapter")).alias("source_adapters"), F.min_by("record_id", "idx").alias("first_record"), F.count("*").alias("size"),
     )
-    ids = F.transform("members", lambda m: m["id"])
-    out = out.select("root", *[f"best_{f}" for f in TEXT_FIELDS], F.col("place.latitude").alias("latitude"), F.col("place.longitude").alias("longitude"), F.col("rated.rating").alias("rating"), F.col("rated.reviews").alias("review_count"), "completeness", "source_adapters", ids.alias("record_ids"), F.slice(ids, 2, 2**31 - 1).alias("duplicate_of"), "size")
+    out = out.select("root", *[f"best_{f}" for f in TEXT_FIELDS], F.col("place.latitude").alias("latitude"), F.col("place.longitude").alias("longitude"), F.col("rated.rating").alias("rating"), F.col("rated.reviews").alias("review_count"), "completeness", "source_adapters", "first_record", "size")
     return with_index(out, "root").withColumnRenamed("idx", "entity_no").withColumn("entity_id", F.concat(F.lit("entity_"), F.col("entity_no").cast("string")))
 
 
+def members(assigned: DataFrame) -> DataFrame:
+    """(root, record_id, idx, duplicate): the records of each cluster; all but its first are duplicates of that one."""
+    return assigned.select("root", "record_id", "idx", (F.col("idx") != F.col("root")).alias("duplicate"))
+
+
 def upsert_companies(found: DataFrame, existing: DataFrame | None = None, key: tuple[str, ...] = ("name",)) -> tuple[DataFrame, DataFrame]:
     """(companies, links) from clusters() and the companies so far.
 

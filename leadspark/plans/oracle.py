@@ -153,7 +153,7 @@ CLUSTERS = f"""{CLEANED}, {KEY_EDGES}, {closure('first_', 'exact')}, firsts AS M
   SELECT root, {', '.join(f'{BEST(f)} AS best_{f}' for f in ('name', 'phone', 'address', 'website', 'city', 'state'))},
     arg_max({{'a': latitude, 'o': longitude}}, CASE WHEN {num('latitude')} AND {num('longitude')} THEN ({points(*[(full(f), 1) for f in ('name', 'phone', 'address', 'website')])}) * 1000000000::BIGINT - idx END) AS place,
     arg_min({{'r': rating, 'n': CASE WHEN reviews_count <> 0 THEN reviews_count END}}, CASE WHEN rating IS NOT NULL THEN idx END) AS rated,
-    max(completeness) AS completeness, array_to_string(list_sort(list(DISTINCT source_adapter)), ',') AS source_adapters, string_agg(record_id, ',' ORDER BY idx) AS record_ids, count(*) AS size
+    max(completeness) AS completeness, array_to_string(list_sort(list(DISTINCT source_adapter)), ',') AS source_adapters, arg_min(record_id, idx) AS first_record, count(*) AS size
   FROM assigned GROUP BY root
 )"""
 

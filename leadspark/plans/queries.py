@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import cache
+from functools import cache, cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,10 +34,13 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from . import source_queries, table_queries  # noqa: F401  they register their own
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_SQL)
 
 
@@ -49,24 +52,47 @@ def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stages.clean(raw_records(spark, sf_dir))
 
 
-def single_companies(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+class _SingleCompanies:
     """Every record as a company of its own, with the later stages' tables: what the read queries are tried on.
 
-    Each stage's table is written once and read by the next, as in a deployment; the writes also
-    keep the optimiser from copying long expressions into every filter and join above them.
+    A table is made when it is first asked for.  Each is written once and read by the next, as in a deployment; the
+    writes also keep the optimiser from copying long expressions into every filter and join above them.
     """
-    ensure_checkpoint_dir(spark)
-    raw = raw_records(spark, sf_dir)
-    c = stages.clean(raw)
-    companies = c.select(
-        F.md5("record_id").alias("company_id"), F.coalesce("name", F.lit("Unknown")).alias("name"), T.url_domain(F.col("website")).alias("domain"), "phone", "website", "address", "city", "state",
-        T.country(F.col("phone"), F.col("city"), F.col("state")).alias("country"), "latitude", "longitude", "rating", F.col("reviews_count").alias("review_count"), F.col("completeness").alias("completeness_score"),
-    ).checkpoint()
-    links = raw.select(F.col("id").alias("record_id"), F.md5("id").alias("company_id"))
-    facts = stages.record_facts(raw, links).checkpoint()
-    validations, enrichments = stages.validate(companies, facts).checkpoint(), stages.enrich(companies, facts).checkpoint()
-    scores = stages.score(companies, enrichments, validations).checkpoint()
-    return {"raw": raw, "companies": companies, "links": links, "facts": facts, "validations": validations, "enrichments": enrichments, "scores": scores}
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        ensure_checkpoint_dir(spark)
+        self.raw = raw_records(spark, sf_dir)
+        self.links = self.raw.select(F.col("id").alias("record_id"), F.md5("id").alias("company_id"))
+
+    def __getitem__(self, name: str) -> DataFrame:
+        return getattr(self, name)
+
+    @cached_property
+    def companies(self) -> DataFrame:
+        return stages.clean(self.raw).select(
+            F.md5("record_id").alias("company_id"), F.coalesce("name", F.lit("Unknown")).alias("name"), T.url_domain(F.col("website")).alias("domain"), "phone", "website", "address", "city", "state",
+            T.country(F.col("phone"), F.col("city"), F.col("state")).alias("country"), "latitude", "longitude", "rating", F.col("reviews_count").alias("review_count"), F.col("completeness").alias("completeness_score"),
+        ).checkpoint()
+
+    @cached_property
+    def facts(self) -> DataFrame:
+        return stages.record_facts(self.raw, self.links).checkpoint()
+
+    @cached_property
+    def validations(self) -> DataFrame:
+        return stages.validate(self.companies, self.facts).checkpoint()
+
+    @cached_property
+    def enrichments(self) -> DataFrame:
+        return stages.enrich(self.companies, self.facts).checkpoint()
+
+    @cached_property
+    def scores(self) -> DataFrame:
+        return stages.score(self.companies, self.enrichments, self.validations).checkpoint()
+
+
+def single_companies(spark: SparkSession, sf_dir: str) -> _SingleCompanies:
+    return _SingleCompanies(spark, sf_dir)
 
 
 # ---- cleaning
@@ -136,10 +162,16 @@ def spatial_edges(spark, sf_dir):
 _CLUSTER = ["best_name", "best_phone", "best_address", "best_website", "best_city", "best_state"]
 
 
-@query(f"WITH RECURSIVE {O.CLUSTERS} SELECT root, 'entity_' || (row_number() OVER (ORDER BY root) - 1) AS entity_id, {', '.join(_CLUSTER)}, place.a AS latitude, place.o AS longitude, rated.r AS rating, rated.n AS review_count, completeness, source_adapters, record_ids, size FROM clusters")
+@query(f"WITH RECURSIVE {O.CLUSTERS} SELECT root, 'entity_' || (row_number() OVER (ORDER BY root) - 1) AS entity_id, {', '.join(_CLUSTER)}, place.a AS latitude, place.o AS longitude, rated.r AS rating, rated.n AS review_count, completeness, source_adapters, first_record, size FROM clusters")
 def entity_clusters(spark, sf_dir):
     _, found = stages.resolve(cleaned(spark, sf_dir))
-    return found.select("root", "entity_id", *_CLUSTER, "latitude", "longitude", "rating", "review_count", "completeness", F.array_join("source_adapters", ",").alias("source_adapters"), F.array_join("record_ids", ",").alias("record_ids"), "size")
+    return found.select("root", "entity_id", *_CLUSTER, "latitude", "longitude", "rating", "review_count", "completeness", F.array_join("source_adapters", ",").alias("source_adapters"), "first_record", "size")
+
+
+@query(f"WITH RECURSIVE {O.CLUSTERS} SELECT root, record_id, idx, idx <> root AS duplicate FROM assigned")
+def cluster_members(spark, sf_dir):
+    assigned, _ = stages.resolve(cleaned(spark, sf_dir))
+    return R.members(assigned)
 
 
 @query(f"""WITH RECURSIVE {O.CLUSTERS}, u AS (SELECT *, lower(trim(coalesce(best_name, 'Unknown'))) AS k FROM clusters)
@@ -294,7 +326,7 @@ def status_counts(spark, sf_dir):
     return stats.status_counts(single_companies(spark, sf_dir)["validations"])
 
 
-@query(f"WITH {O.COMPANIES} SELECT count(*) AS total, avg_ AS avg_score, min(total_score) AS min_score, max(total_score) AS max_score, count(*) FILTER (total_score >= 60) AS high, count(*) FILTER (total_score >= 35 AND total_score < 60) AS medium, count(*) FILTER (total_score < 35) AS low FROM scores, (SELECT round(avg(total_score), 2) AS avg_ FROM scores) GROUP BY avg_")
+@query(f"WITH {O.COMPANIES} SELECT count(*) AS total, avg_ AS avg_score, min(total_score) AS min_score, max(total_score) AS max_score, count(*) FILTER (total_score >= 60) AS high, count(*) FILTER (total_score >= 35 AND total_score < 60) AS medium, count(*) FILTER (total_score < 35) AS low FROM scores, (SELECT round_even(CAST(avg(total_score) AS DOUBLE), 2) AS avg_ FROM scores) GROUP BY avg_")
 def score_stats(spark, sf_dir):
     return stats.score_stats(single_companies(spark, sf_dir)["scores"])
 

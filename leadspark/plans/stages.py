@@ -22,9 +22,11 @@ def clean(raw: DataFrame) -> DataFrame:
     """raw_records with their cleaned fields: record_id, source_adapter, source_record_id, retrieved_at, the fields, completeness and `changes`.
 
     changes lists the fields that cleaning altered, as `field: 'old' -> 'new'`, None for null.
+    Only rows whose name or address has a character beyond ASCII go to Python, for the normal form of both at once.
     """
     get = lambda f: F.col(f"raw_data.{f}")
-    cleaned = {"name": T.standard_name(get("name")), "phone": T.standard_phone(get("phone")), "website": T.standard_url(get("website")), "address": T.standard_address(get("address")), "city": T.standard_city(get("city")), "state": T.standard_state(get("state"))}
+    raw = T.with_normal_form(raw, {"__name": get("name"), "__address": get("address")})
+    cleaned = {"name": T.standard_name(F.col("__name")), "phone": T.standard_phone(get("phone")), "website": T.standard_url(get("website")), "address": T.standard_address(F.col("__address")), "city": T.standard_city(get("city")), "state": T.standard_state(get("state"))}
     rows = raw.select(
         F.col("id").alias("record_id"), "organization_id", "pipeline_run_id", "source_adapter", "source_record_id", "retrieved_at", F.col("raw_data").alias("raw"), *[v.alias(k) for k, v in cleaned.items()],
         get("latitude").alias("latitude"), get("longitude").alias("longitude"), get("rating").alias("rating"), get("reviews_count").alias("reviews_count"),
@@ -89,8 +91,9 @@ def validate(companies: DataFrame, facts: DataFrame | None = None, domains: Data
     else:
         rows = rows.withColumn("email", F.lit(None).cast("string")).withColumn("sources", F.lit(None).cast("array<string>"))
     if domains is not None:
-        mail = domains.select(F.col("domain").alias("mail_domain"), "has_mx")
-        host = domains.select(F.col("domain").alias("web_domain"), "resolves")
+        known = domains.groupBy("domain").agg(F.max("has_mx").alias("has_mx"), F.max("resolves").alias("resolves"))  # a domain that is listed twice is one
+        mail = known.select(F.col("domain").alias("mail_domain"), "has_mx")
+        host = known.select(F.col("domain").alias("web_domain"), "resolves")
         rows = rows.withColumn("mail_domain", F.get(F.split(F.lower(T.strip(F.col("email"))), "@"), F.lit(1))).withColumn("web_domain", A.website_host(F.col("website")))
         rows = rows.join(mail, "mail_domain", "left").join(host, "web_domain", "left")
     else:

@@ -44,7 +44,7 @@ def score_stats(scores: DataFrame) -> DataFrame:
     """Count, mean, least and largest total (zeros for no rows), and how many are high (60 or more), medium (35 or more) and low."""
     s = F.col("total_score")
     return scores.agg(
-        F.count("*").alias("total"), _none_is_zero(F.round(F.avg(s), 2)).cast("double").alias("avg_score"), _none_is_zero(F.min(s)).cast("double").alias("min_score"), _none_is_zero(F.max(s)).cast("double").alias("max_score"),
+        F.count("*").alias("total"), _none_is_zero(F.bround(F.avg(s.cast("double")), 2)).alias("avg_score"), _none_is_zero(F.min(s)).cast("double").alias("min_score"), _none_is_zero(F.max(s)).cast("double").alias("max_score"),
         F.count_if(s >= 60).alias("high"), F.count_if((s >= 35) & (s < 60)).alias("medium"), F.count_if(s < 35).alias("low"),
     )
 

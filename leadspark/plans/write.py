@@ -18,9 +18,17 @@ def append_raw(records: DataFrame, path: str) -> None:
 def replace_tenant(table: DataFrame, organization_id: str, path: str) -> None:
     """One organization's rows replace its former ones; other organizations' files stay.
 
-    With no rows at all the former ones would stay, so callers drop an emptied organization's folder.
+    A dynamic overwrite leaves partitions alone that get no row, so the folder of an
+    organization without rows is deleted; the count comes from the same pass.
     """
-    table.drop("organization_id").withColumn("organization_id", F.lit(organization_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("organization_id").parquet(path)
+    seen = Observation("tenant")
+    rows = table.drop("organization_id").withColumn("organization_id", F.lit(organization_id)).observe(seen, F.count("*").alias("n"))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("organization_id").parquet(path)
+    if not seen.get["n"]:
+        spark = table.sparkSession
+        jvm = spark.sparkContext._jvm
+        own = jvm.org.apache.hadoop.fs.Path(path, jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString("organization_id", organization_id))
+        own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(own, True)
 
 
 def as_text(df: DataFrame) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import threading
+import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,6 +14,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from .. import constants as C
 from ..functions.text import listing_key, payload_completeness
+from ..operators.components import ensure_checkpoint_dir
 from ..operators.relevance import fits_category, fits_location
 from ..operators.resolve import first_seen
 from .payload import NORMALISERS, RAW_RECORD
@@ -25,10 +30,28 @@ def check_sources(names: list[str]) -> list[str]:
     return list(dict.fromkeys(names))
 
 
+def listed(spark: SparkSession) -> DataFrame:
+    """(name, selectable) of every source."""
+    return spark.createDataFrame([(n, n in FREE) for n in NORMALISERS], "name string, selectable boolean")
+
+
+def register(name: str, normaliser: Callable[[DataFrame], DataFrame], needs_key: bool = False) -> None:
+    """Add a source: how its native listings become (source_record_id, raw_data)."""
+    if name in NORMALISERS:
+        raise ValueError(f"there is a source of this name: {name}")
+    NORMALISERS[name] = normaliser
+    if not needs_key:
+        FREE.add(name)
+
+
+def active_keys(keys: DataFrame, source: str) -> DataFrame:
+    """The organizations that hold an active key of the source, each once, from keys(organization_id, source_adapter, status)."""
+    return keys.where((F.col("source_adapter") == source) & (F.col("status") == "active")).select("organization_id").distinct()
+
+
 def has_active_key(keys: DataFrame, organization_id: str, source: str) -> bool:
     """Whether keys(organization_id, source_adapter, status) holds an active key of the source."""
-    own = keys.where((F.col("organization_id") == organization_id) & (F.col("source_adapter") == source) & (F.col("status") == "active"))
-    return own.limit(1).count() > 0
+    return active_keys(keys.where(F.col("organization_id") == organization_id), source).limit(1).count() > 0
 
 
 def open_source(name: str, keys: DataFrame | None = None, organization_id: str | None = None):
@@ -68,17 +91,41 @@ def readable_page(html: Column) -> Column:
     return ~F.contains(F.lower(html), F.lit("unusual traffic")) & (F.length(html) >= 500)
 
 
-def extract(found: dict[str, DataFrame], organization_id: str, run_id: str, category: str, city: str | None, state: str | None, at: Column | None = None, errors: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+@contextmanager
+def time_limit(spark: SparkSession, seconds: float | None) -> Iterator[None]:
+    """Cancel the jobs that start inside once so many seconds are over."""
+    tag = f"limit-{uuid.uuid4().hex}"
+    timer = threading.Timer(seconds, spark.sparkContext.cancelJobsWithTag, [tag]) if seconds is not None else None
+    spark.sparkContext.addJobTag(tag)
+    try:
+        if timer:
+            timer.start()
+        yield
+    finally:
+        if timer:
+            timer.cancel()
+        spark.sparkContext.removeJobTag(tag)
+
+
+def extract(found: dict[str, DataFrame], organization_id: str, run_id: str, category: str, city: str | None, state: str | None, at: Column | None = None, errors: list[str] | None = None, seconds: float | None = None) -> tuple[DataFrame, DataFrame]:
     """(raw records to append, listings of each source before the filters) of one search.
 
-    `found` has the native listings of each source.  A source that cannot be planned adds to
-    `errors` and the others go on.  Ids hash run, source, source id and payload, so that a
-    repeated task or run gives the same.  Listings of each source end at the fixed limit.
+    `found` has the native listings of each source.  A source that cannot be planned or read, or takes
+    more than `seconds`, adds to `errors` and the others go on.  Ids hash run, source, source id and payload, so that a
+    repeated task or run gives the same.  Listings of each source end at the fixed limit, those that
+    came first by their column seq, or else those of least source id; as they are so few, each source's are read at once.
     """
     parts = []
     for name, native in found.items():
+        spark = native.sparkSession
+        ensure_checkpoint_dir(spark)
         try:
-            part = NORMALISERS[name](native.limit(C.LISTINGS_PER_SOURCE))
+            if "seq" in native.columns:
+                part = NORMALISERS[name](native.orderBy("seq").limit(C.LISTINGS_PER_SOURCE))
+            else:
+                part = NORMALISERS[name](native).orderBy("source_record_id").limit(C.LISTINGS_PER_SOURCE)
+            with time_limit(spark, seconds):
+                part = part.checkpoint()
         except Exception as e:  # noqa: BLE001  one source's trouble is not the search's
             if errors is None:
                 raise
@@ -111,7 +158,8 @@ def run_status(stored: int, errors: list[str]) -> str:
 class RawRecordSource(DataSource):
     """`spark.read.format("lead_listings")`: JSON-lines files of payload records at `path`, with a source name in `source`.
 
-    For small local exchanges of one's own adapters; tables and large inputs are read as Parquet.
+    For small exchanges of one's own adapters, each file a task; the path may be of any file
+    system that Arrow opens.  read_listings() goes through Spark's own readers instead.
     """
 
     @classmethod
@@ -129,20 +177,33 @@ class _Reader(DataSourceReader):
     def __init__(self, options: dict, columns: list[str]):
         self.options, self.columns = options, columns
 
+    def _open(self):
+        from pyarrow import fs
+
+        path = self.options["path"]
+        return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
     def partitions(self):
-        import glob
+        from pyarrow import fs
 
-        return [InputPartition(p) for p in sorted(glob.glob(f"{self.options['path']}/*.jsonl"))]
+        files, path = self._open()
+        return [InputPartition(f.path) for f in sorted(files.get_file_info(fs.FileSelector(path)), key=lambda f: f.path) if f.path.endswith(".jsonl")]
 
     def read(self, partition):
         import json
 
-        with open(partition.value) as f:
-            for line in f:
+        with self._open()[0].open_input_stream(partition.value) as f:
+            for line in f.read().decode().split("\n"):
                 if line.strip():
                     row = json.loads(line) | {"source_adapter": self.options.get("source", "unknown")}
                     yield tuple(row.get(c) for c in self.columns)
 
 
+def read_listings(spark: SparkSession, path: str, source: str) -> DataFrame:
+    """The listings of RawRecordSource from any path that Spark reads, split and pushed down by its own reader."""
+    schema = RawRecordSource({}).schema()
+    return spark.read.schema(schema).json(path).withColumn("source_adapter", F.lit(source))
+
+
 def read_raw_records(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RAW_RECORD).parquet(path)

@@ -89,7 +89,7 @@ def test_clusters_and_companies(spark):
     assert {r.record_id: r.root for r in assigned.collect()} == {"r0": 0, "r1": 0, "r2": 0, "r3": 3, "r4": 4}
     found = R.clusters(assigned)
     first = found.where("root = 0").head()
-    assert (first.best_name, first.best_phone, first.rating, first.review_count, first.latitude, first.record_ids, first.duplicate_of, first.entity_id) == ("Star Hotel", "+91 9876543210", 4.0, 9, 15.0, ["r0", "r1", "r2"], ["r1", "r2"], "entity_0")
+    assert (first.best_name, first.best_phone, first.rating, first.review_count, first.latitude, first.first_record, first.size, first.entity_id) == ("Star Hotel", "+91 9876543210", 4.0, 9, 15.0, "r0", 3, "entity_0")
     companies, links = R.upsert_companies(found)
     by_name = {r.name: r for r in companies.collect()}
     assert set(by_name) == {"Star Hotel", "Zed"} and by_name["Star Hotel"].phone == "+91 9876543210" and links.count() == 3
