@@ -241,6 +241,9 @@ RECOGNISED_INDUSTRIES = ["healthcare", "education", "finance", "technology", "re
 SOURCES = ["google_places", "google_search", "google_maps_scraper", "openstreetmap", "web_search", "indiamart", "justdial"]
 SELECTABLE_SOURCES = ["openstreetmap", "google_search", "google_maps_scraper", "web_search", "indiamart", "justdial"]
 LISTINGS_PER_SOURCE = 200
+# What is asked of the places API, and how many places it gives at once.
+PLACE_FIELDS = ["id", "displayName", "formattedAddress", "location", "rating", "userRatingCount", "websiteUri", "nationalPhoneNumber", "internationalPhoneNumber", "businessStatus", "types", "googleMapsUri"]
+PLACES_PER_PAGE = 20
 
 LEAD_CSV_COLUMNS = [
     "company_name", "industry", "address", "city", "state", "country", "phone", "email", "website", "source", "source_url", "rating", "review_count", "latitude", "longitude", "validation_status",

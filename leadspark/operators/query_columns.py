@@ -94,9 +94,10 @@ def qualifiers_of(category: Column) -> Column:
 
 def bare_category(category: Column) -> Column:
     """The category up to a preposition, without trailing one-word states."""
+    before = lambda p: lambda c: F.when(F.instr(F.lower(c), p) > 0, strip(F.substr(c, F.lit(1), F.instr(F.lower(c), p) - 1))).otherwise(c)
     cat = strip(category)
     for p in C.RICH_PREPOSITIONS:
-        cat = _let(cat, lambda c, p=p: F.when(F.instr(F.lower(c), p) > 0, strip(F.substr(c, F.lit(1), F.instr(F.lower(c), p) - 1))).otherwise(c))
+        cat = _let(cat, before(p))
     states = [s.lower() for s in C.STATES]
 
     def without(words: Column) -> Column:
@@ -145,7 +146,7 @@ def interpret(x: Column, location: Column | None = None) -> Column:
         where = location_of(text) if location is None else F.coalesce(or_null(location), location_of(text))
         raw = category_of(text)
         found = lambda s: variations(s["category"], F.coalesce(s["where"], F.lit("")))
-        every = lambda s: _distinct_by_lower(F.when(F.exists(found(s), lambda v: F.lower(v) == F.lower(text)), found(s)).otherwise(F.concat(F.array(text), found(s))))
+        every = lambda s: F.when(F.exists(found(s), lambda v: F.lower(v) == F.lower(text)), found(s)).otherwise(F.concat(F.array(text), found(s)))
         basis = F.struct(bare_category(raw).alias("category"), where.alias("where"), qualifiers_of(raw).alias("qualifiers"))
         return _let(basis, lambda s: F.struct(text.alias("text"), s["category"].alias("category"), s["where"].alias("location"), s["qualifiers"].alias("qualifiers"), every(s).alias("variations"), scopes(s["where"]).alias("scopes")))
 

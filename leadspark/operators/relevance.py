@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as C
@@ -38,6 +38,22 @@ def fits_location(r: dict[str, Column], city: str | None, state: str | None) ->
     return keep.when(F.coalesce(near, F.lit(False)), True).when(full(r["city"]), False).otherwise(full(r["address"]) | full(r["phone"]) | here)
 
 
+def city_positions(spark: SparkSession, more: DataFrame | None = None) -> DataFrame:
+    """(city, latitude, longitude): the known cities as a dimension, in lower case; `more` adds to them and wins over them."""
+    known = spark.createDataFrame([(c, lat, lon, 1) for c, (lat, lon) in C.CITY_POSITIONS.items()], "city string, latitude double, longitude double, late int")
+    if more is not None:
+        known = known.unionByName(more.select(F.lower("city").alias("city"), "latitude", "longitude", F.lit(0).alias("late")))
+    return known.groupBy("city").agg(*[F.min_by(c, "late").alias(c) for c in ("latitude", "longitude")])
+
+
+def with_position(rows: DataFrame, cities: DataFrame) -> DataFrame:
+    """rows with a position: their own if they have one, else their city's from city_positions()."""
+    own = nonzero(F.col("latitude")) & nonzero(F.col("longitude"))
+    at = cities.select(F.col("city").alias("__city"), F.col("latitude").alias("__lat"), F.col("longitude").alias("__lon"))
+    out = rows.join(at, F.lower(strip(F.col("city"))) == F.col("__city"), "left")
+    return out.withColumns({"latitude": F.when(own, F.col("latitude")).otherwise(F.col("__lat")), "longitude": F.when(own, F.col("longitude")).otherwise(F.col("__lon"))}).drop("__city", "__lat", "__lon")
+
+
 def forms(word: str) -> list[str]:
     """The word, its singular if it looks like a plural, and plurals if it does not end in s."""
     out = [word]

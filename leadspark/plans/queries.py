@@ -348,20 +348,24 @@ def extraction_counts(spark, sf_dir):
     return stats.extraction_counts(raw_records(spark, sf_dir))
 
 
-@query(f"""WITH {O.COMPANIES} SELECT c.name AS company_name, e.industry, c.city, e.email, c.website, CASE WHEN {O.full('e.industry')} THEN 'enrichment' ELSE 'raw_data' END AS source, coalesce(c.website, '') AS source_url, v.overall_status AS validation_status, total_score
+_FACTORS = ["industry", "size", "location", "technology", "data_quality", "validation"]
+
+
+@query(f"""WITH {O.COMPANIES} SELECT c.name AS company_name, e.industry, c.address, c.city, c.state, c.country, c.phone, e.email, c.website, CASE WHEN {O.full('e.industry')} THEN 'enrichment' ELSE 'raw_data' END AS source, coalesce(c.website, '') AS source_url, c.rating, c.review_count, c.latitude, c.longitude,
+  v.overall_status AS validation_status, NULL::VARCHAR AS enrichment_description, NULL::VARCHAR AS enrichment_founded_year, {', '.join(f'CAST({f}_score AS DOUBLE) AS {f}_score' for f in _FACTORS)}, total_score, '1.0' AS score_version
 FROM scores s JOIN companies c USING (company_id) LEFT JOIN enrichments e USING (company_id) LEFT JOIN validations v USING (company_id) WHERE total_score >= 50""")
 def export_rows(spark, sf_dir):
     t = single_companies(spark, sf_dir)
     rows = serve.export_rows(t["companies"], t["enrichments"], t["validations"], t["scores"], serve.Filters(min_score=50))
     assert rows.columns == C.LEAD_CSV_COLUMNS
-    return _as_double(rows.select("company_name", "industry", "city", "email", "website", "source", "source_url", "validation_status", "total_score"))
+    return _as_double(rows.drop("enrichment_social_links"))
 
 
-@query(f"""WITH {O.RAW} SELECT name AS "Name", address AS "Address", city AS "City", phone AS "Phone", CAST(rating AS DOUBLE) AS "Rating", source_record_id AS "Place ID", source_adapter AS "Source" FROM raw ORDER BY minutes DESC, id LIMIT 10000""")
+@query(f"""WITH {O.RAW} SELECT name AS "Name", address AS "Address", city AS "City", state AS "State", phone AS "Phone", website AS "Website", CAST(rating AS DOUBLE) AS "Rating", CAST(latitude AS DOUBLE) AS "Latitude", CAST(longitude AS DOUBLE) AS "Longitude", strftime(make_timestamp((1704067200 + minutes * 60) * 1000000), '%Y-%m-%dT%H:%M:%S') AS "Retrieved At", source_record_id AS "Place ID", source_adapter AS "Source" FROM raw ORDER BY minutes DESC, id LIMIT 10000""")
 def raw_export(spark, sf_dir):
     rows = write.raw_export(raw_records(spark, sf_dir))
     assert rows.columns == C.RAW_CSV_COLUMNS
-    return rows.select("Name", "Address", "City", "Phone", "Rating", "Place ID", "Source")
+    return rows.select("Name", "Address", "City", "State", "Phone", "Website", "Rating", "Latitude", "Longitude", "Retrieved At", "Place ID", "Source")
 
 
 @query(f"WITH {O.RAW} SELECT id, source_adapter FROM raw WHERE source_adapter = 'web_search' ORDER BY minutes DESC, id LIMIT 50 OFFSET 50")

@@ -250,6 +250,16 @@ def exchanged_listings(spark, sf_dir):
     return registry.read_listings(spark, path, "justdial").select("source_adapter", "name", "phone", "rating")
 
 
+@query("SELECT CAST(s_suppkey AS VARCHAR) AS id, CAST(s_suppkey % 50 AS BIGINT) AS n FROM supplier ORDER BY s_suppkey LIMIT 20")
+def places(spark, sf_dir):
+    """One answer of the places API: its cap and the fields that are asked for."""
+    k = F.col("s_suppkey").cast("long")
+    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(k.cast("string").alias("id"), (k % 50).cast("int").alias("userRatingCount"), k.alias("seq"), F.lit("x").alias("notAsked"))
+    page = registry.places_page(rows)
+    assert page.columns == ["id", "userRatingCount"]
+    return page.select("id", F.col("userRatingCount").cast("long").alias("n"))
+
+
 # ---- text parsers
 
 

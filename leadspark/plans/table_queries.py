@@ -9,12 +9,15 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions import assess as A
+from ..operators import relevance
 from ..operators import resolve as R
 from ..operators.components import ensure_checkpoint_dir
 from ..sources import registry
 from ..streaming import ingest
 from . import serve, stages, stats, write
 from . import tables as B
+from . import oracle as O
+from .derived import raw_records
 from .oracle import country as country_sql
 from .oracle import q
 from .queries import query
@@ -316,6 +319,47 @@ def export_record(spark, sf_dir):
     return spark.createDataFrame([(made["format"], made["record_count"], json.dumps(made["applied_filters"]), len(made["columns"]))], "format string, record_count long, applied_filters string, n_columns int")
 
 
+@query(f"WITH {O.CLEANED} SELECT record_id, name, phone, city, 'cleaned' AS status FROM cleaned")
+def cleaned_stored(spark, sf_dir):
+    """Cleaned records, written beside the raw ones and read again."""
+    path = _folder(spark, "cleaned")
+    write.store_cleaned(stages.clean(raw_records(spark, sf_dir)).withColumn("_work", F.lit(1)), path)
+    back = spark.read.parquet(path)
+    assert "_work" not in back.columns
+    return back.select("record_id", "name", "phone", "city", "status")
+
+
+# ---- facts of raw records, and positions of cities
+
+
+@query("""WITH r AS (SELECT CAST(p_partkey AS BIGINT) AS k FROM part), f AS (SELECT k, 'c' || (k % 30) AS company_id, k % 7 AS minutes, CASE k % 4 WHEN 0 THEN 'A' || k || '@x.in' WHEN 1 THEN 'no mail' WHEN 2 THEN '' END AS email, CASE WHEN k % 5 = 0 THEN 'https://m/' || k END AS maps, CASE WHEN k % 3 = 0 THEN 'https://facebook.com/' || k END AS facebook, CASE WHEN k % 6 = 1 THEN 'https://linkedin.com/' || k END AS linkedin FROM r
+), t AS (SELECT *, minutes * 1000000000 + k AS turn FROM f)
+SELECT company_id, count(*) AS n_records, arg_min(email, CASE WHEN email <> '' THEN turn END) AS first_email, min(CASE WHEN contains(email, '@') THEN lower(email) END) AS email, arg_min(maps, CASE WHEN maps IS NOT NULL THEN turn END) AS google_maps_url,
+  arg_max(facebook, CASE WHEN facebook IS NOT NULL THEN turn END) AS facebook, arg_max(linkedin, CASE WHEN linkedin IS NOT NULL THEN turn END) AS linkedin FROM t GROUP BY company_id""")
+def record_facts(spark, sf_dir):
+    """What raw records say of their companies: of links to one platform the latest wins."""
+    from ..sources.payload import payload
+
+    k = F.col("k")
+    t = k.cast("string")
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").cast("long").alias("k"))
+    email = F.when(k % 4 == 0, F.concat(F.lit("A"), t, F.lit("@x.in"))).when(k % 4 == 1, "no mail").when(k % 4 == 2, "")
+    url = lambda test, base: F.when(test, F.concat(F.lit(base), t))
+    data = payload(email=email, maps_url=url(k % 5 == 0, "https://m/"), m_facebook_url=url(k % 3 == 0, "https://facebook.com/"), m_linkedin_url=url(k % 6 == 1, "https://linkedin.com/"))
+    raw = rows.select(F.lpad(t, 12, "0").alias("id"), F.lit("web_search").alias("source_adapter"), B.at(k % 7).alias("retrieved_at"), data.alias("raw_data"), F.concat(F.lit("c"), (k % 30).cast("string")).alias("c"))
+    facts = stages.record_facts(raw.drop("c"), raw.select(F.col("id").alias("record_id"), F.col("c").alias("company_id")))
+    link = lambda p: F.try_element_at("social_links", F.lit(p)).alias(p)
+    return facts.select("company_id", "n_records", "first_email", "email", "google_maps_url", link("facebook"), link("linkedin"))
+
+
+@query(f"""{B.with_('companies')}, d AS (SELECT * FROM (VALUES ('goa', 15.5, 74.0), {', '.join(f"({q(c)}, {x}, {y})" for c, (x, y) in C.CITY_POSITIONS.items() if c != 'goa')}) AS v(city, a, o))
+SELECT company_id, CASE WHEN coalesce(latitude <> 0 AND longitude <> 0, false) THEN latitude ELSE CAST(d.a AS DOUBLE) END AS latitude, CASE WHEN coalesce(latitude <> 0 AND longitude <> 0, false) THEN longitude ELSE CAST(d.o AS DOUBLE) END AS longitude FROM t_companies c LEFT JOIN d ON lower(trim(c.city)) = d.city""")
+def company_positions(spark, sf_dir):
+    """Companies without a position take their city's, from the known cities and one that is added."""
+    more = spark.createDataFrame([("Goa", 15.5, 74.0)], "city string, latitude double, longitude double")
+    return relevance.with_position(B.table(spark, sf_dir, "companies"), relevance.city_positions(spark, more)).select("company_id", "latitude", "longitude")
+
+
 # ---- streams
 
 
@@ -333,13 +377,21 @@ def _stream(spark, sf_dir):
             F.lit("extracted").alias("status"), F.timestamp_seconds(F.lit(1704067200) + F.col("k")).alias("retrieved_at"), F.lit(None).cast("string").alias("company_id"), payload(name=name, phone=phone).alias("raw_data"),
         )
         rows.coalesce(1).write.mode("append").parquet(f"{base}/raw")
-        ingest.start(spark, f"{base}/raw", f"{base}/companies", f"{base}/links", f"{base}/checkpoint").awaitTermination()
-    return base
+        run = ingest.start(spark, f"{base}/raw", f"{base}/companies", f"{base}/links", f"{base}/checkpoint")
+        run.awaitTermination()
+        seen = ingest.progress(spark, run) if part == 0 else seen.unionByName(ingest.progress(spark, run))
+    return base, seen
 
 
 @query("""WITH k AS (SELECT CAST(s_suppkey AS BIGINT) AS k FROM supplier), r AS (SELECT k, k % 2 AS part FROM k)
 SELECT md5('firm ' || lower(to_hex((k % 10000000) * 7919))) AS company_id, '+919' || lpad(CAST(k * 3 + part AS VARCHAR), 9, '0') AS phone FROM r""")
 def streamed_companies(spark, sf_dir):
     """The company table after three batches: names that arrive again keep their first phone."""
-    base = _stream(spark, sf_dir)
+    base, _ = _stream(spark, sf_dir)
     return ingest.latest(spark, f"{base}/companies", 1 << 40).select("company_id", "phone")
+
+
+@query("SELECT unnest([0, 1, 2])::BIGINT AS batch_id")
+def stream_batches(spark, sf_dir):
+    """The batches that three starts of one stream report."""
+    return _stream(spark, sf_dir)[1].select("batch_id")

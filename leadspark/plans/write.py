@@ -31,6 +31,12 @@ def replace_tenant(table: DataFrame, organization_id: str, path: str) -> None:
         own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(own, True)
 
 
+def store_cleaned(cleaned: DataFrame, path: str) -> None:
+    """The cleaned fields of records beside the raw ones, marked as cleaned, without working columns; a run's rows replace its former ones."""
+    rows = cleaned.select(*[c for c in cleaned.columns if not c.startswith("_")]).withColumn("status", F.lit("cleaned"))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("organization_id", "pipeline_run_id").parquet(path)
+
+
 def as_text(df: DataFrame) -> DataFrame:
     """All columns as text: null as empty, maps and arrays as JSON."""
     kinds = {f.name: f.dataType.typeName() for f in df.schema}

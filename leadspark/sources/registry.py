@@ -76,6 +76,11 @@ def listings(df: DataFrame, order: str = "seq") -> DataFrame:
     return first_seen(df, listing_key(F.col("name"), F.col("phone")), order)
 
 
+def places_page(df: DataFrame, order: str = "seq") -> DataFrame:
+    """The fields that are asked of the places API, of as many places as one answer has."""
+    return df.orderBy(order).select(*[c for c in C.PLACE_FIELDS if c in df.columns]).limit(C.PLACES_PER_PAGE)
+
+
 def named_listings(df: DataFrame, least: int = 3, order: str = "seq") -> DataFrame:
     """The first of each name in letters and digits, of those of at least so many."""
     key = F.regexp_replace(F.lower(F.coalesce("name", F.lit(""))), "[^a-z0-9]", "")

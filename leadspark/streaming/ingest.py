@@ -37,6 +37,12 @@ def process_batch(batch: DataFrame, batch_id: int, companies_path: str, links_pa
     link_back(assigned, links).write.mode("overwrite").parquet(f"{links_path}/version={batch_id}")
 
 
+def progress(spark: SparkSession, query: StreamingQuery) -> DataFrame:
+    """(batch_id, started, seconds) of the query's batches that it still remembers, in order."""
+    seen = [(int(p["batchId"]), p["timestamp"], p["batchDuration"] / 1000) for p in query.recentProgress if p["numInputRows"]]
+    return spark.createDataFrame(seen, "batch_id long, started string, seconds double")
+
+
 def start(spark: SparkSession, raw_path: str, companies_path: str, links_path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
     """Follow the raw-record files at raw_path; with `once`, take what is there and stop."""
     stream = spark.readStream.schema(RAW_RECORD).parquet(raw_path)

@@ -58,3 +58,18 @@ def test_location(spark, row, kept):
     r = {c: F.lit(row.get(c)).cast("string") for c in text} | {c: F.lit(row.get(c)).cast("double") for c in ("latitude", "longitude")}
     assert spark.range(1).select(R.fits_location(r, "London", None)).head()[0] is kept
     assert spark.range(1).select(R.fits_location(r, None, None)).head()[0] is True
+
+
+def test_columns_agree_with_single_texts(spark):
+    from leadspark.operators import query_columns as K
+
+    texts = ["salons, Dubai", "salons in Dubai", "salons Dubai", "Dubai salons", "Mexico City hotels", "best vegan food near New Delhi.", "  cafes  ", "", "hospitals Karnataka Goa", "a, b, c;", ", x", "in Goa", "glass works at ", "Spas close to Goa", "shops - Delhi", "UPPER in Goa", "24/7 pharmacy late-night", "Goa", "x\ty in Goa"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, q string")
+    q = F.col("q")
+    rows = df.select("i", K.split_category(q), K.split_location(q), K.location_of(q), K.category_of(q), K.qualifiers_of(q), K.bare_category(q), K.scopes(q), K.either_case(q), K.name_group(q), K.interpret(q).alias("z")).orderBy("i").collect()
+    for r, t in zip(rows, texts, strict=True):
+        want = (*Q.split_query(t), Q.location_of(t), Q.category_of(t), Q.qualifiers_of(t), Q.bare_category(t), Q.scopes(t), Q.either_case(t), Q.name_groups(t)[0][0][1])
+        assert tuple(r)[1:-1] == want, t
+        i = Q.interpret(t)
+        assert (r.z.text, r.z.category, r.z.location, r.z.qualifiers, r.z.variations, r.z.scopes) == (i.text, i.category, i.location, i.qualifiers, i.variations, i.scopes), t
+    assert df.limit(1).select(K.interpret(F.lit(None).cast("string")).alias("z")).head().z.text is None

@@ -177,3 +177,29 @@ def test_empty_tables(spark, raw):
     t = stages.run_all(raw.limit(0))
     assert all(t[k].count() == 0 for k in t) and stages.clean_summary(t["cleaned"], t["clusters"]).head().raw_records_read == 0
     assert stats.score_stats(t["scores"]).head().avg_score == 0
+
+
+def test_a_source_of_ones_own_and_a_limit_of_time(spark):
+    from leadspark.sources.payload import payload
+
+    registry.register("own_list", lambda df: df.select(F.concat(F.lit("own_"), "n").alias("source_record_id"), payload(name=F.col("n"), phone=F.lit("1")).alias("raw_data")))
+    try:
+        rows = spark.createDataFrame([("b",), ("a",)], "n string")
+        errors = []
+        kept, _ = registry.extract({"own_list": rows}, "o", "r", "", None, None, errors=errors, seconds=60)
+        assert {r.source_record_id for r in kept.collect()} == {"own_a", "own_b"} and not errors
+        assert registry.open_source("own_list") is NORMALISERS["own_list"] and registry.listed(spark).where("name = 'own_list' and selectable").count() == 1
+        with pytest.raises(ValueError):
+            registry.register("own_list", lambda df: df)
+    finally:
+        del NORMALISERS["own_list"]
+        registry.FREE.discard("own_list")
+
+
+def test_an_emptied_tenant_has_no_rows(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = spark.createDataFrame([("x", 1)], "organization_id string, n int")
+    for org in ("a b/c", "d"):
+        write.replace_tenant(rows, org, path)
+    write.replace_tenant(rows.limit(0), "a b/c", path)
+    assert [tuple(r) for r in spark.read.schema("n int, organization_id string").parquet(path).collect()] == [(1, "d")]
