@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textnum import _K, ALNUM, mix, shingles, small_batches, steps, word_hashes, words
+from .textnum import _K, ALNUM, lean, mix, shingles, small_batches, steps, word_hashes, words
 
 #: Bytes of a fingerprint, each of them a block, and the bits in which an item may differ from a window.
 BLOCKS, RADIUS = 16, 29
@@ -216,7 +216,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.75) -> Dat
                 cols = [b.column("doc_id").take(pa.array([f[0] for f in found], pa.int64())), pa.array([shared.value.ids[f[1]] for f in found], pa.int64())]
                 yield pa.record_batch([*cols, pa.array([f[2] for f in found], pa.float64()), pa.array([f[3] for f in found], pa.int64())], ["doc_id", "item_id", "similarity", "first_word"])
 
-        out = out.unionByName(docs.mapInArrow(run, kind))
+        out = out.unionByName(docs.mapInArrow(lean(run), kind))
     return out
 
 
@@ -233,5 +233,5 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.75
                 keep[[f[0] for f in find(shared.value, b.column("text"), threshold)]] = False
                 yield b.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(lean(run), docs.schema)
     return docs

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textnum import ensure_checkpoint_dir
+from .textnum import ensure_checkpoint_dir, lean
 
 #: Edges up to which one task finds the components, at some 100 bytes an edge; larger tables are exchanged.
 ONE_TASK = 1_000_000
@@ -51,7 +51,7 @@ def components(edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
     ensure_checkpoint_dir(edges.sparkSession)
     e = edges.select("a", "b").where("a is not null and b is not null and a <> b").checkpoint()
     if e.count() <= one_task:
-        return e.coalesce(1).mapInArrow(_solved, "node long, label long").checkpoint()
+        return e.coalesce(1).mapInArrow(lean(_solved), "node long, label long").checkpoint()
     both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
     labels = both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("label")).checkpoint()
     while True:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textnum import mix, small_batches, steps
+from .textnum import lean, mix, small_batches, steps
 
 #: Documents of a language that its model is fitted on at most, the ones with the smallest hash of doc_id and text, and the places of that hash.
 TRAIN_DOCS, PLACES = 1000, 1 << 62
@@ -256,7 +256,7 @@ def identify(docs: DataFrame, model: Identifier) -> DataFrame:
             lang, score, rejected = shared.value.predict(b.column("text"))
             yield pa.record_batch([b.column("doc_id").cast(pa.int64()), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], ["doc_id", "lang_pred", "score", "rejected"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, lang_pred string, score double, rejected boolean")
 
 
 def without_rejected(docs: DataFrame, model: Identifier) -> DataFrame:
@@ -268,4 +268,4 @@ def without_rejected(docs: DataFrame, model: Identifier) -> DataFrame:
         for b in batches:
             yield b.filter(pa.array(~shared.value.predict(b.column("text"))[2]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

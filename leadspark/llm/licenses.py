@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textnum import ALNUM, small_batches, steps, word_hashes, words
+from .textnum import ALNUM, lean, small_batches, steps, word_hashes, words
 
 # The base phrases with their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -303,4 +303,4 @@ def scan(docs: DataFrame, phrases: dict[str, str] | None = None, templates: list
             yield pa.record_batch(cols, names)
 
     schema = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, notices array<struct<first_word:long,end_word:long,label:string>>"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), schema)

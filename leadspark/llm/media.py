@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textnum import small_batches
+from .textnum import lean, small_batches
 
 WIDTH = 64
 #: Samples, about, that are read back together.
@@ -168,7 +168,7 @@ def store(docs: DataFrame) -> DataFrame:
             media = [encode(pad(x)) for x in raw]
             yield pa.record_batch([b.column("doc_id"), pa.array(list(map(len, raw)), pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), "doc_id long, n_bytes long, media binary")
 
 
 def read_back(stored: DataFrame) -> DataFrame:
@@ -192,4 +192,4 @@ def read_back(stored: DataFrame) -> DataFrame:
             yield pa.record_batch([b.column("doc_id"), b.column("n_bytes"), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds[2:]))], names)
 
     kind = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, media binary, hash binary"
-    return stored.select("doc_id", "n_bytes", "media").mapInArrow(run, kind)
+    return stored.select("doc_id", "n_bytes", "media").mapInArrow(lean(run), kind)

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
-from .textnum import NON_SPACE, ensure_checkpoint_dir, mix, release, shingles, small_batches, steps, word_hashes, words
+from .textnum import NON_SPACE, ensure_checkpoint_dir, lean, mix, release, shingles, small_batches, steps, word_hashes, words
 
 #: Buckets of the sketch of token counts: 4 MB in any task, at any size of the input.
 SKETCH_BITS = 20
@@ -327,14 +327,14 @@ def _linked_rows(docs: DataFrame, classes: DataFrame, labels: DataFrame) -> Data
             yield pa.record_batch([*b.columns, pa.array(s.astype(np.int32))], [*b.schema.names, "s"])
 
     mine = classes.select("cls", "node", "least", "n", "k").join(labels, "node").select("cls", "least", "n", "k", "label")
-    mine = mine.mapInArrow(sized, "cls binary, least long, n long, k long, label long, s int").checkpoint()
+    mine = mine.mapInArrow(lean(sized), "cls binary, least long, n long, k long, label long, s int").checkpoint()
     held = mine.groupBy("label", "s").agg(F.count("*").alias("rows"), F.sum("n").alias("tokens"))
     whole = held.groupBy("label").agg(F.collect_list(F.struct("s", "rows", "tokens")).alias("x"), F.sum("rows").alias("rows"), F.sum("tokens").alias("tokens"))
     # a component of one block needs no size classes: null stands for that
     deal = F.when((F.col("rows") > BLOCK_CLASSES) | (F.col("tokens") > BLOCK_TOKENS), F.map_from_entries(F.transform("x", lambda x: F.struct(x["s"], F.ceil(F.greatest(x["rows"] / BLOCK_CLASSES, x["tokens"] / BLOCK_TOKENS)).cast("int")))))
     mine = mine.join(whole.where("rows > 1").select("label", deal.alias("blocks")), "label").checkpoint()
     bits = docs.sparkSession.sparkContext.broadcast(_id_filter(mine.select("least")))
-    sets = docs.mapInArrow(_sets_of(bits), "node long, cls binary, tokens binary").select("cls", "tokens")
+    sets = docs.mapInArrow(lean(_sets_of(bits)), "node long, cls binary, tokens binary").select("cls", "tokens")
     s, own = F.col("s"), F.col("own")
     pair = lambda s, b, t, c, side: F.struct(s.cast("int").alias("s"), b.cast("int").alias("b"), t.cast("int").alias("t"), c.cast("int").alias("c"), F.lit(side).cast("int").alias("side") if isinstance(side, int) else side.cast("int").alias("side"))
     others = lambda t: F.when(F.element_at("blocks", t).isNull(), F.array().cast("array<int>")).otherwise(F.sequence(F.lit(0), F.element_at("blocks", t) - 1))
@@ -347,7 +347,7 @@ def _linked_rows(docs: DataFrame, classes: DataFrame, labels: DataFrame) -> Data
     dealt = sets.join(mine.select("cls", "label", "k", pairs.alias("pairs")), "cls").dropDuplicates(["cls"])
     dealt = dealt.select("label", F.explode("pairs").alias("p"), "k", "cls", "tokens").select("label", "p.*", "k", "cls", "tokens")
     by = ["label", "s", "b", "t", "c"]
-    found = dealt.repartition(*by).sortWithinPartitions(*by).mapInArrow(_links_of_blocks, "cls binary, n_links long")
+    found = dealt.repartition(*by).sortWithinPartitions(*by).mapInArrow(lean(_links_of_blocks), "cls binary, n_links long")
     return found.groupBy("cls").agg(F.sum("n_links").alias("n_links"))
 
 
@@ -367,8 +367,8 @@ def _id_filter(ids: DataFrame) -> np.ndarray:
                     mine |= np.frombuffer(zlib.decompress(x.as_py()), dtype=np.uint8)
         yield pa.record_batch([pa.array([zlib.compress(mine.tobytes(), 1)], pa.binary())], ["bits"])
 
-    parts = ids.toDF("id").where("id is not null").mapInArrow(bits, "bits binary")
-    for x in parts.repartition(1).mapInArrow(bits, "bits binary").collect():  # one row of at most 8 MB
+    parts = ids.toDF("id").where("id is not null").mapInArrow(lean(bits), "bits binary")
+    for x in parts.repartition(1).mapInArrow(lean(bits), "bits binary").collect():  # one row of at most 8 MB
         return np.frombuffer(zlib.decompress(x["bits"]), dtype=np.uint8)
     return np.zeros(size // 8, dtype=np.uint8)
 
@@ -408,11 +408,11 @@ def near_duplicates(docs: DataFrame, count_links: bool = False) -> DataFrame:
     small_batches(spark)
     ensure_checkpoint_dir(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    profile = docs.mapInArrow(_profile, "doc_id long, n long, cls binary, node long, bits binary, sketch binary").checkpoint()
+    profile = docs.mapInArrow(lean(_profile), "doc_id long, n long, cls binary, node long, bits binary, sketch binary").checkpoint()
     parts = profile.where("sketch is not null").select("sketch")
     counts = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
-    level = parts.repartition(max(1, math.isqrt(profile.rdd.getNumPartitions()))).mapInArrow(_merge, "sketch binary")
-    for x in level.repartition(1).mapInArrow(_merge, "sketch binary").collect():  # one row of fixed size
+    level = parts.repartition(max(1, math.isqrt(profile.rdd.getNumPartitions()))).mapInArrow(lean(_merge), "sketch binary")
+    for x in level.repartition(1).mapInArrow(lean(_merge), "sketch binary").collect():  # one row of fixed size
         counts = np.frombuffer(zlib.decompress(x["sketch"]), dtype=np.int64)
     rows = profile.where("cls is not null").select("doc_id", "n", "cls", "node", "bits")
     copies = [F.count("*").alias("k")] if count_links else []
@@ -420,7 +420,7 @@ def near_duplicates(docs: DataFrame, count_links: bool = False) -> DataFrame:
     node = F.col("node")
 
     shared = spark.sparkContext.broadcast((grades(counts), first_frequent(counts)))
-    found = docs.mapInArrow(_entries_of(shared), "entry long, node long, n long, hot boolean, place long")
+    found = docs.mapInArrow(lean(_entries_of(shared)), "entry long, node long, n long, hot boolean, place long")
     # one sort inside an entry, or a part of a hot one, finds whether it ties different classes, and repeats of a class
     part = Window.partitionBy("entry", F.when(F.col("hot"), F.pmod(node, F.lit(SALTS))).otherwise(F.lit(0))).orderBy("node")
     whole = part.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -454,13 +454,13 @@ def near_duplicates(docs: DataFrame, count_links: bool = False) -> DataFrame:
         # bitmaps rule most pairs out that share some passage only; the rest is verified on the sets, of which only theirs are made
         x = classes.select(F.col("node").alias("a"), F.col("n").alias("m"), F.col("bits").alias("x"))
         y = classes.select(F.col("node").alias("b"), F.col("n").alias("o"), F.col("bits").alias("y"))
-        likely = pairs.join(y, "b").join(x, "a").select("a", "b", "la", "lb", "m", "o", "x", "y").mapInArrow(_may_link, "a long, b long, la long, lb long").checkpoint()
+        likely = pairs.join(y, "b").join(x, "a").select("a", "b", "la", "lb", "m", "o", "x", "y").mapInArrow(lean(_may_link), "a long, b long, la long, lb long").checkpoint()
         ends = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         bits = spark.sparkContext.broadcast(_id_filter(ends.join(classes.select("node", "least"), "node").select("least")))
-        sets = docs.mapInArrow(_sets_of(bits), "node long, cls binary, tokens binary").dropDuplicates(["node"]).checkpoint()
+        sets = docs.mapInArrow(lean(_sets_of(bits)), "node long, cls binary, tokens binary").dropDuplicates(["node"]).checkpoint()
         x = sets.select(F.col("node").alias("a"), F.col("tokens").alias("x"))
         y = sets.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
-        good = likely.join(y, "b").join(x, "a").select("a", "b", "la", "lb", "x", "y").mapInArrow(_verify, "la long, lb long")
+        good = likely.join(y, "b").join(x, "a").select("a", "b", "la", "lb", "x", "y").mapInArrow(lean(_verify), "la long, lb long")
         # only what this round adds is solved: its links tie labels of former rounds
         change = components(good.select(F.col("la").alias("a"), F.col("lb").alias("b")))
         if labels is None:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .textnum import ensure_checkpoint_dir, small_batches
+from .textnum import ensure_checkpoint_dir, lean, small_batches
 
 #: Characters of a run of white space, or between white space, from which a text goes to the library of the JSON file.
 LONG_RUN = 1000
@@ -160,7 +160,7 @@ def pack(docs: DataFrame, ranks_path: str, json_path: str, pattern: str, most: i
     ensure_checkpoint_dir(spark)
     kind = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids binary" if with_ids else "")
     run = _pieces_of((ranks_path, json_path, pattern), most, end_id, with_ids)
-    pieces = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, kind).checkpoint()
+    pieces = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), kind).checkpoint()
     # the checkpoint fixes rows and partitions, so that ranks are the same in every retry
     part = F.spark_partition_id().alias("part")
     counts = pieces.groupBy(part, "length").agg(F.count("*").alias("n"))
@@ -169,7 +169,7 @@ def pack(docs: DataFrame, ranks_path: str, json_path: str, pattern: str, most: i
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `most` rows
     kind_of_plan = "length long, lo long, hi long, first long, per long, base long"
     slots = spark.createDataFrame(plan(histogram, most), kind_of_plan)
-    ranked = pieces.select("*", part).mapInArrow(_ranked, kind + ", part int, local long")
+    ranked = pieces.select("*", part).mapInArrow(lean(_ranked), kind + ", part int, local long")
     ranked = ranked.join(F.broadcast(before) if pieces.rdd.getNumPartitions() * most <= broadcast_bases else before, ["part", "length"])
     ranked = ranked.withColumn("rank", F.col("before") + F.col("local")).drop("part", "local", "before")
     at = F.col("rank") - F.col("lo")

@@ -9,13 +9,13 @@ two prefix sums give for all words of a batch at once.
 from __future__ import annotations
 
 import contextlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
 #: Text bytes that one numpy step handles; a single longer row makes a step of its own.
-STEP_BYTES = 2_000_000
+STEP_BYTES = 500_000
 
 _M = 0x9E3779B97F4A7C15 | 1
 _U = np.uint64
@@ -72,7 +72,7 @@ def mix(h: np.ndarray) -> np.ndarray:
         return h ^ (h >> _U(32))
 
 
-def steps(column: pa.Array, limit: int = STEP_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def steps(column: pa.Array, limit: int | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, last row + 1, bytes, row offsets) in steps of about `limit` bytes; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -86,7 +86,7 @@ def steps(column: pa.Array, limit: int = STEP_BYTES) -> Iterator[tuple[int, int,
     data = np.frombuffer(buffers[2], dtype=np.uint8) if buffers[2] is not None else np.zeros(0, np.uint8)
     lo = 0
     while lo < len(column):
-        hi = max(lo + 1, int(np.searchsorted(offs, offs[lo] + limit, "right")) - 1)
+        hi = max(lo + 1, int(np.searchsorted(offs, offs[lo] + (limit or STEP_BYTES), "right")) - 1)
         hi = min(hi, len(column))
         yield lo, hi, data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
         lo = hi
@@ -176,6 +176,25 @@ def ensure_checkpoint_dir(spark) -> None:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
 
 
+def trim() -> None:
+    """Give memory that Python has freed back to the system."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a C library without it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The function for mapInArrow, trimmed when a task ends: Spark keeps idle workers, and they count against the executor's memory."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        trim()
+
+    return wrapped
+
+
 def release() -> None:
     """Let Spark delete the shuffle files and checkpoints that nothing refers to any more.
 
@@ -183,14 +202,11 @@ def release() -> None:
     hours on a quiet driver, while the files fill the executors' disks.  What the driver's
     own Python has freed goes back to the system too.
     """
-    import ctypes
     import gc
 
     from pyspark import SparkContext
 
     gc.collect()
-    pa.default_memory_pool().release_unused()
-    with contextlib.suppress(OSError, AttributeError):  # a C library without it
-        ctypes.CDLL(None).malloc_trim(0)
+    trim()
     if SparkContext._active_spark_context is not None:
         SparkContext._active_spark_context._jvm.System.gc()

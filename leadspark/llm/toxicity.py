@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textnum import _BYTE, ALNUM, _powers, mix, pieces, small_batches, steps, word_hashes, words
+from .textnum import _BYTE, ALNUM, _powers, lean, mix, pieces, small_batches, steps, word_hashes, words
 
 #: Labelled documents of each class to train on at most, those of the smallest hash of doc_id, and their bytes.
 TRAIN_DOCS = 3000
@@ -291,4 +291,4 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for b in batches:
             yield pa.record_batch([b.column("doc_id").cast(pa.int64()), pa.array(shared.value.score(b.column("text")))], ["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, score double")
