@@ -36,7 +36,7 @@ def test_nothing_else_imports_the_subpackage():
     assert not [p for p in root.rglob("*.py") if "llm" not in p.parts and re.search(r"\bllm\b", p.read_text())]
 
 
-@pytest.mark.parametrize("name", ["clean_records", "match_keys", "location_filter", "category_filter", "entity_clusters", "scored_leads", "lead_list", "status_counts", "page_facts", "source_stats"])
+@pytest.mark.parametrize("name", ["clean_records", "match_keys", "location_filter", "category_filter", "entity_clusters", "scored_leads", "lead_list", "status_counts", "page_facts", "source_stats", "leads_in_full", "saved_leads", "refused_leads", "upserted", "validations_with_domains", "enrichments_with_pages", "interpreted_queries", "listings_google_search", "listings_openstreetmap", "extracted", "tenants_replaced", "export_record", "listing_texts"])
 def test_queries_agree_with_sql(spark, name):
     c = duckdb.connect()
     for t in TABLES:
