@@ -52,7 +52,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pieces(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(first word, last word + 1, bytes, starts, ends) of neighbouring words within about STEP_BYTES, or of one longer word.
+    """(first word, last word + 1, bytes, starts, ends) of neighbouring words within about STEP_BYTES, or of one longer word; words come in the order of their places.
 
     So what is made for each byte of a long text is bounded by a step.
     """

@@ -150,6 +150,7 @@ def train(texts: list[str], labels: list[int], toxic_share: float | None = None,
     owner_all, bucket_all = [], []
     for _, _, data, starts, ends, _, h in docs:
         mine = np.flatnonzero((first >= base) & (first < base + len(h)))
+        mine = mine[np.argsort(first[mine])]  # in the order of their places
         own = first[mine] - base
         owner, bucket = buckets(data, starts[own], ends[own])
         owner_all.append(mine.astype(np.int32)[owner])
