@@ -20,7 +20,7 @@ from .textnum import ensure_checkpoint_dir
 #: Bytes of an offset range at most, but for its last record.
 RANGE_BYTES = 1 << 20
 #: One key in so many is an anchor, and of these one in FANOUT of the next level, up to LEVELS levels below the root.
-ANCHOR, FANOUT, LEVELS = 256, 16, 5
+ANCHOR, FANOUT, LEVELS = 256, 64, 3
 
 
 def record(url: Column, body: Column) -> Column:
