@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, licenses, media, ngram_join, packing, secrets, toxicity, url_lists, warc
+from . import decontaminate, language, lexical, licenses, media, ngram_join, packing, secrets, toxicity, url_lists, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -97,13 +97,17 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
-    ops = (op1_ngram_join, op1_ngram_links, op2_toxicity, op3_language, op4_warc, op5_licenses, op6_media, op7_secrets, op8_url_lists, op9_packing, op10_decontaminate)
+    ops = (op1_ngram_join, op1_ngram_links, op2_toxicity, op3_language, op4_warc, op5_licenses, op6_media, op7_secrets, op8_url_lists, op9_packing, op10_decontaminate, op11_lexical_search)
     return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_join": NGRAM_SQL, "op1_ngram_links": LINKS_SQL, "op4_warc": WARC_SQL, "op7_secrets": SECRETS_SQL, "op8_url_lists": URL_SQL}
+    return {"op1_ngram_join": NGRAM_SQL, "op1_ngram_links": LINKS_SQL, "op4_warc": WARC_SQL, "op7_secrets": SECRETS_SQL, "op8_url_lists": URL_SQL, "op11_lexical_search": LEXICAL_SQL}
 
 
 NGRAM_SQL = r"""
@@ -200,3 +204,19 @@ SELECT d.doc_id, CAST(coalesce(n_assign, 0) AS BIGINT) AS n_assign, CAST(coalesc
   sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, CAST(coalesce(n_live, 0) AS BIGINT) AS n_live, CAST(coalesce(n_copied, 0) AS BIGINT) AS n_copied
 FROM d LEFT JOIN g USING (rid) LEFT JOIN c USING (rid)
 """
+
+LEXICAL_SQL = r"""
+WITH w AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents
+), i AS (
+  SELECT item, item_id, unnest(list_distinct(ws)) AS t FROM (
+    SELECT row_number() OVER () AS item, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM benchmark)
+), g AS (SELECT CAST(count(*) AS BIGINT) AS n, CAST(sum(len(ws)) AS BIGINT) AS l FROM w WHERE len(ws) > 0
+), p AS MATERIALIZED (
+  SELECT rid, doc_id, n, t, count(*) AS tf FROM (SELECT rid, doc_id, CAST(len(ws) AS BIGINT) AS n, unnest(ws) AS t FROM w) WHERE t IN (SELECT t FROM i) GROUP BY ALL
+), f AS (SELECT t, CAST(floor(1000 * ln((2.0::DOUBLE * any_value(g.n) + 2) / (2.0::DOUBLE * count(*) + 1))) AS BIGINT) AS weight FROM p, g GROUP BY t
+), c AS (SELECT rid, doc_id, p.t, weight * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * p.n * g.n) // g.l)))) AS c FROM p JOIN f ON p.t = f.t, g
+), s AS (SELECT item, item_id, rid, doc_id, CAST(sum(c) AS BIGINT) AS score FROM c JOIN i ON c.t = i.t GROUP BY ALL HAVING sum(c) > 0
+), r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score FROM s)
+SELECT * FROM r WHERE rank <= 50
+"""
