@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, lexical, licenses, media, ngram_join, packing, secrets, toxicity, url_lists, warc
+from . import decontaminate, language, lexical, licenses, media, mixing, ngram_join, packing, secrets, spelling, toxicity, url_lists, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -101,13 +101,21 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
+def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    ops = (op1_ngram_join, op1_ngram_links, op2_toxicity, op3_language, op4_warc, op5_licenses, op6_media, op7_secrets, op8_url_lists, op9_packing, op10_decontaminate, op11_lexical_search)
+    ops = (op1_ngram_join, op1_ngram_links, op2_toxicity, op3_language, op4_warc, op5_licenses, op6_media, op7_secrets, op8_url_lists, op9_packing, op10_decontaminate, op11_lexical_search, op12_spelling_variants, op13_source_mix)
     return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_join": NGRAM_SQL, "op1_ngram_links": LINKS_SQL, "op4_warc": WARC_SQL, "op7_secrets": SECRETS_SQL, "op8_url_lists": URL_SQL, "op11_lexical_search": LEXICAL_SQL}
+    return {"op1_ngram_join": NGRAM_SQL, "op1_ngram_links": LINKS_SQL, "op4_warc": WARC_SQL, "op7_secrets": SECRETS_SQL, "op8_url_lists": URL_SQL, "op11_lexical_search": LEXICAL_SQL, "op12_spelling_variants": SPELLING_SQL, "op13_source_mix": MIX_SQL}
 
 
 NGRAM_SQL = r"""
@@ -220,3 +228,60 @@ WITH w AS (
 ), r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score FROM s)
 SELECT * FROM r WHERE rank <= 50
 """
+
+#: Checksums by a table of 256 entries, near words by what is left of them without one letter.
+SPELLING_SQL = r"""
+WITH RECURSIVE crc AS MATERIALIZED (
+  SELECT list_transform(range(256), lambda x: list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, CAST(x AS BIGINT))) AS t
+), r AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS d, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{00C0}-\x{00FF}]+')) AS w FROM documents
+), k AS (SELECT d, w, count(*) AS n, hex(encode(d || ':' || w)) AS x FROM r WHERE length(w) >= 5 GROUP BY d, w
+), h AS (
+  SELECT w, k.n, xor(list_reduce(list_transform(range(len(x) // 2), lambda i: CAST('0x' || substr(x, 2 * i + 1, 2) AS BIGINT)), lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1]), 4294967295), 4294967295) AS h FROM k, crc
+), v AS (SELECT CASE WHEN h % 97 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, n FROM h
+), words AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM v WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3
+), cut AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS c FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)
+), pairs AS MATERIALIZED (
+  SELECT a.word AS a, b.word AS b, b.n FROM cut a JOIN cut b ON a.i = b.i AND a.c = b.c AND a.word <> b.word
+  UNION SELECT cut.word, w.word, w.n FROM cut JOIN words w ON cut.c = w.word
+  UNION SELECT w.word, cut.word, cut.n FROM cut JOIN words w ON cut.c = w.word
+), best AS (SELECT a, b, n, count(*) OVER (PARTITION BY a) AS n_near, row_number() OVER (PARTITION BY a ORDER BY n DESC, b) AS turn FROM pairs
+), f AS MATERIALIZED (
+  SELECT w.word, CASE WHEN b.n >= 2 * w.n THEN b.b END AS form, w.n, CAST(coalesce(b.n_near, 0) AS BIGINT) AS n_near, CASE WHEN b.n >= 2 * w.n THEN b.n END AS form_n
+  FROM words w LEFT JOIN best b ON b.a = w.word AND b.turn = 1
+), walk AS (
+  SELECT word, word AS at, form AS next FROM f UNION ALL SELECT walk.word, f.word, f.form FROM walk JOIN f ON walk.next = f.word
+)
+SELECT f.word, f.form, walk.at AS root, f.n, f.n_near, CAST(f.form_n AS BIGINT) AS form_n FROM f JOIN walk ON walk.word = f.word AND walk.next IS NULL
+"""
+
+#: Sources of smallest size for their weight are the ones that cannot give their share; each sample is a running sum by rank.
+MIX_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents
+), u AS (
+  SELECT *, (CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(t)), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u FROM d
+), o AS (SELECT rid, doc_id, source, size, u / (1 - u) / (1 + least(size, 1000) / 1000.0::DOUBLE) AS q FROM u
+), r AS MATERIALIZED (SELECT rid, doc_id, source, size, CAST(floor(q / (1 + q) * 4503599627370496.0::DOUBLE) AS BIGINT) AS rank FROM o
+), s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, CAST(1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS BIGINT) AS weight FROM r GROUP BY source
+), c AS (
+  SELECT *, sum(source_size) OVER () AS total, row_number() OVER w AS place, coalesce(sum(3 * source_size) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS given, sum(weight) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weights
+  FROM s WINDOW w AS (ORDER BY source_size / CAST(weight AS DOUBLE), weight, source NULLS LAST)
+), level AS (SELECT place, (CAST(total - given AS DOUBLE) / CAST(weights AS DOUBLE)) AS level FROM c WHERE weight * (total - given) <= 3 * source_size * weights ORDER BY place LIMIT 1
+), g AS MATERIALIZED (
+  SELECT source, source_size, CAST(CASE WHEN c.place < coalesce(level.place, 0) OR level.place IS NULL THEN 3 * source_size ELSE weight * level END AS DOUBLE) AS target FROM c LEFT JOIN level ON true
+), h AS MATERIALIZED (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM g
+), x1 AS (
+  SELECT r.*, target - whole * source_size AS rest, sum(size) OVER (PARTITION BY r.source ORDER BY rank) AS upto FROM r JOIN h ON r.source IS NOT DISTINCT FROM h.source WHERE size > 0
+), y1 AS MATERIALIZED (SELECT rid, source, size, rank, upto <= rest AS chosen, rest - sum(CASE WHEN upto <= rest THEN size ELSE 0 END) OVER (PARTITION BY source) AS rest FROM x1
+), x2 AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY rank) AS upto FROM y1 WHERE NOT chosen AND size <= rest
+), z2 AS MATERIALIZED (SELECT rid, source, size FROM x2 WHERE upto <= rest
+), y2 AS MATERIALIZED (
+  SELECT y1.rid, y1.source, y1.size, y1.rank, y1.chosen OR z2.rid IS NOT NULL AS chosen, rest - sum(coalesce(z2.size, 0)) OVER (PARTITION BY y1.source) AS rest FROM y1 LEFT JOIN z2 ON y1.rid = z2.rid
+), x3 AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY rank) AS upto, sum(size) OVER (PARTITION BY source, rank) AS own FROM y2 WHERE NOT chosen AND size <= 2 * rest
+), z3 AS (SELECT rid FROM x3 WHERE upto <= rest OR upto - own <= rest AND upto - rest < rest - (upto - own))
+SELECT r.doc_id, r.size, r.source, h.source_size, h.target, CAST(whole + CASE WHEN y2.chosen OR z3.rid IS NOT NULL THEN 1 ELSE 0 END AS BIGINT) AS copies,
+  CAST((whole + CASE WHEN y2.chosen OR z3.rid IS NOT NULL THEN 1 ELSE 0 END) * r.size AS BIGINT) AS taken
+FROM r JOIN h ON r.source IS NOT DISTINCT FROM h.source LEFT JOIN y2 ON y2.rid = r.rid LEFT JOIN z3 ON z3.rid = r.rid
+"""
