@@ -30,8 +30,8 @@ LETTERS, OCCURRENCES, TIMES = 5, 3, 2
 DROP_ONE_OF = 97
 #: Distinct words a task counts before it hands them on.
 HELD_WORDS = 200_000
-#: Letters that the words of a block may have in all; a larger group is divided, unless it serves a single position.
-BLOCK_LETTERS = 1_000_000
+#: Letters that the words of a block may have in all; a larger group is divided, unless it serves a single position or has few words, which are long then.
+BLOCK_LETTERS, FEW_WORDS = 1_000_000, 64
 #: Queries that the tree answers in one step.
 STEP_QUERIES = 1 << 16
 #: Too large groups up to which their keys are broadcast.
@@ -77,7 +77,7 @@ class WaveletTree:
     """A permutation, level by level of its values' bits: how many values before each place have a zero there."""
 
     def __init__(self, values: np.ndarray):
-        self.levels = max(1, int(len(values) - 1).bit_length()) if len(values) else 0
+        self.levels = max(1, int(len(values) - 1).bit_length())
         self.zeros = []
         for k in reversed(range(self.levels)):
             one = (values >> k & 1).astype(bool)
@@ -203,8 +203,8 @@ def blocks(words: DataFrame, block_letters: int = BLOCK_LETTERS) -> DataFrame:
     done = []
     while True:
         entries = _keyed(entries).checkpoint()
-        large = entries.groupBy("key").agg(F.sum(F.col("length") + 1).alias("letters"), F.max(F.col("hi") - F.col("lo")).alias("width"))
-        large = large.where((F.col("letters") > block_letters) & (F.col("width") > 1)).select("key").checkpoint()
+        large = entries.groupBy("key").agg(F.sum(F.col("length") + 1).alias("letters"), F.count("*").alias("words"), F.max(F.col("hi") - F.col("lo")).alias("width"))
+        large = large.where((F.col("letters") > block_letters) & (F.col("words") > FEW_WORDS) & (F.col("width") > 1)).select("key").checkpoint()
         n = large.count()
         if not n:
             break
