@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -45,29 +45,59 @@ def _small_components(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(n, find(n)) for n in label]
 
 
+#: Large stars before each small star: a large star halves a path of ascending nodes, a small star does not.
+LARGE = 3
+
+
+def _apart(node: str) -> Column:
+    """The node's number as a new expression: a join by it deals the rows anew, so that a hub's edges can be split."""
+    return F.col(node).bitwiseXOR(F.lit(0))
+
+
+def _large_star(e: DataFrame) -> DataFrame:
+    """Each node ties its larger neighbours to the least node among its neighbours and itself."""
+    ends = e.select(F.col("b").alias("n"), F.col("a").alias("w")).unionByName(e.select(F.col("a").alias("n"), F.col("b").alias("w")))
+    low = ends.groupBy("n").agg(F.min("w").alias("w")).select(_apart("n").alias("b"), F.least("n", "w").alias("m"))
+    return e.join(low, "b").select("a", F.col("m").alias("b"))
+
+
+def _small_star(e: DataFrame) -> DataFrame:
+    """Each node ties its smaller neighbours and itself to the least of them."""
+    low = e.groupBy("a").agg(F.min("b").alias("m"))
+    inner = e.join(low.select(_apart("a").alias("a"), "m"), "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return inner.unionByName(low.select("a", F.col("m").alias("b"))).distinct()
+
+
+def stars(edges: DataFrame) -> tuple[DataFrame, int]:
+    """(edges, rounds): edges(a, b) with b < a turned into one star around the least node of each component.
+
+    Rounds of LARGE large stars and a small star (Kiveris et al., Connected Components in MapReduce and Beyond).  Neither makes more
+    edges than there were, both shorten paths, and the table shrinks to one edge a node; it is done when no node is
+    tied twice and no centre is tied itself.  Each step is checkpointed.
+    """
+    e, rounds = edges, 0
+    while True:
+        tied = e.select(F.col("a").alias("n"), F.lit(1).alias("tied"), F.lit(0).alias("centre"))
+        ends = tied.unionByName(e.select(F.col("b").alias("n"), F.lit(0).alias("tied"), F.lit(1).alias("centre")))
+        if not ends.groupBy("n").agg(F.sum("tied").alias("tied"), F.max("centre").alias("centre")).where("tied + centre > 1").limit(1).count():
+            return e, rounds
+        for _ in range(LARGE):
+            e = _large_star(e).checkpoint()
+        e = _small_star(e).checkpoint()
+        rounds += 1
+
+
 def components(edges: DataFrame, small: int = SMALL) -> DataFrame:
     """(node, label) for every node of edges(a long, b long); label is the least node that it is connected with.
 
-    A table of at most `small` edges is solved at the driver; larger ones are never collected.
-
-    Each round takes the least label among neighbours and then follows labels once
-    (pointer jumping), and checkpoints the labels; stars take two rounds and a path of n
-    nodes about log n.  Edges with a null end are ignored.
+    A table of at most `small` edges is solved at the driver; larger ones are never collected but turned
+    into stars().  Edges with a null end are ignored, and so are those from a node to itself.
     """
     ensure_checkpoint_dir(edges.sparkSession)
-    e = edges.select("a", "b").where("a is not null and b is not null and a <> b")
+    e = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     e = e.distinct().checkpoint()
     some = e.limit(small + 1).collect() if small else []
     if small and len(some) <= small:
         return edges.sparkSession.createDataFrame(_small_components([(r.a, r.b) for r in some]), "node long, label long")
-    both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("label")).checkpoint()
-    while True:
-        near = both.join(labels, both.b == labels.node).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        low = labels.join(near, "node", "left").select("node", F.least("label", "near").alias("low"), F.col("label").alias("old"))
-        to = labels.select(F.col("node").alias("low"), F.col("label").alias("next"))
-        new = low.join(to, "low", "left").select("node", F.least("low", "next").alias("label"), "old").checkpoint()
-        moved = new.where("label <> old").limit(1).count()
-        labels = new.select("node", "label")
-        if not moved:
-            return labels
+    found, _ = stars(e)
+    return found.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(found.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())

@@ -4,10 +4,12 @@ import math
 import random
 from itertools import combinations
 
+import pytest
 from pyspark.sql import functions as F
 
+from leadspark.operators import components as components_module
 from leadspark.operators import resolve as R
-from leadspark.operators.components import components
+from leadspark.operators.components import components, stars
 from leadspark.operators.similar import near_and_similar, similar_names
 
 
@@ -74,6 +76,20 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize(("edges", "most"), [([(i, i + 1) for i in range(2000)], 4), ([(0, i) for i in range(1, 3000)], 0), ([(2999, i) for i in range(2999)], 1), (list(combinations(range(60), 2)), 1)])
+def test_stars(spark, edges, most):
+    """Paths take a third of the rounds that following labels takes, whose rounds are the logarithm of their length; stars and cliques one at most."""
+    df = spark.createDataFrame([(max(e), min(e)) for e in edges], "a long, b long").repartition(4)
+    found, rounds = stars(df)
+    assert rounds <= most and {(r.a, r.b) for r in found.collect()} == {(n, 0) for e in edges for n in e if n}
+
+
+def test_no_driver_above_the_checked_size(spark, monkeypatch):
+    monkeypatch.setattr(components_module, "_small_components", lambda pairs: pytest.fail("solved at the driver"))
+    found = components(spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long"), small=39)
+    assert {(r.node, r.label) for r in found.collect()} == {(i, 0) for i in range(41)}
+
+
 FIELDS = "idx long, record_id string, source_adapter string, source_record_id string, name string, phone string, address string, website string, city string, state string, latitude double, longitude double, rating double, reviews_count int, completeness double"
 
 
