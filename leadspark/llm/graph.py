@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import stars
 from .textnum import ensure_checkpoint_dir, lean
 
 #: Edges up to which one task finds the components, at some 100 bytes an edge; larger tables are exchanged.
@@ -41,25 +42,13 @@ def _solved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
     """(node, label) for every node of edges(a long, b long); label is the smallest node of its component.
 
-    Each round gives a node the smallest label among itself and its neighbours and
-    then follows labels once (pointer jumping), so a path of n nodes takes about
-    log n rounds and a star two.  The labels are checkpointed in each round; the
-    partial aggregation keeps a hub's edges in the tasks that read them.
+    Large tables are turned into stars around the least nodes, which shrinks them while it converges; see operators/components.py.
     A table of at most `one_task` edges, which a count has shown, takes its rounds inside one task.
     Edges with a null end are ignored; an empty table gives an empty result.
     """
     ensure_checkpoint_dir(edges.sparkSession)
-    e = edges.select("a", "b").where("a is not null and b is not null and a <> b").checkpoint()
+    e = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).checkpoint()
     if e.count() <= one_task:
         return e.coalesce(1).mapInArrow(lean(_solved), "node long, label long").checkpoint()
-    both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("label")).checkpoint()
-    while True:
-        near = both.join(labels, both.b == labels.node).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        low = labels.join(near, "node", "left").select("node", F.least("label", "near").alias("low"), F.col("label").alias("old"))
-        to = labels.select(F.col("node").alias("low"), F.col("label").alias("next"))
-        new = low.join(to, "low", "left").select("node", F.least("low", "next").alias("label"), "old").checkpoint()
-        moved = new.where("label <> old").limit(1).count()
-        labels = new.select("node", "label")
-        if not moved:
-            return labels
+    found, _ = stars(e)
+    return found.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(found.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
