@@ -185,7 +185,8 @@ def read_back(stored: DataFrame) -> DataFrame:
         for b in batches:
             media = b.column("media").to_pylist()
             rows = []
-            for lo, hi in _in_steps([5 * len(x) for x in media]):
+            # what a row takes once it is decoded stands in its header, whatever its compressed length
+            for lo, hi in _in_steps([int.from_bytes(x[16:20], "big") * int.from_bytes(x[20:24], "big") for x in media]):
                 for png, samples in zip(media[lo:hi], decode(media[lo:hi]), strict=True):
                     back, feature = samples.tobytes(), cosine_hash(samples)
                     rows.append((len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(png), hashlib.sha256(png).hexdigest(), feature.hex(), png, feature))

@@ -58,7 +58,7 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.read_back(media.store(_table(spark, sf_dir, "documents"))).drop("media", "hash")
+    return media.read_back(media.store(_table(spark, sf_dir, "documents"))).drop("media")
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

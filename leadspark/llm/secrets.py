@@ -105,6 +105,8 @@ def live_spans(candidates: DataFrame, short: bool = False) -> DataFrame:
     looks &= ~value.rlike(PLACEHOLDER)
     copied = (F.col("n_owners") >= COPIED_OWNERS) | (F.col("n_repositories") >= COPIED_REPOSITORIES)
     one = F.struct((F.col("span.end") - F.length(value)).cast("bigint").alias("start"), F.lit(3).alias("rank"), F.col("span.end").alias("end"), F.lit("live").alias("kind"), F.lit("").alias("value"))
+    # the counts come dealt by hash; as a new expression, the key deals both sides anew, so that a hash of many rows can be split
+    count = count.withColumn("hash", F.concat("hash", F.lit("")))
     marked = c.join(count, "hash").select("rid", F.when(looks & ~copied, one).alias("live"), copied.alias("copied"))
     return marked.groupBy("rid").agg(F.collect_set("live").alias("live"), F.count_if("copied").alias("n_copied"))
 

@@ -284,3 +284,10 @@ def test_pipeline_stages(spark, docs, tmp_path):
             assert len(after) == len(before) and not any(KEY in (r.text or "") for r in after)
         if name == "packing":
             assert {r.doc_id for r in after} == {r.doc_id for r in before}
+
+
+def test_media_steps_by_decoded_size(spark):
+    """Texts that compress to almost nothing count by what they hold: 20 of 2 MB of spaces are read back one by one."""
+    texts = spark.range(20).select(F.col("id").alias("doc_id"), F.repeat(F.lit(" "), F.lit(2_000_000)).alias("text"))
+    found = media.read_back(media.store(texts)).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256").collect()
+    assert len({r.doc_id for r in found}) == 20 and {tuple(r)[1:] for r in found} == {(2_000_000, 2_000_000, hashlib.sha256(b" " * 2_000_000).hexdigest())}
