@@ -107,6 +107,16 @@ def members(assigned: DataFrame) -> DataFrame:
     return assigned.select("root", "record_id", "idx", (F.col("idx") != F.col("root")).alias("duplicate"))
 
 
+def company_key(key: tuple[str, ...] = ("name",)) -> Column:
+    """The id of a company with the columns of its key."""
+    return F.md5(F.concat_ws("|", *[F.lower(strip(F.coalesce(F.col(k), F.lit("")))) for k in key]))
+
+
+def company_name(best_name: Column) -> Column:
+    """What a company is called whose cluster's best name is given."""
+    return strip(F.coalesce(or_null(best_name), F.lit("Unknown")))
+
+
 def upsert_companies(found: DataFrame, existing: DataFrame | None = None, key: tuple[str, ...] = ("name",)) -> tuple[DataFrame, DataFrame]:
     """(companies, links) from clusters() and the companies so far.
 
@@ -115,7 +125,7 @@ def upsert_companies(found: DataFrame, existing: DataFrame | None = None, key: t
     completeness; other fields take the first value that is there, existing companies first.
     links has root and company_id, a hash of the key.  `existing` has the columns of the result.
     """
-    name = strip(F.coalesce(or_null(F.col("best_name")), F.lit("Unknown")))
+    name = company_name(F.col("best_name"))
     fields = ["phone", "website", "address", "city", "state", "latitude", "longitude", "rating", "review_count"]
     new = found.select(
         "root", name.alias("name"), url_domain(F.col("best_website")).alias("domain"), country(F.col("best_phone"), F.col("best_city"), F.col("best_state")).alias("country"), F.col("completeness").alias("completeness_score"),
@@ -125,8 +135,7 @@ def upsert_companies(found: DataFrame, existing: DataFrame | None = None, key: t
     if existing is not None:
         old = existing.select(F.lit(None).cast("long").alias("root"), "name", "domain", "country", "completeness_score", *fields, F.struct(F.lit(0).alias("late"), F.xxhash64("company_id").alias("at")).alias("turn"))
         new = new.unionByName(old)
-    as_key = F.concat_ws("|", *[F.lower(strip(F.coalesce(F.col(k), F.lit("")))) for k in key])
-    new = new.withColumn("company_id", F.md5(as_key))
+    new = new.withColumn("company_id", company_key(key))
     truthy = lambda f: full(F.col(f)) if f in ("phone", "website", "address", "city", "state") else nonzero(F.col(f))
     first = lambda f: F.min_by(F.col(f), F.col("turn")).alias(f)
     companies = new.groupBy("company_id").agg(*[first(f) for f in ("name", "domain", "country", "completeness_score")], *[F.min_by(F.col(f), F.when(truthy(f), F.col("turn"))).alias(f) for f in fields])

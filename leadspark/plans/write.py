@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as C
+from ..sources.snapshots import Snapshots
 
 
 def append_raw(records: DataFrame, path: str) -> None:
@@ -15,20 +16,20 @@ def append_raw(records: DataFrame, path: str) -> None:
     records.write.mode("append").partitionBy("organization_id").parquet(path)
 
 
-def replace_tenant(table: DataFrame, organization_id: str, path: str) -> None:
-    """One organization's rows replace its former ones; other organizations' files stay.
+def replace_tenant(table: DataFrame, organization_id: str, path: str) -> int:
+    """One organization's rows replace its former ones in one step, other organizations' files stay; the new version.
 
-    A dynamic overwrite leaves partitions alone that get no row, so the folder of an
-    organization without rows is deleted; the count comes from the same pass.
+    The table is kept as snapshots, a part an organization: a reader, or a failure at any point, sees the old rows or the new
+    ones, never both or neither.  Without rows the organization is gone.
     """
-    seen = Observation("tenant")
-    rows = table.drop("organization_id").withColumn("organization_id", F.lit(organization_id)).observe(seen, F.count("*").alias("n"))
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("organization_id").parquet(path)
-    if not seen.get["n"]:
-        spark = table.sparkSession
-        jvm = spark.sparkContext._jvm
-        own = jvm.org.apache.hadoop.fs.Path(path, jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString("organization_id", organization_id))
-        own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(own, True)
+    org = F.lit(organization_id)
+    rows = table.drop("organization_id").withColumn("organization_id", org)
+    return Snapshots(table.sparkSession, path).update([organization_id], lambda _: rows, org)
+
+
+def tenants(spark: SparkSession, path: str, organization_id: str | None = None, version: int | None = None) -> DataFrame | None:
+    """The rows that replace_tenant() has stored, of all organizations or by reading one's files alone; None before the first."""
+    return Snapshots(spark, path).read(version, None if organization_id is None else [organization_id])
 
 
 def store_cleaned(cleaned: DataFrame, path: str) -> None:
