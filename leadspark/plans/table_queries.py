@@ -13,7 +13,7 @@ from ..operators import relevance
 from ..operators import resolve as R
 from ..operators.components import ensure_checkpoint_dir
 from ..sources import registry
-from ..streaming import ingest
+from ..streaming import company_state, ingest
 from . import serve, stages, stats, write
 from . import tables as B
 from . import oracle as O
@@ -404,3 +404,34 @@ def streamed_companies(spark, sf_dir):
 def stream_batches(spark, sf_dir):
     """The batches that three starts of one stream report."""
     return _stream(spark, sf_dir)[1].select("batch_id")
+
+
+@query(f"""WITH k AS (SELECT CAST(s_suppkey AS BIGINT) AS k FROM supplier), r AS (
+  SELECT part, k, (k * 37) % 1000 AS sec, part || '-' || k AS id, CASE WHEN part < 2 THEN 'firm ' ELSE 'FIRM ' END || upper(to_hex((k // 3) * 7919)) AS raw_name, CASE WHEN k % 3 <> part THEN '9' || lpad(CAST(k * 3 + part AS VARCHAR), 9, '0') END AS raw_phone
+  FROM k, (VALUES (0), (1), (2)) AS p(part) WHERE k % 2 = part % 2
+), c AS (SELECT part, sec, id, {O.std_name('raw_name')} AS name, {O.std_phone('raw_phone')} AS phone, 1 AS n FROM r
+), every AS (
+  SELECT md5(lower(trim(name))) AS company_id, * FROM c
+  UNION ALL SELECT DISTINCT md5('firm ' || lower(to_hex((k // 3) * 7919))), -1, 0, '', 'firm ' || lower(to_hex((k // 3) * 7919)), CASE WHEN (k // 3) % 2 = 0 THEN '+910000000001' END, 10 FROM k WHERE (k // 3) % 5 = 0
+), o AS (SELECT *, row_number() OVER (ORDER BY part, sec, id) AS turn FROM every)
+SELECT company_id, arg_min(name, turn) AS name, arg_min(phone, turn) FILTER (phone IS NOT NULL) AS phone, CAST(sum(n) AS BIGINT) AS n_records FROM o GROUP BY company_id HAVING max(part) >= 0""")
+def stateful_companies(spark, sf_dir):
+    """Companies in the state store after three files and as many starts of one stream; some are known before."""
+    from ..sources.payload import payload
+
+    base, k = _folder(spark, "state"), F.col("k")
+    keys = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").cast("long").alias("k"))
+    number = F.hex(F.floor(k / 3) * F.lit(7_919))
+    name = F.concat(F.lit("firm "), F.lower(number))
+    known = keys.where("floor(k / 3) % 5 = 0").select(name.alias("name"), F.when(F.floor(k / 3) % 2 == 0, "+910000000001").alias("phone")).distinct()
+    known = known.select(R.company_key().alias("company_id"), "name", "phone", *[F.lit(None).cast("string").alias(f) for f in company_state.TEXTS if f != "phone"], *[F.lit(None).cast("double").alias(f) for f in company_state.NUMBERS], F.lit(10).alias("n_records"))
+    for part in range(3):
+        of = F.concat(F.lit("firm " if part < 2 else "FIRM "), number)
+        phone = F.when(k % 3 != part, F.concat(F.lit("9"), F.lpad((k * 3 + part).cast("string"), 9, "0")))
+        rows = keys.where(k % 2 == part % 2).select(
+            F.concat(F.lit(f"{part}-"), k.cast("string")).alias("id"), F.lit("o").alias("organization_id"), F.lit("r").alias("pipeline_run_id"), F.lit("web_search").alias("source_adapter"), F.concat(F.lit(f"s{part}-"), k.cast("string")).alias("source_record_id"),
+            F.lit("extracted").alias("status"), F.timestamp_seconds(F.lit(1704067200) + (k * 37) % 1000).alias("retrieved_at"), F.lit(None).cast("string").alias("company_id"), payload(name=of, phone=phone).alias("raw_data"),
+        )
+        rows.coalesce(1).write.mode("append").parquet(f"{base}/raw")
+        company_state.start(spark, f"{base}/raw", f"{base}/out", f"{base}/checkpoint", known).awaitTermination()
+    return company_state.current(spark, f"{base}/out").select("company_id", "name", "phone", "n_records")
