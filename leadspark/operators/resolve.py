@@ -31,6 +31,9 @@ def with_index(records: DataFrame, *order: str) -> DataFrame:
     return out.withColumn("idx", F.col("__at") - F.col("__first") + F.col("__base")).drop("__part", "__at", "__first", "__base")
 
 
+FIRST_FIELDS = ["name", "phone", "address", "website", "city"]
+
+
 def _fill(fields: list[str]) -> Column:
     return sum((F.when(full(strip(F.col(f))), 1).otherwise(0) for f in fields), F.lit(0))
 
@@ -46,16 +49,21 @@ def with_keys(records: DataFrame) -> DataFrame:
     return records.withColumns({"name_key": match_name(F.col("name")), "city_key": group_key(F.col("city")), "phone_key": standard_phone(F.col("phone"))})
 
 
-def key_edges(records: DataFrame) -> DataFrame:
-    """(a, b) between records that share a phone, a name and city, or a source record id."""
-    if "name_key" not in records.columns:
-        records = with_keys(records)
+def record_keys(records: DataFrame) -> DataFrame:
+    """(idx, key) of with_keys(): phone, name and city, source record id."""
     keys = F.array(
         F.concat(F.lit("p:"), "phone_key"),
         F.when(F.length("name_key") >= 3, F.concat(F.lit("n:"), "name_key", F.lit("|"), "city_key")),
         F.when(full(F.col("source_record_id")), F.concat(F.lit("s:"), F.col("source_record_id"))),
     )
-    return star_edges(records.select("idx", F.explode(F.array_compact(keys)).alias("key")))
+    return records.select("idx", F.explode(F.array_compact(keys)).alias("key"))
+
+
+def key_edges(records: DataFrame) -> DataFrame:
+    """(a, b) between records that share a phone, a name and city, or a source record id."""
+    if "name_key" not in records.columns:
+        records = with_keys(records)
+    return star_edges(record_keys(records))
 
 
 def labelled(records: DataFrame, edges: DataFrame) -> DataFrame:
@@ -64,6 +72,11 @@ def labelled(records: DataFrame, edges: DataFrame) -> DataFrame:
     return records.join(found, "idx", "left").withColumn("root", F.coalesce("root_", "idx")).drop("root_")
 
 
+def city_block(city: Column) -> Column:
+    """The block in which names are compared: a city, or one block for all names without."""
+    return F.when(group_key(city) == "", "_unknown_").otherwise(group_key(city))
+
+
 def assign_clusters(records: DataFrame) -> DataFrame:
     """cleaned records(idx, name, phone, address, website, city, state, latitude, longitude, rating, reviews_count, source_record_id, completeness, ...) with `root`.
 
@@ -74,10 +87,9 @@ def assign_clusters(records: DataFrame) -> DataFrame:
     ensure_checkpoint_dir(records.sparkSession)
     records = with_keys(records).checkpoint()
     exact = key_edges(records).checkpoint()
-    first = labelled(records.withColumn("fill", _fill(["name", "phone", "address", "website", "city"])), exact)
+    first = labelled(records.withColumn("fill", _fill(FIRST_FIELDS)), exact)
     of = first.groupBy("root").agg(best("name").alias("name"), best("city").alias("city"))
-    block = F.when(group_key(F.col("city")) == "", "_unknown_").otherwise(group_key(F.col("city")))
-    fuzzy = similar_names(of.select(F.col("root").alias("item"), block.alias("block"), match_name(F.col("name")).alias("name")), FUZZY)
+    fuzzy = similar_names(of.select(F.col("root").alias("item"), city_block(F.col("city")).alias("block"), match_name(F.col("name")).alias("name")), FUZZY)
     spatial = near_and_similar(records.select(F.col("idx").alias("item"), F.col("name_key").alias("name"), "latitude", "longitude"), SPATIAL)
     return labelled(records, exact.unionByName(fuzzy).unionByName(spatial)).drop("name_key", "city_key", "phone_key")
 
@@ -87,7 +99,7 @@ def clusters(assigned: DataFrame) -> DataFrame:
 
     Who belongs to a cluster is members(), a row for each record, as a cluster may be of any size.
     """
-    rows = assigned.withColumn("fill", _fill(["name", "phone", "address", "website", "city"]))
+    rows = assigned.withColumn("fill", _fill(FIRST_FIELDS))
     some = sum((F.when(full(F.col(f)), 1).otherwise(0) for f in ("name", "phone", "address", "website")), F.lit(0))
     here = nonzero(F.col("latitude")) & nonzero(F.col("longitude"))
     place = F.max_by(F.struct("latitude", "longitude"), F.when(here, F.struct(some, -F.col("idx"))))

@@ -37,16 +37,29 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
     return F.lit(6371.0) * 2 * F.atan2(F.sqrt(a), F.sqrt(1 - a))
 
 
-def _with_grams(rows: DataFrame) -> DataFrame:
+def _coded(rows: DataFrame) -> DataFrame:
+    """(item, gram, bucket) of each distinct bigram of a name, as a number."""
+    code = lambda g: F.shiftleft(F.ascii(g).cast("long"), 21) + F.ascii(F.substr(g, F.lit(2))).cast("long")
+    return rows.select("item", F.explode(F.transform(bigrams(F.col("name")), code)).alias("gram")).withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(GRAM_BUCKETS)))
+
+
+def gram_counts(rows: DataFrame) -> DataFrame:
+    """(bucket, seen): how often bigrams of rows(item, name) fall into each bucket, at most GRAM_BUCKETS rows."""
+    return _coded(rows).groupBy("bucket").agg(F.count("*").alias("seen"))
+
+
+def with_grams(rows: DataFrame, seen: DataFrame | None = None) -> DataFrame:
     """rows(item, name, ...) with `grams`, the name's distinct bigrams as numbers, rarest first, and their number `n`.
 
-    The order comes from counts in a table of fixed size; bigrams that share a bucket only
-    share its count.  Names without a bigram go.
+    The order comes from counts in a table of fixed size, by default of these rows; bigrams that share a bucket only
+    share its count.  Any order is right that all rows of a join have in common.  Names without a bigram go.
     """
-    code = lambda g: F.shiftleft(F.ascii(g).cast("long"), 21) + F.ascii(F.substr(g, F.lit(2))).cast("long")
-    each = rows.select("item", F.explode(F.transform(bigrams(F.col("name")), code)).alias("gram")).withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(GRAM_BUCKETS)))
-    seen = each.groupBy("bucket").agg(F.count("*").alias("seen"))
-    ordered = each.join(F.broadcast(seen), "bucket").groupBy("item").agg(F.array_sort(F.collect_list(F.struct("seen", "gram"))).alias("x"))
+    each = _coded(rows)
+    if seen is None:
+        counted = each.join(F.broadcast(each.groupBy("bucket").agg(F.count("*").alias("seen"))), "bucket")
+    else:
+        counted = each.join(F.broadcast(seen), "bucket", "left").withColumn("seen", F.coalesce("seen", F.lit(0).cast("long")))
+    ordered = counted.groupBy("item").agg(F.array_sort(F.collect_list(F.struct("seen", "gram"))).alias("x"))
     return rows.join(ordered.select("item", F.col("x.gram").alias("grams"), F.size("x").alias("n")), "item")
 
 
@@ -59,7 +72,7 @@ def _entries(block: list[str], prefix: Column, k: int) -> Column:
     return F.when(F.col("n") >= 2, pairs).otherwise(F.transform(grams, lambda g: F.struct(F.xxhash64(*block, g).alias("key"), F.lit(1).alias("place"))))
 
 
-def _candidates(stored: DataFrame, asking: DataFrame, threshold: float, k: int, more: Column | None = None) -> DataFrame:
+def candidates(stored: DataFrame, asking: DataFrame, threshold: float, k: int, more: Column | None = None) -> DataFrame:
     """(a, b) from stored(key, place, n, item, ...) and asking(key, place, n, item, ...): pairs that may reach the threshold, the smaller item first."""
     x, y = (t.select("key", *[F.col(c).alias(f"{c}_{v}") for c in t.columns if c != "key"]) for t, v in ((stored, "x"), (asking, "y")))
     share = F.ceil((F.col("n_x") + F.col("n_y")) * F.lit(threshold / 2) - F.lit(1e-9))
@@ -70,13 +83,19 @@ def _candidates(stored: DataFrame, asking: DataFrame, threshold: float, k: int,
     return pairs.select(F.least("item_x", "item_y").alias("a"), F.greatest("item_x", "item_y").alias("b")).distinct()
 
 
-def _verified(pairs: DataFrame, grams: DataFrame, threshold: float) -> DataFrame:
+def verified(pairs: DataFrame, grams: DataFrame, threshold: float) -> DataFrame:
     """The pairs whose bigrams, from grams(item, grams, n), reach the threshold; only ids were exchanged so far."""
     x, y = (grams.select(F.col("item").alias(v), F.col("grams").alias(f"g{v}"), F.col("n").alias(f"n{v}")) for v in "ab")
     both = F.size(F.array_intersect("ga", "gb"))
     return pairs.join(x, "a").join(y, "b").where(2.0 * both / (F.col("na") + F.col("nb")) >= threshold).select("a", "b")
 
 
+def name_entries(names: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(stored, asking) entries (key, place, n, item) of names(item, block, grams, n), for candidates() with pairs of bigrams."""
+    side = lambda share: names.select("item", "n", F.inline(_entries(["block"], F.col("n") - F.ceil(F.col("n") * F.lit(share) - F.lit(1e-9)).cast("int") + 2, 2)))
+    return side(threshold), side(threshold / (2 - threshold))
+
+
 def similar_names(rows: DataFrame, threshold: float) -> DataFrame:
     """(a, b) of items of rows(item long, block, name) whose names reach the threshold within one block, a < b.
 
@@ -87,10 +106,23 @@ def similar_names(rows: DataFrame, threshold: float) -> DataFrame:
     rows = rows.select("item", "block", "name").where("length(name) >= 3 and block is not null")
     one = rows.groupBy("block", "name").agg(F.min("item").alias("least"))
     equal = rows.join(one, ["block", "name"]).where("item <> least").select(F.col("least").alias("a"), F.col("item").alias("b"))
-    names = _with_grams(one.select(F.col("least").alias("item"), "block", "name")).select("item", "block", "grams", "n").checkpoint()
-    side = lambda share: names.select("item", "n", F.inline(_entries(["block"], F.col("n") - F.ceil(F.col("n") * F.lit(share) - F.lit(1e-9)).cast("int") + 2, 2)))
-    pairs = _candidates(side(threshold), side(threshold / (2 - threshold)), threshold, 2)
-    return equal.unionByName(_verified(pairs, names, threshold))
+    names = with_grams(one.select(F.col("least").alias("item"), "block", "name")).select("item", "block", "grams", "n").checkpoint()
+    pairs = candidates(*name_entries(names, threshold), threshold, 2)
+    return equal.unionByName(verified(pairs, names, threshold))
+
+
+def near_by(km: float) -> Column:
+    """Whether the two sides of candidates() lie within `km`."""
+    return haversine_km(F.col("lat_x"), F.col("lon_x"), F.col("lat_y"), F.col("lon_y")) <= km
+
+
+def place_entries(names: DataFrame, threshold: float, cell: float = 0.01) -> tuple[DataFrame, DataFrame]:
+    """(stored, asking) entries (key, place, n, lat, lon, item) of names(item, lat, lon, grams, n): single bigrams in a cell, stored in the cells around it too."""
+    gx, gy = (F.floor(F.col(c) / F.lit(cell)).cast("long").alias(g) for c, g in (("lat", "gx"), ("lon", "gy")))
+    names = names.select("item", "lat", "lon", "grams", "n", gx, gy)
+    side = lambda t, share: t.select("item", "n", "lat", "lon", F.inline(_entries(["gx", "gy"], F.col("n") - F.ceil(F.col("n") * F.lit(share) - F.lit(1e-9)).cast("int") + 1, 1)))
+    around = F.array(*[F.struct((F.col("gx") + i).alias("gx"), (F.col("gy") + j).alias("gy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    return side(names.withColumn("c", F.explode(around)).select("item", "n", "lat", "lon", "grams", "c.gx", "c.gy"), threshold), side(names, threshold / (2 - threshold))
 
 
 def near_and_similar(rows: DataFrame, threshold: float = 0.70, cell: float = 0.01, km: float = 1.0) -> DataFrame:
@@ -104,11 +136,6 @@ def near_and_similar(rows: DataFrame, threshold: float = 0.70, cell: float = 0.0
     rows = rows.select("item", "name", F.col("latitude").cast("double").alias("lat"), F.col("longitude").cast("double").alias("lon")).where("length(name) >= 3 and lat <> 0 and lon <> 0 and not isnan(lat) and not isnan(lon)")
     one = rows.groupBy("name", "lat", "lon").agg(F.min("item").alias("least"))
     equal = rows.join(one, ["name", "lat", "lon"]).where("item <> least").select(F.col("least").alias("a"), F.col("item").alias("b"))
-    gx, gy = (F.floor(F.col(c) / F.lit(cell)).cast("long") for c in ("lat", "lon"))
-    names = _with_grams(one.select(F.col("least").alias("item"), "name", "lat", "lon")).select("item", "lat", "lon", gx.alias("gx"), gy.alias("gy"), "grams", "n").checkpoint()
-    side = lambda t, share: t.select("item", "n", "lat", "lon", F.inline(_entries(["gx", "gy"], F.col("n") - F.ceil(F.col("n") * F.lit(share) - F.lit(1e-9)).cast("int") + 1, 1)))
-    around = F.array(*[F.struct((F.col("gx") + i).alias("gx"), (F.col("gy") + j).alias("gy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    near = haversine_km(F.col("lat_x"), F.col("lon_x"), F.col("lat_y"), F.col("lon_y")) <= km
-    stored = side(names.withColumn("c", F.explode(around)).select("item", "n", "lat", "lon", "grams", "c.gx", "c.gy"), threshold)
-    pairs = _candidates(stored, side(names, threshold / (2 - threshold)), threshold, 1, near)
-    return equal.unionByName(_verified(pairs, names, threshold))
+    names = with_grams(one.select(F.col("least").alias("item"), "name", "lat", "lon")).select("item", "lat", "lon", "grams", "n").checkpoint()
+    pairs = candidates(*place_entries(names, threshold, cell), threshold, 1, near_by(km))
+    return equal.unionByName(verified(pairs, names, threshold))
