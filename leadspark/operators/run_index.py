@@ -212,9 +212,9 @@ class RunIndex:
         return found.unionByName(tied).unionByName(twins).where("a <> b").distinct().checkpoint()
 
 
-def resolve_runs(spark: SparkSession, runs: Iterable[DataFrame], path: str) -> DataFrame:
-    """(record_id, idx, root) after adding the cleaned records of each run to the index at `path`."""
-    index = RunIndex(spark, path)
+def resolve_runs(spark: SparkSession, runs: Iterable[DataFrame], path: str, buckets: int = 256) -> DataFrame:
+    """(record_id, idx, root) after adding the cleaned records of each run to the index at `path`; see RunIndex."""
+    index = RunIndex(spark, path, buckets)
     for cleaned in runs:
         index.add(cleaned)
     return index.members()

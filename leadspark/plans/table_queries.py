@@ -12,6 +12,7 @@ from ..functions import assess as A
 from ..operators import relevance
 from ..operators import resolve as R
 from ..operators.components import ensure_checkpoint_dir
+from ..operators.run_index import resolve_runs
 from ..sources import registry
 from ..streaming import company_state, ingest
 from . import serve, stages, stats, write
@@ -20,7 +21,7 @@ from . import oracle as O
 from .derived import raw_records
 from .oracle import country as country_sql
 from .oracle import q
-from .queries import query
+from .queries import cleaned, query
 
 RUN_2 = "00000000-0000-4000-8000-000000000002"
 _links = lambda t: t.select(F.col("id").alias("record_id"), "company_id")
@@ -435,3 +436,12 @@ def stateful_companies(spark, sf_dir):
         rows.coalesce(1).write.mode("append").parquet(f"{base}/raw")
         company_state.start(spark, f"{base}/raw", f"{base}/out", f"{base}/checkpoint", known).awaitTermination()
     return company_state.current(spark, f"{base}/out").select("company_id", "name", "phone", "n_records")
+
+
+@query(f"WITH RECURSIVE {O.CLUSTERS} SELECT root, record_id, idx FROM assigned")
+def members_run_by_run(spark, sf_dir):
+    """The clusters of all records after three runs of a third of the time each, which meet in a stored index."""
+    rows = cleaned(spark, sf_dir).checkpoint()
+    first, last = rows.agg(F.unix_micros(F.min("retrieved_at")), F.unix_micros(F.max("retrieved_at"))).first()
+    third = F.floor((F.unix_micros("retrieved_at") - F.lit(first)) * 3 / F.lit(last - first + 1))
+    return resolve_runs(spark, [rows.where(third == k) for k in range(3)], _folder(spark, "runs"), buckets=8).select("root", "record_id", "idx")

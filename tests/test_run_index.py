@@ -31,7 +31,7 @@ def test_runs_give_the_partition_of_all(spark, tmp_path, n, cuts, seed):
     rows = records(n, seed)
     bounds = [0, *cuts, n]
     runs = [spark.createDataFrame(rows[a:b], KIND) for a, b in zip(bounds, bounds[1:], strict=False)]
-    found = {r.record_id: r.root for r in resolve_runs(spark, [*runs, runs[0].limit(0)], str(tmp_path / "index")).collect()}
+    found = {r.record_id: r.root for r in resolve_runs(spark, [*runs, runs[0].limit(0)], str(tmp_path / "index"), buckets=4).collect()}
     whole = R.assign_clusters(R.with_index(spark.createDataFrame(rows, KIND), "retrieved_at", "record_id"))
     want = {r.record_id: r.root for r in whole.collect()}
     assert found == want and 1 < len(set(want.values())) < n
@@ -39,7 +39,7 @@ def test_runs_give_the_partition_of_all(spark, tmp_path, n, cuts, seed):
 
 def test_a_run_that_fails_may_be_repeated(spark, tmp_path, monkeypatch):
     rows = records(60, 3)
-    index = RunIndex(spark, str(tmp_path / "index"), buckets=8)
+    index = RunIndex(spark, str(tmp_path / "index"), buckets=4)
     index.add(spark.createDataFrame(rows[:40], KIND))
     before = index.clusters.manifest()["parts"]
     late = spark.createDataFrame(rows[40:], KIND)
@@ -47,7 +47,7 @@ def test_a_run_that_fails_may_be_repeated(spark, tmp_path, monkeypatch):
     with pytest.raises(OSError, match="lost"):
         index.add(late)
     again = RunIndex(spark, str(tmp_path / "index"))
-    assert again.runs == 1 and again.buckets == 8 and again.members().count() == 40 and again.clusters.manifest()["parts"] == before
+    assert again.runs == 1 and again.buckets == 4 and again.members().count() == 40 and again.clusters.manifest()["parts"] == before
     again.add(late)
     whole = R.assign_clusters(R.with_index(spark.createDataFrame(rows, KIND), "retrieved_at", "record_id"))
     assert {tuple(r) for r in again.members().select("record_id", "root").collect()} == {tuple(r) for r in whole.select("record_id", "root").collect()}
