@@ -6,6 +6,7 @@ Inputs are derived from the supplied tables by key arithmetic; the SQL states wh
 from __future__ import annotations
 
 import re
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +17,7 @@ from ..functions import text as T
 from ..operators import query_columns as Q
 from ..operators import resolve as R
 from ..operators.components import ensure_checkpoint_dir
-from ..sources import registry
+from ..sources import listings, registry
 from ..sources.payload import NORMALISERS
 from . import oracle as O
 from .derived import pick
@@ -241,13 +242,32 @@ def extraction_goes_on(spark, sf_dir):
     return counts
 
 
-@query(f"WITH {_LISTED} SELECT 'justdial' AS source_adapter, name, phone, rating FROM listed WHERE k % 4 = 1")
+@query(f"WITH {_LISTED} SELECT 'justdial' AS source_adapter, name, phone, rating FROM listed WHERE k % 4 <= 1")
 def exchanged_listings(spark, sf_dir):
-    """Listings as JSON lines in the shared folder, read by the library's own data source."""
+    """Listings as JSON lines in the shared folder, written and read in small splits by the library's own data source."""
     ensure_checkpoint_dir(spark)
+    listings.register(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/listings-{uuid.uuid4().hex}"
-    _listings(spark, sf_dir).where("k % 4 = 1").select("name", "phone", "rating").write.json(path)
-    return registry.read_listings(spark, path, "justdial").select("source_adapter", "name", "phone", "rating")
+    rows = _listings(spark, sf_dir).where("k % 4 <= 1").select("name", "phone", "rating", F.col("category"))
+    rows.write.format("lead_listings").mode("append").save(path)
+    back = spark.read.format("lead_listings").option("source", "justdial").option("split_bytes", 2000).load(path)
+    return back.where(F.col("source_adapter") == "justdial").select("source_adapter", "name", "phone", "rating")
+
+
+@query(f"WITH {_LISTED} SELECT 'web_search' AS source_adapter, name, phone, rating FROM listed WHERE k % 4 <> 3 AND rating >= 3")
+def followed_listings(spark, sf_dir):
+    """Listings that arrive as JSON lines in three steps, followed by a stream of the library's own data source that is stopped and started between."""
+    ensure_checkpoint_dir(spark)
+    listings.register(spark)
+    base = f"{spark.sparkContext.getCheckpointDir()}/followed-{uuid.uuid4().hex}"
+    for step in range(3):
+        _listings(spark, sf_dir).where(f"k % 4 = {step}").select("name", "phone", "rating").coalesce(2).write.format("lead_listings").mode("append").save(f"{base}/in")
+        time.sleep(2 * listings.SETTLED)
+        rows = spark.readStream.format("lead_listings").option("source", "web_search").load(f"{base}/in").where("rating >= 3").select("source_adapter", "name", "phone", "rating")
+        run = rows.writeStream.format("parquet").option("checkpointLocation", f"{base}/checkpoint").start(f"{base}/out")
+        run.processAllAvailable()
+        run.stop()
+    return spark.read.parquet(f"{base}/out")
 
 
 @query("SELECT CAST(s_suppkey AS VARCHAR) AS id, CAST(s_suppkey % 50 AS BIGINT) AS n FROM supplier ORDER BY s_suppkey LIMIT 20")

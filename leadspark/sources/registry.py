@@ -3,20 +3,22 @@
 from __future__ import annotations
 
 import threading
+import time
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from functools import reduce
 
+from pyspark import InheritableThread
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from .. import constants as C
 from ..functions.text import listing_key, payload_completeness
 from ..operators.components import ensure_checkpoint_dir
 from ..operators.relevance import fits_category, fits_location
 from ..operators.resolve import first_seen
+from .listings import RawRecordSource
 from .payload import NORMALISERS, RAW_RECORD
 
 FREE = set(C.SELECTABLE_SOURCES)
@@ -112,31 +114,67 @@ def time_limit(spark: SparkSession, seconds: float | None) -> Iterator[None]:
         spark.sparkContext.removeJobTag(tag)
 
 
-def extract(found: dict[str, DataFrame], organization_id: str, run_id: str, category: str, city: str | None, state: str | None, at: Column | None = None, errors: list[str] | None = None, seconds: float | None = None) -> tuple[DataFrame, DataFrame]:
+def _listings_of(name: str, native: DataFrame, seconds: float | None) -> DataFrame:
+    """A source's first listings, read at once."""
+    if "seq" in native.columns:
+        part = NORMALISERS[name](native.orderBy("seq").limit(C.LISTINGS_PER_SOURCE))
+    else:
+        part = NORMALISERS[name](native).orderBy("source_record_id").limit(C.LISTINGS_PER_SOURCE)
+    with time_limit(native.sparkSession, seconds):
+        return part.checkpoint().withColumn("source_adapter", F.lit(name))
+
+
+def read_together(found: dict[str, DataFrame], seconds: float | None = None, overall: float | None = None) -> dict[str, DataFrame | Exception]:
+    """The first listings of each source, or what kept it from being read; all are read at the same time.
+
+    Each source is read by a thread of its own, whose jobs go to a pool of its name (which share alike under spark.scheduler.mode=FAIR) and are cancelled
+    after `seconds`.  After `overall` seconds the jobs of all that are not done are cancelled; what they have
+    read is dropped.
+    """
+    spark = next(iter(found.values())).sparkSession
+    ensure_checkpoint_dir(spark)
+    context, tag, done = spark.sparkContext, f"search-{uuid.uuid4().hex}", {}
+
+    def read(name: str, native: DataFrame) -> None:
+        context.setLocalProperty("spark.scheduler.pool", name)
+        context.addJobTag(tag)
+        try:
+            done[name] = _listings_of(name, native, seconds)
+        except Exception as e:  # noqa: BLE001  one source's trouble is not the search's
+            done[name] = e
+
+    threads = {name: InheritableThread(target=read, args=(name, native), daemon=True) for name, native in found.items()}
+    end = None if overall is None else time.monotonic() + overall
+    for t in threads.values():
+        t.start()
+    for t in threads.values():
+        t.join(None if end is None else max(0.0, end - time.monotonic()))
+    out = {name: done.get(name, TimeoutError(f"cut off after {overall} seconds")) for name in found}
+    for t in threads.values():  # a thread may still be planning and start its job only now
+        while t.is_alive():
+            context.cancelJobsWithTag(tag)
+            t.join(0.2)
+    return out
+
+
+def extract(found: dict[str, DataFrame], organization_id: str, run_id: str, category: str, city: str | None, state: str | None, at: Column | None = None, errors: list[str] | None = None, seconds: float | None = None, overall: float | None = None) -> tuple[DataFrame, DataFrame]:
     """(raw records to append, listings of each source before the filters) of one search.
 
-    `found` has the native listings of each source.  A source that cannot be planned or read, or takes
-    more than `seconds`, adds to `errors` and the others go on.  Ids hash run, source, source id and payload, so that a
-    repeated task or run gives the same.  Listings of each source end at the fixed limit, those that
+    `found` has the native listings of each source; all are read at the same time.  A source that cannot be planned or read, takes
+    more than `seconds`, or is not done when the search has taken `overall` seconds, adds to `errors`, and the others go on.  Ids hash run, source, source id and
+    payload, so that a repeated task or run gives the same.  Listings of each source end at the fixed limit, those that
     came first by their column seq, or else those of least source id; as they are so few, each source's are read at once.
     """
+    if not found:
+        raise ValueError("no source could be read")
     parts = []
-    for name, native in found.items():
-        spark = native.sparkSession
-        ensure_checkpoint_dir(spark)
-        try:
-            if "seq" in native.columns:
-                part = NORMALISERS[name](native.orderBy("seq").limit(C.LISTINGS_PER_SOURCE))
-            else:
-                part = NORMALISERS[name](native).orderBy("source_record_id").limit(C.LISTINGS_PER_SOURCE)
-            with time_limit(spark, seconds):
-                part = part.checkpoint()
-        except Exception as e:  # noqa: BLE001  one source's trouble is not the search's
+    for name, part in read_together(found, seconds, overall).items():
+        if isinstance(part, Exception):
             if errors is None:
-                raise
-            errors.append(f"{name}: {e}")
-            continue
-        parts.append(part.withColumn("source_adapter", F.lit(name)))
+                raise part
+            errors.append(f"{name}: {part}")
+        else:
+            parts.append(part)
     if not parts:
         raise ValueError("no source could be read")
     every = reduce(DataFrame.unionByName, parts)
@@ -160,50 +198,6 @@ def run_status(stored: int, errors: list[str]) -> str:
     return "failed" if errors and not stored else "completed"
 
 
-class RawRecordSource(DataSource):
-    """`spark.read.format("lead_listings")`: JSON-lines files of payload records at `path`, with a source name in `source`.
-
-    For small exchanges of one's own adapters, each file a task; the path may be of any file
-    system that Arrow opens.  read_listings() goes through Spark's own readers instead.
-    """
-
-    @classmethod
-    def name(cls) -> str:
-        return "lead_listings"
-
-    def schema(self) -> str:
-        return "source_adapter string, name string, address string, phone string, website string, category string, latitude double, longitude double, rating double, reviews_count int"
-
-    def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options, [f.name for f in schema])
-
-
-class _Reader(DataSourceReader):
-    def __init__(self, options: dict, columns: list[str]):
-        self.options, self.columns = options, columns
-
-    def _open(self):
-        from pyarrow import fs
-
-        path = self.options["path"]
-        return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
-
-    def partitions(self):
-        from pyarrow import fs
-
-        files, path = self._open()
-        return [InputPartition(f.path) for f in sorted(files.get_file_info(fs.FileSelector(path)), key=lambda f: f.path) if f.path.endswith(".jsonl")]
-
-    def read(self, partition):
-        import json
-
-        with self._open()[0].open_input_stream(partition.value) as f:
-            for line in f.read().decode().split("\n"):
-                if line.strip():
-                    row = json.loads(line) | {"source_adapter": self.options.get("source", "unknown")}
-                    yield tuple(row.get(c) for c in self.columns)
-
-
 def read_listings(spark: SparkSession, path: str, source: str) -> DataFrame:
     """The listings of RawRecordSource from any path that Spark reads, split and pushed down by its own reader."""
     schema = RawRecordSource({}).schema()
