@@ -197,7 +197,7 @@ class RunIndex:
         names = with_grams(rows, self._order("place_order", rows)).select("item", "first", "lat", "lon", "grams", "n").checkpoint()
         stored, asking = (x.checkpoint() for x in place_entries(names, SPATIAL))
         close = near_by(1.0)
-        pairs = candidates(stored, asking.unionByName(self._table("places_asking", stored)), SPATIAL, 1, close).unionByName(candidates(self._table("places_stored", asking), asking, SPATIAL, 1, close)).distinct().checkpoint()
+        pairs = candidates(stored, asking.unionByName(self._table("places_asking", stored)), SPATIAL, 2, close).unionByName(candidates(self._table("places_stored", asking), asking, SPATIAL, 2, close)).distinct().checkpoint()
         self._add("places_stored", stored)
         self._add("places_asking", asking)
         own = names.select("item", "first", "grams", "n")

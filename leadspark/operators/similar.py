@@ -116,13 +116,40 @@ def near_by(km: float) -> Column:
     return haversine_km(F.col("lat_x"), F.col("lon_x"), F.col("lat_y"), F.col("lon_y")) <= km
 
 
-def place_entries(names: DataFrame, threshold: float, cell: float = 0.01) -> tuple[DataFrame, DataFrame]:
-    """(stored, asking) entries (key, place, n, lat, lon, item) of names(item, lat, lon, grams, n): single bigrams in a cell, stored in the cells around it too."""
+#: Names in a cell and those around it, up to which all of them are tested for distance; in denser cells pairs of bigrams choose.
+DENSE = 64
+#: Dense cells up to which their list is broadcast; beyond, all cells count as dense.
+BROADCAST_CELLS = 200_000
+
+
+def _around(gx: str = "gx", gy: str = "gy") -> Column:
+    return F.explode(F.array(*[F.struct((F.col(gx) + i).alias("gx"), (F.col(gy) + j).alias("gy")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+
+
+def place_entries(names: DataFrame, threshold: float, cell: float = 0.01, dense: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(stored, asking) entries (key, place, n, lat, lon, item) of names(item, lat, lon, grams, n), for candidates() with pairs of bigrams; stored in the cells around too.
+
+    With dense(gx, gy), names in other cells have the cell alone as their key, so that all of them meet.
+    """
+    gx, gy = (F.floor(F.col(c) / F.lit(cell)).cast("long").alias(g) for c, g in (("lat", "gx"), ("lon", "gy")))
+    own = names.select("item", "lat", "lon", "grams", "n", gx, gy)
+    there = own.withColumn("c", _around()).select("item", "lat", "lon", "grams", "n", "c.gx", "c.gy")
+    out = []
+    for rows, share in ((there, threshold), (own, threshold / (2 - threshold))):
+        entries = _entries(["gx", "gy"], F.col("n") - F.ceil(F.col("n") * F.lit(share) - F.lit(1e-9)).cast("int") + 2, 2)
+        if dense is not None:
+            rows = rows.join(F.broadcast(dense.withColumn("dense", F.lit(True))), ["gx", "gy"], "left")
+            entries = F.when(F.col("dense"), entries).otherwise(F.array(F.struct(F.xxhash64("gx", "gy").alias("key"), F.lit(0).alias("place"))))
+        out.append(rows.select("item", "n", "lat", "lon", F.inline(entries)))
+    return out[0], out[1]
+
+
+def dense_cells(names: DataFrame, cell: float = 0.01) -> DataFrame | None:
+    """(gx, gy) of the cells that, with those around, hold more than DENSE of names(lat, lon); None if there are too many to broadcast."""
     gx, gy = (F.floor(F.col(c) / F.lit(cell)).cast("long").alias(g) for c, g in (("lat", "gx"), ("lon", "gy")))
-    names = names.select("item", "lat", "lon", "grams", "n", gx, gy)
-    side = lambda t, share: t.select("item", "n", "lat", "lon", F.inline(_entries(["gx", "gy"], F.col("n") - F.ceil(F.col("n") * F.lit(share) - F.lit(1e-9)).cast("int") + 1, 1)))
-    around = F.array(*[F.struct((F.col("gx") + i).alias("gx"), (F.col("gy") + j).alias("gy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    return side(names.withColumn("c", F.explode(around)).select("item", "n", "lat", "lon", "grams", "c.gx", "c.gy"), threshold), side(names, threshold / (2 - threshold))
+    near = names.groupBy(gx, gy).agg(F.count("*").alias("n")).select("n", _around().alias("c")).groupBy("c.gx", "c.gy").agg(F.sum("n").alias("n"))
+    found = near.where(F.col("n") > DENSE).select("gx", "gy").checkpoint()
+    return found if found.count() <= BROADCAST_CELLS else None
 
 
 def near_and_similar(rows: DataFrame, threshold: float = 0.70, cell: float = 0.01, km: float = 1.0) -> DataFrame:
@@ -131,11 +158,12 @@ def near_and_similar(rows: DataFrame, threshold: float = 0.70, cell: float = 0.0
     Only pairs in the same or neighbouring cells of a grid in degrees count, so away from the
     equator some pairs that are near but more than one cell apart are left out.  Rows of the same
     name and position are tied to the least item first.  Distance is tested as soon as
-    two names meet, similarity last; a crowded cell is dealt out by bigrams.
+    two names meet, similarity last.  In cells of few names all meet; the names of a dense one, such as a position that many share, are
+    dealt out by pairs of their rarest bigrams.
     """
     rows = rows.select("item", "name", F.col("latitude").cast("double").alias("lat"), F.col("longitude").cast("double").alias("lon")).where("length(name) >= 3 and lat <> 0 and lon <> 0 and not isnan(lat) and not isnan(lon)")
     one = rows.groupBy("name", "lat", "lon").agg(F.min("item").alias("least"))
     equal = rows.join(one, ["name", "lat", "lon"]).where("item <> least").select(F.col("least").alias("a"), F.col("item").alias("b"))
     names = with_grams(one.select(F.col("least").alias("item"), "name", "lat", "lon")).select("item", "lat", "lon", "grams", "n").checkpoint()
-    pairs = candidates(*place_entries(names, threshold, cell), threshold, 1, near_by(km))
+    pairs = candidates(*place_entries(names, threshold, cell, dense_cells(names, cell)), threshold, 2, near_by(km))
     return equal.unionByName(verified(pairs, names, threshold))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from leadspark.operators import components as components_module
 from leadspark.operators import resolve as R
+from leadspark.operators import similar
 from leadspark.operators.components import components, stars
 from leadspark.operators.similar import near_and_similar, similar_names
 
@@ -64,6 +65,24 @@ def test_near_and_similar(spark):
     assert found == want and want
 
 
+@pytest.mark.parametrize("limit", [similar.BROADCAST_CELLS, 0])
+def test_names_on_one_point(spark, monkeypatch, limit):
+    """A position that many names share: what meets stays near the number of pairs found; with and without a list of dense cells."""
+    monkeypatch.setattr(similar, "BROADCAST_CELLS", limit)
+    rng = random.Random(6)
+    stems = random_names(100, 5)
+    names = sorted({s[:i] + rng.choice("abcdef") + s[i + 1 :] for s in stems for _ in range(6) for i in [rng.randrange(len(s))]})
+    rows = [(i, n, 20.0, 70.0) for i, n in enumerate(names)] + [(len(names) + i, n, 21.0 + i * 0.001, 70.0) for i, n in enumerate(stems[:40])]
+    df = spark.createDataFrame(rows, "item long, name string, latitude double, longitude double")
+    found = {(r.a, r.b) for r in near_and_similar(df).collect()}
+    cell = lambda x: math.floor(x / 0.01)
+    want = {(x[0], y[0]) for x, y in combinations(rows, 2) if abs(cell(x[2]) - cell(y[2])) <= 1 and km(x[2:], y[2:]) <= 1 and dice(x[1], y[1]) >= 0.7}
+    assert found == want and want
+    grams = similar.with_grams(df.select("item", "name", F.col("latitude").alias("lat"), F.col("longitude").alias("lon")))
+    stored, asking = similar.place_entries(grams, 0.7, dense=similar.dense_cells(grams))
+    assert stored.join(asking, "key").count() <= 20 * len(want) + 9 * len(rows)
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(rng.randrange(80), rng.randrange(80)) for _ in range(60)] + [(i, i + 1) for i in range(100, 140)] + [(5, None), (7, 7)]
