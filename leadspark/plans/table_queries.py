@@ -15,6 +15,7 @@ from ..operators.components import ensure_checkpoint_dir
 from ..operators.run_index import resolve_runs
 from ..sources import registry
 from ..streaming import company_state, ingest
+from ..streaming import progress as stream_records
 from . import serve, stages, stats, write
 from . import tables as B
 from . import oracle as O
@@ -367,6 +368,7 @@ def company_positions(spark, sf_dir):
 def _stream(spark, sf_dir):
     """Raw records that arrive in three files, each with a third of the names; the last repeats names of the first in capitals."""
     base = _folder(spark, "stream")
+    recorder = stream_records.record(spark, f"{base}/progress")
     keys = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").cast("long").alias("k"))
     from ..sources.payload import payload
 
@@ -381,6 +383,7 @@ def _stream(spark, sf_dir):
         run = ingest.start(spark, f"{base}/raw", f"{base}/companies", f"{base}/links", f"{base}/checkpoint", buckets=16)
         run.awaitTermination()
         seen = ingest.progress(spark, run) if part == 0 else seen.unionByName(ingest.progress(spark, run))
+    stream_records.stop(spark, recorder)
     return base, seen
 
 
@@ -407,6 +410,13 @@ def stream_batches(spark, sf_dir):
     return _stream(spark, sf_dir)[1].select("batch_id")
 
 
+@query("WITH k AS (SELECT CAST(s_suppkey AS BIGINT) AS k FROM supplier) SELECT CAST(part AS BIGINT) AS batch_id, count(*) AS n_rows FROM k, (VALUES (0), (1), (2)) AS p(part) WHERE k % 2 = part % 2 GROUP BY part")
+def stream_progress(spark, sf_dir):
+    """The rows of each batch of a stream that was started three times, as its listener has stored them."""
+    base, _ = _stream(spark, sf_dir)
+    return stream_records.progress(spark, f"{base}/progress").select("batch_id", "n_rows")
+
+
 @query(f"""WITH k AS (SELECT CAST(s_suppkey AS BIGINT) AS k FROM supplier), r AS (
   SELECT part, k, (k * 37) % 1000 AS sec, part || '-' || k AS id, CASE WHEN part < 2 THEN 'firm ' ELSE 'FIRM ' END || upper(to_hex((k // 3) * 7919)) AS raw_name, CASE WHEN k % 3 <> part THEN '9' || lpad(CAST(k * 3 + part AS VARCHAR), 9, '0') END AS raw_phone
   FROM k, (VALUES (0), (1), (2)) AS p(part) WHERE k % 2 = part % 2

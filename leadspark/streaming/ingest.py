@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
+from ..operators.components import ensure_checkpoint_dir
 from ..operators.resolve import company_key, company_name, upsert_companies
 from ..plans.stages import clean, link_back, resolve
 from ..sources.payload import RAW_RECORD
@@ -48,6 +49,8 @@ def latest(spark: SparkSession, path: str, before: int | None = None) -> DataFra
 
 
 def process_batch(batch: DataFrame, batch_id: int, companies_path: str, links_path: str, buckets: int = BUCKETS) -> None:
+    ensure_checkpoint_dir(batch.sparkSession)
+    batch = batch.checkpoint()  # the stream's files are read once, though each stage looks at the records
     if batch.limit(1).count() == 0:
         return
     assigned, found = resolve(clean(batch))
@@ -56,7 +59,7 @@ def process_batch(batch: DataFrame, batch_id: int, companies_path: str, links_pa
 
 
 def progress(spark: SparkSession, query: StreamingQuery) -> DataFrame:
-    """(batch_id, started, seconds) of the query's batches that it still remembers, in order."""
+    """(batch_id, started, seconds) of the query's batches that it still remembers, in order; streaming/progress.py keeps them beyond a restart."""
     seen = [(int(p["batchId"]), p["timestamp"], p["batchDuration"] / 1000) for p in query.recentProgress if p["numInputRows"]]
     return spark.createDataFrame(seen, "batch_id long, started string, seconds double")
 

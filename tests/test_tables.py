@@ -163,10 +163,17 @@ def test_stream_merges_runs(spark, tmp_path, raw):
 
     paths = [str(tmp_path / p) for p in ("in", "companies", "links", "state")]
     a, b = raw.where("source_adapter = 'openstreetmap'"), raw.where("source_adapter <> 'openstreetmap'")
+    from leadspark.streaming import progress
+
+    recorder = progress.record(spark, str(tmp_path / "progress"))
     a.coalesce(1).write.parquet(paths[0])
-    ingest.start(spark, *paths).awaitTermination()
+    first = ingest.start(spark, *paths)
+    first.awaitTermination()
     b.coalesce(1).write.mode("append").parquet(paths[0])
     ingest.start(spark, *paths).awaitTermination()
+    progress.stop(spark, recorder)
+    seen = progress.progress(spark, str(tmp_path / "progress"), first.id).collect()
+    assert {r.batch_id for r in seen} == {0, 1} and len({r.run for r in seen}) == 2 and all(r.n_rows > 0 and r.seconds > 0 for r in seen)
     links = spark.read.parquet(paths[2])
     assert links.select("record_id").distinct().count() == raw.count()
     now = ingest.latest(spark, paths[1], 10**9)
