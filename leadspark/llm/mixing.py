@@ -24,8 +24,8 @@ LONG = 1000
 ROUNDS = 3
 #: Sources up to which their table is broadcast.
 BROADCAST_SOURCES = 100_000
-#: Bits of a rank after its leading parts; a part has at most 8193 values in a source.
-SHIFTS = (39, 26, 13, 0)
+#: Bits of a rank after its leading parts; a part has at most 2048 values in a source, so that a large source has no more sums than a small one.
+SHIFTS = (42, 31, 20, 10, 0)
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
