@@ -13,7 +13,7 @@ from ..operators import relevance
 from ..operators import resolve as R
 from ..operators.components import ensure_checkpoint_dir
 from ..operators.run_index import resolve_runs
-from ..sources import registry
+from ..sources import file_skipping, registry
 from ..streaming import company_state, ingest
 from ..streaming import progress as stream_records
 from . import serve, stages, stats, write
@@ -455,3 +455,13 @@ def members_run_by_run(spark, sf_dir):
     first, last = rows.agg(F.unix_micros(F.min("retrieved_at")), F.unix_micros(F.max("retrieved_at"))).first()
     third = F.floor((F.unix_micros("retrieved_at") - F.lit(first)) * 3 / F.lit(last - first + 1))
     return resolve_runs(spark, [rows.where(third == k) for k in range(3)], _folder(spark, "runs"), buckets=8).select("root", "record_id", "idx")
+
+
+@query("SELECT CAST(p_partkey AS BIGINT) AS k, p_name FROM part WHERE contains(lower(p_name), (SELECT lower(max(p_name)) FROM part))")
+def names_in_few_files(spark, sf_dir):
+    """The rows that contain the last of all names, from the files alone whose trigrams allow it."""
+    path, index = _folder(spark, "names"), _folder(spark, "trigrams")
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").cast("long").alias("k"), "p_name")
+    rows.repartitionByRange(16, "p_name").write.parquet(path)
+    file_skipping.build(spark, path, ["p_name"], index)
+    return file_skipping.containing(spark, path, index, "p_name", rows.agg(F.max("p_name")).first()[0])
