@@ -198,6 +198,6 @@ class RawRecordSource(D.DataSource):
 
 
 def register(spark: SparkSession) -> None:
-    """Make the format known to the session, and let it take filters."""
+    """Make the format known to the session, and let it take filters, without which Spark refuses a reader that can."""
     spark.dataSource.register(RawRecordSource)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
