@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +18,38 @@ def ensure_checkpoint_dir(spark) -> None:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
 
 
+class Steps:
+    """Results of a loop's steps, each written to files and read again; a step's files go when the next ones are there.
+
+    A checkpoint keeps the optimiser's estimate of its size, and a join multiplies those of both sides.  When each
+    step joins what the last one made with itself, the digits of that number double with every step, until they fill the driver.  A
+    table read from files has their size instead.
+    """
+
+    def __init__(self, spark):
+        ensure_checkpoint_dir(spark)
+        self.spark, self.n, self.last = spark, 0, None
+        self.path = f"{spark.sparkContext.getCheckpointDir()}/steps-{uuid.uuid4().hex}"
+
+    def _delete(self, path: str) -> None:
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+    def store(self, rows: DataFrame) -> DataFrame:
+        path = f"{self.path}/{self.n}"
+        rows.write.parquet(path)
+        if self.n:
+            self._delete(f"{self.path}/{self.n - 1}")
+        self.n, self.last = self.n + 1, self.spark.read.schema(rows.schema).parquet(path)
+        return self.last
+
+    def end(self) -> DataFrame:
+        """A checkpoint of the last step, without files of steps."""
+        out = self.last.checkpoint()
+        self._delete(self.path)
+        return out
+
+
 def star_edges(keyed: DataFrame, node: str = "idx") -> DataFrame:
     """(a, b) from each node of keyed(node, key) to the least node of its key; keys of one node give none.
 
@@ -73,17 +107,17 @@ def stars(edges: DataFrame) -> tuple[DataFrame, int]:
 
     Rounds of LARGE large stars and a small star (Kiveris et al., Connected Components in MapReduce and Beyond).  Neither makes more
     edges than there were, both shorten paths, and the table shrinks to one edge a node; it is done when no node is
-    tied twice and no centre is tied itself.  Each step is checkpointed.
+    tied twice and no centre is tied itself.  Each step's edges are stored.
     """
-    e, rounds = edges, 0
+    e, rounds, steps = edges, 0, Steps(edges.sparkSession)
     while True:
         tied = e.select(F.col("a").alias("n"), F.lit(1).alias("tied"), F.lit(0).alias("centre"))
         ends = tied.unionByName(e.select(F.col("b").alias("n"), F.lit(0).alias("tied"), F.lit(1).alias("centre")))
         if not ends.groupBy("n").agg(F.sum("tied").alias("tied"), F.max("centre").alias("centre")).where("tied + centre > 1").limit(1).count():
-            return e, rounds
+            return steps.end() if rounds else e, rounds
         for _ in range(LARGE):
-            e = _large_star(e).checkpoint()
-        e = _small_star(e).checkpoint()
+            e = steps.store(_large_star(e))
+        e = steps.store(_small_star(e))
         rounds += 1
 
 
