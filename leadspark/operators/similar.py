@@ -37,10 +37,14 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
     return F.lit(6371.0) * 2 * F.atan2(F.sqrt(a), F.sqrt(1 - a))
 
 
+def _code(gram: Column) -> Column:
+    """A bigram as a number."""
+    return F.shiftleft(F.ascii(gram).cast("long"), 21) + F.ascii(F.substr(gram, F.lit(2))).cast("long")
+
+
 def _coded(rows: DataFrame) -> DataFrame:
     """(item, gram, bucket) of each distinct bigram of a name, as a number."""
-    code = lambda g: F.shiftleft(F.ascii(g).cast("long"), 21) + F.ascii(F.substr(g, F.lit(2))).cast("long")
-    return rows.select("item", F.explode(F.transform(bigrams(F.col("name")), code)).alias("gram")).withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(GRAM_BUCKETS)))
+    return rows.select("item", F.explode(F.transform(bigrams(F.col("name")), _code)).alias("gram")).withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(GRAM_BUCKETS)))
 
 
 def gram_counts(rows: DataFrame) -> DataFrame:
@@ -152,18 +156,76 @@ def dense_cells(names: DataFrame, cell: float = 0.01) -> DataFrame | None:
     return found if found.count() <= BROADCAST_CELLS else None
 
 
+#: Pairs of a cell's own names and those within reach of it, up to which all of them meet: a test of bits takes some nanoseconds, an entry in
+#: a shuffle about a microsecond, and a name has some fifty of these.
+MEET = 2000 * 2000
+
+
+def _cells(names: DataFrame, km: float) -> DataFrame:
+    """links(gx, gy, tx, ty, dense): each cell of names(gx, gy, lat, lon) and the cells, itself or next to it, whose names may be within `km` of its own.
+
+    The boxes around the names of two cells are compared, so no pair is lost; dense tells that more than MEET pairs would meet in (tx, ty).
+    """
+    box = names.groupBy("gx", "gy").agg(F.min("lat").alias("s"), F.max("lat").alias("n"), F.min("lon").alias("w"), F.max("lon").alias("e"), F.count("*").alias("own")).checkpoint()
+    there = box.select(F.col("gx").alias("tx"), F.col("gy").alias("ty"), *[F.col(c).alias(f"t{c}") for c in ("s", "n", "w", "e", "own")])
+    met = box.withColumn("c", _around()).withColumns({"tx": F.col("c.gx"), "ty": F.col("c.gy")}).drop("c").join(there, ["tx", "ty"])
+    apart = lambda low, high, tlow, thigh: F.radians(F.greatest(F.lit(0.0), tlow - high, low - thigh)) / 2
+    up, along = apart(*map(F.col, ("s", "n", "ts", "tn"))), apart(*map(F.col, ("w", "e", "tw", "te")))
+    slim = lambda a, b: F.least(F.cos(F.radians(a)), F.cos(F.radians(b)))  # noqa: E731  between latitudes of one cell, away from the poles, the cosine is least at an end
+    h = F.sin(up) * F.sin(up) + slim("s", "n") * slim("ts", "tn") * F.sin(along) * F.sin(along)
+    near = F.lit(6371.0) * 2 * F.atan2(F.sqrt(h), F.sqrt(1 - h)) <= km * (1 + 1e-9) + 1e-9
+    polar = F.greatest(*[F.abs(c) for c in ("s", "n", "ts", "tn")]) > 89
+    links = met.where(near | polar)
+    reach = links.groupBy("tx", "ty").agg((F.sum("own") * F.max("town") > MEET).alias("dense"))
+    return links.join(reach, ["tx", "ty"]).select("gx", "gy", "tx", "ty", "dense").checkpoint()
+
+
+def _bits(half: int) -> Column:
+    """64 of 128 bits, of which each bigram sets one."""
+    return F.expr(f"aggregate(grams, 0L, (s, g) -> s | CASE WHEN pmod(xxhash64(g), 128) DIV 64 = {half} THEN shiftleft(1L, CAST(pmod(xxhash64(g), 64) AS INT)) ELSE 0L END)")
+
+
+def _all_meet(names: DataFrame, links: DataFrame, threshold: float, km: float) -> DataFrame:
+    """(a, b) of names(item, name, lat, lon, gx, gy) that are near and alike, all of a cell meeting all within its reach.
+
+    A bit that only one of two sets has stands for a bigram that only this one has, so bits rule most pairs out before distance and bigrams are looked at.
+    """
+    with_bits = names.select("item", "lat", "lon", "gx", "gy", F.transform(bigrams(F.col("name")), _code).alias("grams")).withColumns({"n": F.size("grams"), "bits0": _bits(0), "bits1": _bits(1)})
+    x = with_bits.join(links, ["gx", "gy"]).drop("gx", "gy").withColumnsRenamed({"tx": "gx", "ty": "gy"})
+    x, y = (t.select("gx", "gy", *[F.col(c).alias(f"{c}_{v}") for c in ("item", "lat", "lon", "n", "bits0", "bits1", "grams")]) for t, v in ((x, "x"), (with_bits, "y")))
+    share = F.ceil((F.col("n_x") + F.col("n_y")) * F.lit(threshold / 2) - F.lit(1e-9))
+    smaller = (F.col("n_x") < F.col("n_y")) | (F.col("n_x") == F.col("n_y")) & (F.col("item_x") < F.col("item_y"))
+    only_x = sum((F.bit_count(F.col(f"bits{i}_x").bitwiseAND(F.bitwise_not(f"bits{i}_y"))) for i in (0, 1)), F.lit(0))
+    both = F.size(F.array_intersect("grams_x", "grams_y"))
+    alike = smaller & (F.col("n_x") - only_x >= share) & near_by(km) & (2.0 * both / (F.col("n_x") + F.col("n_y")) >= threshold)
+    return x.join(y, ["gx", "gy"]).where(alike).select(F.least("item_x", "item_y").alias("a"), F.greatest("item_x", "item_y").alias("b"))
+
+
+def _dealt(names: DataFrame, links: DataFrame, threshold: float, km: float) -> DataFrame:
+    """(a, b) as from _all_meet(), for links to dense cells: the names are dealt out by pairs of their rarest bigrams."""
+    ends = links.select("gx", "gy").unionByName(links.select(F.col("tx").alias("gx"), F.col("ty").alias("gy"))).distinct()
+    grams = with_grams(names.join(ends, ["gx", "gy"], "left_semi")).select("item", "lat", "lon", "gx", "gy", "grams", "n").checkpoint()
+    there = grams.join(links, ["gx", "gy"]).drop("gx", "gy").withColumnsRenamed({"tx": "gx", "ty": "gy"})
+    own = grams.join(links.select(F.col("tx").alias("gx"), F.col("ty").alias("gy")).distinct(), ["gx", "gy"])
+    side = lambda rows, share: rows.select("item", "n", "lat", "lon", F.inline(_entries(["gx", "gy"], F.col("n") - F.ceil(F.col("n") * F.lit(share) - F.lit(1e-9)).cast("int") + 2, 2)))
+    pairs = candidates(side(there, threshold), side(own, threshold / (2 - threshold)), threshold, 2, near_by(km))
+    return verified(pairs, grams, threshold)
+
+
 def near_and_similar(rows: DataFrame, threshold: float = 0.70, cell: float = 0.01, km: float = 1.0) -> DataFrame:
     """(a, b) of items of rows(item long, name, latitude, longitude) within `km` of each other and with similar names, a < b.
 
     Only pairs in the same or neighbouring cells of a grid in degrees count, so away from the
     equator some pairs that are near but more than one cell apart are left out.  Rows of the same
-    name and position are tied to the least item first.  Distance is tested as soon as
-    two names meet, similarity last.  In cells of few names all meet; the names of a dense one, such as a position that many share, are
-    dealt out by pairs of their rarest bigrams.
+    name and position are tied to the least item first.  A cell's names meet all names in the cells within reach
+    of it; those of a dense one, such as a position that very many share, are dealt out by pairs of their rarest bigrams.
     """
     rows = rows.select("item", "name", F.col("latitude").cast("double").alias("lat"), F.col("longitude").cast("double").alias("lon")).where("length(name) >= 3 and lat <> 0 and lon <> 0 and not isnan(lat) and not isnan(lon)")
     one = rows.groupBy("name", "lat", "lon").agg(F.min("item").alias("least"))
     equal = rows.join(one, ["name", "lat", "lon"]).where("item <> least").select(F.col("least").alias("a"), F.col("item").alias("b"))
-    names = with_grams(one.select(F.col("least").alias("item"), "name", "lat", "lon")).select("item", "lat", "lon", "grams", "n").checkpoint()
-    pairs = candidates(*place_entries(names, threshold, cell, dense_cells(names, cell)), threshold, 2, near_by(km))
-    return equal.unionByName(verified(pairs, names, threshold))
+    gx, gy = (F.floor(F.col(c) / F.lit(cell)).cast("long").alias(g) for c, g in (("lat", "gx"), ("lon", "gy")))
+    names = one.select(F.col("least").alias("item"), "name", "lat", "lon", gx, gy).checkpoint()
+    links = _cells(names, km)
+    found = equal.unionByName(_all_meet(names, links.where("not dense"), threshold, km))
+    dense = links.where("dense")
+    return found.unionByName(_dealt(names, dense, threshold, km)) if dense.limit(1).count() else found

@@ -155,7 +155,7 @@ def fuzzy_edges(spark, sf_dir):
 SELECT o.idx AS a, m.idx AS b FROM m JOIN o USING (m, latitude, longitude) WHERE m.idx <> o.idx
 UNION ALL SELECT a, b FROM n WHERE {O.KM} <= 1.0 AND {O.DICE('xg', 'yg', 'xm', 'ym')} >= 0.70""")
 def spatial_edges(spark, sf_dir):
-    c = R.with_index(cleaned(spark, sf_dir), "retrieved_at", "record_id")
+    c = R.with_index(cleaned(spark, sf_dir).select("retrieved_at", "record_id", "name", "latitude", "longitude"), "retrieved_at", "record_id")
     return near_and_similar(c.select(F.col("idx").alias("item"), T.match_name(F.col("name")).alias("name"), "latitude", "longitude"), R.SPATIAL)
 
 
