@@ -1,6 +1,6 @@
 """Resolution run by run: a stored index of all records so far, and the changes that a new run makes to it.
 
-Exact keys, entries of names and of places, and edges are only ever added, a folder for each run.  What
+Exact keys, entries of names, names at places, and edges are only ever added, a folder for each run.  What
 they point to moves on: clusters of exact keys merge and their best names change, so an entry or edge counts only if the
 cluster's version it was made for is still the current one.  A new run
 
@@ -25,7 +25,7 @@ from ..functions.text import match_name, or_null, strip
 from ..sources.snapshots import Snapshots, bucket
 from .components import components, ensure_checkpoint_dir, star_edges
 from .resolve import FIRST_FIELDS, FUZZY, SPATIAL, _fill, city_block, record_keys, with_index, with_keys
-from .similar import candidates, gram_counts, name_entries, near_by, place_entries, verified, with_grams
+from .similar import candidates, cells_around, gram_counts, in_cells, name_entries, near_names, verified, with_grams
 
 #: Columns of the tables that a run adds to; `part` is a bucket of the column that a table is looked up by.
 TABLES = {
@@ -34,13 +34,11 @@ TABLES = {
     "grams": "item long, version int, grams array<long>, n int",
     "names_stored": "item long, n int, key long, place int",
     "names_asking": "item long, n int, key long, place int",
-    "places": "item long, first long, grams array<long>, n int",
-    "places_stored": "item long, n int, lat double, lon double, key long, place int",
-    "places_asking": "item long, n int, lat double, lon double, key long, place int",
+    "places": "item long, first long, name string, lat double, lon double, gx long, gy long",
     "alike": "a long, version_a int, b long, version_b int",
     "near": "a long, b long",
 }
-LOOKED_UP_BY = {"keys": "key", "names_stored": "key", "names_asking": "key", "places_stored": "key", "places_asking": "key", "grams": "item", "places": "item"}
+LOOKED_UP_BY = {"keys": "key", "names_stored": "key", "names_asking": "key", "grams": "item", "places": "gx"}
 _BEST = "name string, name_fill int, name_idx long, city string, city_fill int, city_idx long"
 CURRENT = f"first long, root long, version int, {_BEST}"
 
@@ -192,20 +190,14 @@ class RunIndex:
         return rows.withColumn("key", F.concat_ws("|", F.lit("g:"), "lat", "lon", "name")).checkpoint()
 
     def _near(self, new: DataFrame, fresh: DataFrame, equal: DataFrame, places: DataFrame) -> DataFrame:
-        """(a, b) of clusters of exact keys with records that are near and alike, one of them new; adds the entries of new names and places."""
-        rows = places.join(fresh.select("idx"), "idx", "left_semi").select(F.col("idx").alias("item"), "first", "name", "lat", "lon")
-        names = with_grams(rows, self._order("place_order", rows)).select("item", "first", "lat", "lon", "grams", "n").checkpoint()
-        stored, asking = (x.checkpoint() for x in place_entries(names, SPATIAL))
-        close = near_by(1.0)
-        pairs = candidates(stored, asking.unionByName(self._table("places_asking", stored)), SPATIAL, 2, close).unionByName(candidates(self._table("places_stored", asking), asking, SPATIAL, 2, close)).distinct().checkpoint()
-        self._add("places_stored", stored)
-        self._add("places_asking", asking)
-        own = names.select("item", "first", "grams", "n")
+        """(a, b) of clusters of exact keys with records that are near and alike, one of them new; adds the new names and places."""
+        own = in_cells(places.join(fresh.select("idx"), "idx", "left_semi").select(F.col("idx").alias("item"), "first", "name", "lat", "lon")).checkpoint()
+        cells = cells_around(own).checkpoint()
+        old = self._table("places", cells).join(cells, ["gx", "gy"], "left_semi")
+        there = own.withColumn("new", F.lit(True)).unionByName(old.withColumn("new", F.lit(False))).checkpoint()
         self._add("places", own)
-        met = pairs.select(F.col("a").alias("item")).unionByName(pairs.select(F.col("b").alias("item"))).distinct().checkpoint()
-        grams = self._table("places", met).unionByName(own).join(met, "item", "left_semi").checkpoint()
-        first = lambda c: grams.select(F.col("item").alias(c), F.col("first").alias(f"first_{c}"))
-        found = verified(pairs, grams.select("item", "grams", "n"), SPATIAL).join(first("a"), "a").join(first("b"), "b").select(F.col("first_a").alias("a"), F.col("first_b").alias("b"))
+        first = lambda c: there.select(F.col("item").alias(c), F.col("first").alias(f"first_{c}"))
+        found = near_names(there, SPATIAL).join(first("a"), "a").join(first("b"), "b").select(F.col("first_a").alias("a"), F.col("first_b").alias("b"))
         of_first = new.select("idx", F.col("first").alias("a"))
         tied = equal.join(of_first, "idx").select("a", "b")
         twins = places.join(fresh.select("key", F.col("first").alias("b")), "key").select(F.col("first").alias("a"), "b")

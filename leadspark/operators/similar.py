@@ -186,18 +186,19 @@ def _bits(half: int) -> Column:
 
 
 def _all_meet(names: DataFrame, links: DataFrame, threshold: float, km: float) -> DataFrame:
-    """(a, b) of names(item, name, lat, lon, gx, gy) that are near and alike, all of a cell meeting all within its reach.
+    """(a, b) of names(item, name, lat, lon, gx, gy, new) that are near and alike, one of them new; all of a cell meet all within its reach.
 
     A bit that only one of two sets has stands for a bigram that only this one has, so bits rule most pairs out before distance and bigrams are looked at.
     """
-    with_bits = names.select("item", "lat", "lon", "gx", "gy", F.transform(bigrams(F.col("name")), _code).alias("grams")).withColumns({"n": F.size("grams"), "bits0": _bits(0), "bits1": _bits(1)})
+    each = names.select("name").distinct().select("name", F.transform(bigrams(F.col("name")), _code).alias("grams")).withColumns({"n": F.size("grams"), "bits0": _bits(0), "bits1": _bits(1)})
+    with_bits = names.join(each.checkpoint(), "name").drop("name")
     x = with_bits.join(links, ["gx", "gy"]).drop("gx", "gy").withColumnsRenamed({"tx": "gx", "ty": "gy"})
-    x, y = (t.select("gx", "gy", *[F.col(c).alias(f"{c}_{v}") for c in ("item", "lat", "lon", "n", "bits0", "bits1", "grams")]) for t, v in ((x, "x"), (with_bits, "y")))
+    x, y = (t.select("gx", "gy", *[F.col(c).alias(f"{c}_{v}") for c in ("item", "new", "lat", "lon", "n", "bits0", "bits1", "grams")]) for t, v in ((x, "x"), (with_bits, "y")))
     share = F.ceil((F.col("n_x") + F.col("n_y")) * F.lit(threshold / 2) - F.lit(1e-9))
     smaller = (F.col("n_x") < F.col("n_y")) | (F.col("n_x") == F.col("n_y")) & (F.col("item_x") < F.col("item_y"))
     only_x = sum((F.bit_count(F.col(f"bits{i}_x").bitwiseAND(F.bitwise_not(f"bits{i}_y"))) for i in (0, 1)), F.lit(0))
     both = F.size(F.array_intersect("grams_x", "grams_y"))
-    alike = smaller & (F.col("n_x") - only_x >= share) & near_by(km) & (2.0 * both / (F.col("n_x") + F.col("n_y")) >= threshold)
+    alike = (F.col("new_x") | F.col("new_y")) & smaller & (F.col("n_x") - only_x >= share) & near_by(km) & (2.0 * both / (F.col("n_x") + F.col("n_y")) >= threshold)
     return x.join(y, ["gx", "gy"]).where(alike).select(F.least("item_x", "item_y").alias("a"), F.greatest("item_x", "item_y").alias("b"))
 
 
@@ -209,7 +210,26 @@ def _dealt(names: DataFrame, links: DataFrame, threshold: float, km: float) -> D
     own = grams.join(links.select(F.col("tx").alias("gx"), F.col("ty").alias("gy")).distinct(), ["gx", "gy"])
     side = lambda rows, share: rows.select("item", "n", "lat", "lon", F.inline(_entries(["gx", "gy"], F.col("n") - F.ceil(F.col("n") * F.lit(share) - F.lit(1e-9)).cast("int") + 2, 2)))
     pairs = candidates(side(there, threshold), side(own, threshold / (2 - threshold)), threshold, 2, near_by(km))
-    return verified(pairs, grams, threshold)
+    found, new = verified(pairs, grams, threshold), names.where("new")
+    one = found.join(new.select(F.col("item").alias("a")), "a", "left_semi")
+    return one.unionByName(found.join(new.select(F.col("item").alias("a")), "a", "left_anti").join(new.select(F.col("item").alias("b")), "b", "left_semi")).select("a", "b")
+
+
+def in_cells(rows: DataFrame, cell: float = 0.01) -> DataFrame:
+    """rows(lat, lon, ...) with their cell (gx, gy)."""
+    return rows.withColumns({g: F.floor(F.col(c) / F.lit(cell)).cast("long") for c, g in (("lat", "gx"), ("lon", "gy"))})
+
+
+def cells_around(rows: DataFrame) -> DataFrame:
+    """(gx, gy) of the cells of rows(gx, gy) and those next to them."""
+    return rows.select("gx", "gy").distinct().select(_around().alias("c")).select("c.gx", "c.gy").distinct()
+
+
+def near_names(names: DataFrame, threshold: float, km: float = 1.0) -> DataFrame:
+    """(a, b) of a checkpointed names(item, name, lat, lon, gx, gy, new) within `km` and alike, at least one of them new, a < b."""
+    links = _cells(names, km)
+    found, dense = _all_meet(names, links.where("not dense"), threshold, km), links.where("dense")
+    return found.unionByName(_dealt(names, dense, threshold, km)) if dense.limit(1).count() else found
 
 
 def near_and_similar(rows: DataFrame, threshold: float = 0.70, cell: float = 0.01, km: float = 1.0) -> DataFrame:
@@ -223,9 +243,5 @@ def near_and_similar(rows: DataFrame, threshold: float = 0.70, cell: float = 0.0
     rows = rows.select("item", "name", F.col("latitude").cast("double").alias("lat"), F.col("longitude").cast("double").alias("lon")).where("length(name) >= 3 and lat <> 0 and lon <> 0 and not isnan(lat) and not isnan(lon)")
     one = rows.groupBy("name", "lat", "lon").agg(F.min("item").alias("least"))
     equal = rows.join(one, ["name", "lat", "lon"]).where("item <> least").select(F.col("least").alias("a"), F.col("item").alias("b"))
-    gx, gy = (F.floor(F.col(c) / F.lit(cell)).cast("long").alias(g) for c, g in (("lat", "gx"), ("lon", "gy")))
-    names = one.select(F.col("least").alias("item"), "name", "lat", "lon", gx, gy).checkpoint()
-    links = _cells(names, km)
-    found = equal.unionByName(_all_meet(names, links.where("not dense"), threshold, km))
-    dense = links.where("dense")
-    return found.unionByName(_dealt(names, dense, threshold, km)) if dense.limit(1).count() else found
+    names = in_cells(one.select(F.col("least").alias("item"), "name", "lat", "lon"), cell).withColumn("new", F.lit(True)).checkpoint()
+    return equal.unionByName(near_names(names, threshold, km))
